@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, SPACE, let
+from .common import SPACE, let
 
 #: name -> (bit, failure condition over the measurements)
 RULES = {
@@ -146,4 +146,3 @@ b AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (10 * n_symbols > 3 * n_words OR 10 * n_dup_lines > 4 * n_lines OR 2 * word_chars < 5 * n_words OR word_chars > 15 * n_words) AS kept FROM b
 """
-assert BLANKS

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality, secrets
 
-QUERIES = {"op3_quality_rules": quality.query}
-SQL = {"op3_quality_rules": quality.SQL}
+QUERIES = {
+    "op3_quality_rules": quality.query,
+    "op4_license_scan": licenses.query,
+    "op5_secret_scan": secrets.query,
+}
+SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL}
