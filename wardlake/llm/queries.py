@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secrets
+from . import licenses, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op3_quality_rules": quality.query,
     "op4_license_scan": licenses.query,
     "op5_secret_scan": secrets.query,
