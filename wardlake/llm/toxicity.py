@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, table
 
 BITS = 18
-MAX_POSITIVE, MAX_UNLABELLED = 8_000, 16_000
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 HELD_OUT = (4, 2)
 STEPS, RATE, DECAY = 300, 0.05, 3e-3
 BEGINNINGS = (5, 6, 7)
@@ -63,19 +63,19 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[n
 
     def numbers(batches):
         for b in batches:
-            yield pd.DataFrame({"positive": b["positive"], "f": [features(t).astype(np.int32) for t in b["text"]]})
+            yield pd.DataFrame({"positive": b["positive"], "f": [features(t).astype(np.int32).tobytes() for t in b["text"]]})
 
     positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
     some = _sampled(train.where(positive), MAX_POSITIVE, count["p"]).unionByName(_sampled(train.where(~positive), MAX_UNLABELLED, count["n"] - count["p"]))
-    rows = some.select("text", positive.alias("positive")).mapInPandas(numbers, "positive boolean, f array<int>").collect()
-    rows.sort(key=lambda r: (r["positive"], r["f"]))  # so that the sums, and the model, don't depend on the partitions
-    return [np.array(r["f"], np.int64) for r in rows if r["positive"]], [np.array(r["f"], np.int64) for r in rows if not r["positive"]], prior
+    rows = some.select("text", positive.alias("positive")).mapInPandas(numbers, "positive boolean, f binary").collect()
+    rows = sorted((r["positive"], bytes(r["f"])) for r in rows)  # so that the sums, and the model, don't depend on the partitions
+    return [np.frombuffer(f, np.int32) for p, f in rows if p], [np.frombuffer(f, np.int32) for p, f in rows if not p], prior
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, row numbers and values of all rows."""
     n = [len(r) for r in rows]
-    return np.concatenate(rows), np.repeat(np.arange(len(rows)), n), np.repeat([scale(r) for r in rows], n)
+    return np.concatenate(rows), np.repeat(np.arange(len(rows), dtype=np.int32), n), np.repeat(np.array([scale(r) for r in rows], np.float32), n)
 
 
 def sigmoid(x):
