@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import licenses, quality, secrets, toxicity
+from . import bpe, licenses, quality, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_byte_bpe": bpe.query,
     "op3_quality_rules": quality.query,
     "op4_license_scan": licenses.query,
     "op5_secret_scan": secrets.query,
