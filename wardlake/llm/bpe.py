@@ -20,7 +20,6 @@ import functools
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -168,24 +167,20 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
     def run(batches):
         encoder = encoder_of(path, pattern)
         for b in batches:
-            texts, keys = ["" if t is None else t for t in b["text"]], b["doc_id"]
+            texts, keys = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id")
             for lo, hi in blocks(texts):
                 ids = encoder.encode(texts[lo:hi])
                 back = encoder.decode(ids)
+                key = keys.slice(lo, hi - lo)
                 if digest:
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": keys[lo:hi],
-                            "n_tokens": [len(x) for x in ids],
-                            "ids_sha256": [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids],
-                            "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in back],
-                        }
-                    )
+                    sums = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+                    counts = pa.array([len(x) for x in ids], pa.int64())
+                    yield pa.RecordBatch.from_arrays([key, counts, pa.array(sums, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
-                    yield pd.DataFrame({"doc_id": keys[lo:hi], "ids": [x.astype(np.int32) for x in ids], "decoded": back})
+                    yield pa.RecordBatch.from_arrays([key, pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(back, pa.binary())], ["doc_id", "ids", "decoded"])
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded binary"
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, {columns}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {columns}")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, quality, secrets, toxicity
+from . import bpe, licenses, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_license_scan": licenses.query,
     "op5_secret_scan": secrets.query,
+    "op8_packing": packing.query,
 }
 SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL}

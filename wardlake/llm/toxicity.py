@@ -17,6 +17,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +129,11 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         w = shared.value
         of = lambda f: float(sigmoid(w[f].sum() * scale(f) + w[-1]))
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": [of(features(t)) for t in b["text"]]})
+            scores = [of(features(t)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(scored, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
