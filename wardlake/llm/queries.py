@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, quality, secrets, toxicity
+from . import bpe, licenses, neardup, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_license_scan": licenses.query,
     "op5_secret_scan": secrets.query,
+    "op6_minhash_neardup": neardup.query,
     "op8_packing": packing.query,
+    "op9_substring_dedup": substrings.query,
 }
-SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL}
+SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL, "op6_minhash_neardup": neardup.SQL, "op9_substring_dedup": substrings.SQL}
