@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, neardup, packing, quality, secrets, substrings, toxicity
+from . import bpe, licenses, lm, neardup, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_minhash_neardup": neardup.query,
     "op8_packing": packing.query,
     "op9_substring_dedup": substrings.query,
+    "op10_lm_scoring": lm.query,
 }
 SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL, "op6_minhash_neardup": neardup.SQL, "op9_substring_dedup": substrings.SQL}
