@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from .common import table
 
-CACHE = 400_000
+CACHE = 1_200_000
 BLOCK_CHARS = 4_000_000
 #: A step unrolls the unfinished words to a row per token position, joins the merge table, and contracts in every word
 #: the leftmost pair of least rank; `best` holds the rank above 32 bits of position. A word keeps its latest row only.
@@ -93,6 +93,7 @@ class Encoder:
         self.db, self.find = database(path), regex.compile(pattern).findall
         self.wide = regex.compile(r"\s\s").search
         self.ranks = vocabulary(path)[1]
+        self.decimal = [str(i) for i in range(len(vocabulary(path)[0]))].__getitem__
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
         self.chunks: dict[str, bytes] = {}
 
@@ -173,7 +174,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False) -> Da
                 back = encoder.decode(ids)
                 key = keys.slice(lo, hi - lo)
                 if digest:
-                    sums = [hashlib.sha256(",".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+                    sums = [hashlib.sha256(",".join(map(encoder.decimal, x.tolist())).encode()).hexdigest() for x in ids]
                     counts = pa.array([len(x) for x in ids], pa.int64())
                     yield pa.RecordBatch.from_arrays([key, counts, pa.array(sums, pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
                 else:
