@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, lm, neardup, packing, quality, secrets, substrings, toxicity
+from . import bpe, licenses, lm, neardup, neighbours, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scan": licenses.query,
     "op5_secret_scan": secrets.query,
     "op6_minhash_neardup": neardup.query,
+    "op7_vp_neighbours": neighbours.query,
     "op8_packing": packing.query,
     "op9_substring_dedup": substrings.query,
     "op10_lm_scoring": lm.query,
