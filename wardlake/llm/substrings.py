@@ -111,7 +111,7 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
 def covered(n: int, marks, window: int) -> np.ndarray:
     """Which of n words lie in a marked window."""
     step = np.zeros(n + 1, np.int64)
-    if marks:
+    if marks is not None and len(marks):
         s, e = np.array([(m["s"], m["e"]) for m in marks]).T
         np.add.at(step, s, 1)
         np.add.at(step, np.minimum(e + window, n), -1)
