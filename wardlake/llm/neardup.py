@@ -6,9 +6,10 @@ a square root of the usual work. Two sets meet if a band agrees in each collecti
 fail with a probability of 1e-5 a side.
 
 Copies (equal sets) collapse to their smallest id first. Every pair that is linked is confirmed on full sets, in rounds: a document
-is compared with the most frequent centres of its buckets that are not yet in its component; each round ends with the components
-so far. What is still apart within a bucket is then compared with every other member, from the smaller side, so no link
-is lost however large a bucket is, and a bucket whose members are already joined costs no pairs.
+is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
+with the components so far. What is still apart within a bucket is then compared with every member outside its component, from
+the smaller side, each pair in the first table that holds both: no link is lost however large a bucket is, and a bucket whose
+members are already joined costs no pairs.
 
 A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be split by adaptive execution; the minimum in
 each bucket is pre-aggregated. Every intermediate is a table in the shared folder.
@@ -30,8 +31,8 @@ from .shingles import WordHashes, mix, shingle_set, words_of
 
 SIDE, ROWS = 16, 3
 THRESHOLD = 80
-#: How many untried centres a document is compared with, round by round.
-ROUNDS = (1, 4, 16)
+#: Rounds in which each document is compared with one centre of its open buckets.
+ROUNDS = 6
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -134,47 +135,50 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     classes = known.join(reps, of_set).where("id = rep")
     tables = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(SIDE + j).alias("j")) for i in range(SIDE) for j in range(SIDE)))
     keys = classes.select("rep", "n", "bands", F.explode(tables).alias("t")).select(
-        F.xxhash64(F.get("bands", F.col("t.i")), F.get("bands", F.col("t.j")), F.col("t.i"), F.col("t.j")).alias("key"), "rep"
+        F.xxhash64(F.get("bands", F.col("t.i")), F.get("bands", F.col("t.j"))).alias("key"), "rep", F.col("t.i").cast("byte").alias("i"), F.col("t.j").cast("byte").alias("j")
     )
     bucket = Window.partitionBy("key")
     # one shuffle of keys; a bucket of one set (nearly all are) ends here
-    members = space.keep(keys.withColumns({"lo": F.min("rep").over(bucket), "hi": F.max("rep").over(bucket)}).where("lo < hi").select("key", "rep"))
+    members = space.keep(keys.withColumns({"lo": F.min("rep").over(bucket), "hi": F.max("rep").over(bucket)}).where("lo < hi").select("key", "rep", "i", "j"))
     nodes = space.keep(members.groupBy("rep").agg(F.count(F.lit(1)).alias("tables")).select(F.col("rep").alias("id")))
     sets = space.keep(full_sets(docs.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, lower).dropDuplicates(["id"]))
     size = sets.select("id", F.size("s").alias("n"))
-    # per bucket four centres: the least, the greatest, and two by hash
-    by_hash = lambda salt: F.min(F.struct(F.xxhash64("rep", F.lit(salt)), F.col("rep")))["rep"]
-    centres = members.groupBy("key").agg(F.array_distinct(F.array(F.min("rep"), F.max("rep"), by_hash(1), by_hash(2))).alias("c"))
-    stars = members.join(centres, "key").select("rep", F.explode("c").alias("c")).where("rep != c").groupBy(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
-    near = lambda p: p.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").drop("na", "nb")
-    open_pairs = space.keep(near(stars))
-    labels = space.keep(nodes.select("id", F.col("id").alias("comp")))
-    tried = None
 
-    def apart(pairs: DataFrame) -> DataFrame:
-        of = lambda c: labels.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-        return pairs.join(of("a"), "a").join(of("b"), "b").where("ca != cb").drop("ca", "cb")
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sizes allow the similarity."""
+        of = lambda c: size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)").select("a", "b")
 
-    for most in ROUNDS:
-        ranked = apart(open_pairs).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("shared"), "a")))
-        ranked = space.keep(ranked)
-        now, later = ranked.where(F.col("r") <= most), ranked.where(F.col("r") > most)
-        if now.isEmpty():
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    labels = space.keep(nodes.select("id", F.col("id").alias("comp")))
+    tried = None
+    for salt in range(ROUNDS):
+        named = members.join(labels.withColumnRenamed("id", "rep"), "rep")
+        h = F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep")
+        centres = named.groupBy("key").agg(F.min_by("rep", h).alias("c"), F.min_by("comp", h).alias("cc"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
+        chosen = named.join(centres, "key").where("comp != cc").groupBy("rep").agg(F.mode("c", True).alias("c"))
+        pairs = chosen.select(*ordered("rep", "c")).distinct()
+        pairs = space.keep(near(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")))
+        if pairs.isEmpty():
             break
-        labels = components(space, nodes, space.keep(confirm(now, sets, threshold)), labels)
-        tried = now.select("a", "b") if tried is None else tried.unionByName(now.select("a", "b"))
-        open_pairs = space.keep(later.drop("r"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = components(space, nodes, space.keep(confirm(pairs, sets, threshold)), labels)
     # Whatever is still apart within a bucket: members outside its most frequent component against all others.
     sided = members.join(labels.withColumnRenamed("id", "rep"), "rep")
     split = sided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
     main = split.groupBy("key").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
-    sided = space.keep(sided.join(main, "key"))
-    out = sided.where("comp != main").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    # the pair of a bucket's lone outlier and a member is listed once for all the buckets that hold both
-    rest = out.join(sided.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy")), "key").where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if tried is not None:
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-    rest = space.keep(near(rest))
+    banded = classes.select("rep", "n", "bands")
+    sided = space.keep(sided.join(main, "key").join(banded.join(nodes, banded["rep"] == nodes["id"], "left_semi"), "rep"))
+    x = sided.where("comp != main").select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "bands")))
+    y = sided.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "bands")))
+    # a band hash holds its number, so bands agree where arrays overlap; the first bands that agree name the pair's table
+    earlier = lambda c, at, to: F.slice(c, at + 1, to)
+    first = ~F.arrays_overlap(earlier("x_bands", F.lit(0), F.col("i")), earlier("y_bands", F.lit(0), F.col("i"))) & ~F.arrays_overlap(
+        earlier("x_bands", F.lit(SIDE), F.col("j") - SIDE), earlier("y_bands", F.lit(SIDE), F.col("j") - SIDE)
+    )
+    fits = (F.col("x_comp") != F.col("y_comp")) & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
+    rest = x.join(y, (x["key"] == y["key"]) & fits & first).select(*ordered("x_rep", "y_rep")).distinct()
+    rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
     final = base.select("id", *of_set).join(reps, of_set, "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
