@@ -95,14 +95,17 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
     random, other = [0.0] * SIZE * SIZE, [0.0] * SIZE * SIZE
     for row in counts.collect():  # at most SIZE * SIZE rows
         random[row["pair"]], other[row["pair"]] = float(row["r"]), float(row["o"])
+    # what ordinary words never show leans on how rare its second character is in them
+    single = [sum(other[b::SIZE]) for b in range(SIZE)]
+    rare = [(x + 0.5) / (sum(single) + 0.5 * SIZE) for x in single]
     out = []
     for a in range(SIZE):
         at = slice(a * SIZE, (a + 1) * SIZE)
-        # hex values dominate what patterns catch: half of the random model is a uniform one over the alphabet
         sr, so = sum(random[at]), sum(other[at])
-        for r, o in zip(random[at], other[at], strict=True):
+        for r, o, u in zip(random[at], other[at], rare, strict=True):
+            # hex values dominate what patterns catch: half of the random model is a uniform one over the alphabet
             p = 0.5 / SIZE + 0.5 * (r + 1) / (sr + SIZE)
-            out.append(math.log(p) - math.log((o + 1) / (so + SIZE)))
+            out.append(math.log(p) - math.log((o + 4 * u) / (so + 4)))
     return out
 
 

@@ -13,6 +13,7 @@ labels counts as toxic if one of them is 1; only the named columns are read.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -26,7 +27,9 @@ from .common import crc_mod, table
 BITS = 18
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
 HELD_OUT = (4, 2)
-STEPS, RATE, DECAY = 300, 0.05, 3e-3
+STEPS, RATE = 300, 0.05
+#: Weight decay for so many texts; fewer texts need more.
+DECAY, DECAY_TEXTS = 3e-3, 7_500
 BEGINNINGS = (5, 6, 7)
 THRESHOLD = 0.3
 
@@ -100,6 +103,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     df = np.bincount(fp, minlength=size) + np.bincount(fu, minlength=size)
     live = df >= 3
     np_, nu = len(positive), len(unlabelled)
+    decay = DECAY * math.sqrt(DECAY_TEXTS / (np_ + nu))
     fp, rp, xp = (x[live[fp]] for x in (fp, rp, xp))
     fu, ru, xu = (x[live[fu]] for x in (fu, ru, xu))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
@@ -114,7 +118,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
             gp, gu = prior * sp / np_, -su / nu
         grad = np.bincount(fp, gp[rp] * xp, size + 1) + np.bincount(fu, gu[ru] * xu, size + 1)
         grad[-1] = gp.sum() + gu.sum()
-        grad[:-1] += DECAY * w[:-1]
+        grad[:-1] += decay * w[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         w -= RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
