@@ -156,6 +156,7 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
         named = members.join(labels.withColumnRenamed("id", "rep"), "rep")
         h = F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep")
         centres = named.groupBy("key").agg(F.min_by("rep", h).alias("c"), F.min_by("comp", h).alias("cc"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
+        centres = space.keep(centres)  # so that adaptive execution can split a hot bucket's rows
         chosen = named.join(centres, "key").where("comp != cc").groupBy("rep").agg(F.mode("c", True).alias("c"))
         pairs = chosen.select(*ordered("rep", "c")).distinct()
         pairs = space.keep(near(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")))

@@ -90,20 +90,21 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     """k, spans: runs of window starts (s, e) whose words occur elsewhere; docs: k, text."""
     space = Workspace(docs.sparkSession)
     every = space.keep(parse(docs, window, anchor))
-    repeated = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # sums are written before they are joined, so that adaptive execution can split a hot anchor's rows
+    repeated = space.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
     found = space.keep(every.join(repeated, "anchor"))
     space.drop(every)
     copies = space.keep(found.groupBy("anchor", "factor").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "s", "e")).alias("one")))
-    mixed = copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    mixed = space.keep(copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor"))
     partial = copies.join(mixed, "anchor")
     whole = found.join(copies.where("n > 1").select("anchor", "factor"), ["anchor", "factor"]).select("k", "s", "e")
     # a factor without a twin is judged; one copy of each of the others is there to be met
     open_ = partial.select(F.col("one.k").alias("k"), F.struct("one.s", "one.e", (F.col("n") == 1).alias("judged")).alias("f")).groupBy("k").agg(F.collect_list("f").alias("f"))
     seen = space.keep(window_hashes(docs.join(open_, "k").select("k", "text", "f"), window))
-    twice = seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
+    twice = space.keep(seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
     single = seen.where("judged").join(twice, "w").select("k", "s", F.col("s").alias("e"))
     marks = space.keep(whole.unionByName(single).groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
-    for x in (found, copies, seen):
+    for x in (repeated, found, copies, mixed, seen, twice):
         space.drop(x)
     return marks
 
