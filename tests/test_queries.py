@@ -5,8 +5,11 @@ import math
 import duckdb
 import pytest
 
+from wardlake.plans import ingestion
 from wardlake.plans.queries import QUERIES, SQL
 
+assert ingestion  # registers its queries
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
