@@ -51,27 +51,31 @@ def scale(f: np.ndarray) -> float:
     return 8 / np.sqrt(max(len(f), 20))
 
 
-def _sampled(rows: DataFrame, most: int, n: int) -> DataFrame:
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    return rows
-
-
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray], float]:
-    """Features of positive and unlabelled training texts, and the class prior."""
+    """Features of positive and unlabelled training texts, and the class prior.
+
+    Ids are drawn first, by hash; the drawn ones (their number is bounded) are broadcast, so that no text is shuffled.
+    """
     n, out = HELD_OUT
-    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = docs.select("doc_id", "text").where(crc_mod(F.col("doc_id"), n) != out).join(marks, "doc_id", "left")
-    count = train.groupBy().agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count("toxic").alias("l"), F.count(F.lit(1)).alias("n")).first()
+    marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where((crc_mod(F.col("doc_id"), n) != out) & F.col("doc_id").isNotNull())
+    trained = docs.where((crc_mod(F.col("doc_id"), n) != out) & F.col("doc_id").isNotNull())
+    count = marks.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count("toxic").alias("l")).first()
+    total = trained.count()
     prior = count["p"] / count["l"] if count["l"] else 0.5
+    million = F.lit(1_000_000)
+    share = lambda most, of: int(1_000_000 * min(1.0, most / max(of, 1)))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), million)
+    positive = marks.where((F.col("toxic") == 1) & (draw < share(MAX_POSITIVE, count["p"]))).select("doc_id", F.lit(True).alias("positive"))
+    # what is confirmed toxic is not unlabelled, drawn or not
+    candidates = trained.select("doc_id").where(draw < share(MAX_UNLABELLED, total)).distinct()
+    unlabelled = candidates.join(marks.where("toxic = 1"), "doc_id", "left_anti").select("doc_id", F.lit(False).alias("positive"))
+    drawn = F.broadcast(positive.unionByName(unlabelled))  # some MAX_POSITIVE + MAX_UNLABELLED ids
 
     def numbers(batches):
         for b in batches:
             yield pd.DataFrame({"positive": b["positive"], "f": [features(t).astype(np.int32).tobytes() for t in b["text"]]})
 
-    positive = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    some = _sampled(train.where(positive), MAX_POSITIVE, count["p"]).unionByName(_sampled(train.where(~positive), MAX_UNLABELLED, count["n"] - count["p"]))
-    rows = some.select("text", positive.alias("positive")).mapInPandas(numbers, "positive boolean, f binary").collect()
+    rows = trained.select("doc_id", "text").join(drawn, "doc_id").select("text", "positive").mapInPandas(numbers, "positive boolean, f binary").collect()
     rows = sorted((r["positive"], bytes(r["f"])) for r in rows)  # so that the sums, and the model, don't depend on the partitions
     return [np.frombuffer(f, np.int32) for p, f in rows if p], [np.frombuffer(f, np.int32) for p, f in rows if not p], prior
 
