@@ -32,7 +32,7 @@ from .shingles import WordHashes, mix, shingle_set, words_of
 SIDE, ROWS = 16, 3
 THRESHOLD = 80
 #: Rounds in which each document is compared with one centre of its open buckets.
-ROUNDS = 6
+ROUNDS = 3
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +105,9 @@ def components(space: Workspace, nodes: DataFrame, edges: DataFrame, start: Data
         hooks = space.keep(named.where("y < x").groupBy("x").agg(F.min("y").alias("y")))
         if hooks.isEmpty():
             return labels
-        # chains of hooks end after a few jumps
-        while True:
-            nxt = space.keep(hooks.join(hooks.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select("x", F.coalesce("z", "y").alias("y"), F.col("z").isNotNull().alias("moved")))
-            hooks = nxt.select("x", "y")
-            if nxt.where("moved").isEmpty():
-                break
-        labels = space.keep(labels.join(hooks.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("y", "comp").alias("comp")))
+        # two steps along a chain of hooks at a time; what is longer goes on in the next pass
+        twice = hooks.join(hooks.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(F.col("x").alias("comp"), F.coalesce("z", "y").alias("y"))
+        labels = space.keep(labels.join(twice, "comp", "left").select("id", F.coalesce("y", "comp").alias("comp")))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
