@@ -161,3 +161,29 @@ def pseudonym(host: Column) -> Column:
 
 def truncated(text: Column, most: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(" [truncated]"))).otherwise(text)
+
+
+#: Fixed values.
+PACKAGE_SUFFIXES, STAGING, PACKAGE_COMMS = (".dpkg-new", ".apk-new"), ".apk.", ("dpkg", "dpkg-deb", "apt", "apt-get", "apk")
+
+
+def rename_spared(old: Column, new: Column, comm: Column, trusted: Column) -> Column:
+    """Renames that are routine: suffixes without letters, trusted edits in place, mail flags and deliveries, package managers."""
+    suffix = appended_suffix(old, new)
+    base = lambda p: F.substring_index(p, "/", -1)
+    flagless = lambda p: F.regexp_replace(base(p), r":2,[DFPRST]*$", "")
+    mail = new.rlike(r":2,[DFPRST]*$") & (flagless(old) == flagless(new))
+    delivery = old.rlike("/tmp/[^/]+$") & new.rlike("/(new|cur)/[^/]+$") & (flagless(old) == flagless(new))
+    package = comm.isin(*PACKAGE_COMMS) & (F.endswith(old, F.lit(PACKAGE_SUFFIXES[0])) | F.endswith(old, F.lit(PACKAGE_SUFFIXES[1])) | F.startswith(base(old), F.lit(STAGING)))
+    return F.coalesce(suffix.isNotNull() & ~suffix.rlike("[A-Za-z]"), F.lit(False)) | ((comm == "sed") & trusted) | mail | delivery | package
+
+
+#: What of an event is shown as evidence.
+EVIDENCE = ("type", "image_path", "cmdline", "daddr", "path")
+
+
+def evidence(event: Column) -> Column:
+    """The listed fields of an event's JSON, where they are text; long command lines are cut; none: null."""
+    field = lambda f: F.get_json_object(event, f"$.{f}")
+    shown = F.struct(*((truncated(field(f)) if f == "cmdline" else field(f)).alias(f) for f in EVIDENCE))
+    return F.when(F.coalesce(*(field(f) for f in EVIDENCE)).isNotNull(), F.to_json(shown))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import ingest, logs
-from .queries import on_ev, register
+from .queries import _own_folder, on_ev, register
 from .telemetry import of_type, telemetry
 
 
@@ -112,11 +112,7 @@ def _(spark, d):
 def _(spark, d):
     from uuid import uuid4
 
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="wardlake-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark)
     at = f"{folder}/capture-{uuid4().hex}"
     meta = F.struct("pid", "ppid", (F.col("ts_us") * 1000).alias("timestamp_ns"), "comm")
     telemetry(spark, d).select("type", meta.alias("meta"), "image_path", "daddr", "dport").write.json(at)

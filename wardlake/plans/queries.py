@@ -116,6 +116,16 @@ SCALARS: dict[str, tuple[Callable[[], object], str]] = {
     "pseudonymise_host": (lambda: S.pseudonym(F.col("agent_id")), "left(sha256(agent_id), 12)"),
     "evidence_truncation": (lambda: S.truncated(F.repeat("cmdline", 12)), "CASE WHEN length(repeat(cmdline, 12)) > 200 THEN left(repeat(cmdline, 12), 200) || ' [truncated]' ELSE repeat(cmdline, 12) END"),
 }
+SCALARS |= {
+    "rename_exclusions": (
+        lambda: S.rename_spared(F.lit("/m/tmp/a"), F.when(F.col("k") % 3 == 0, "/m/tmp/a.123").when(F.col("k") % 3 == 1, "/m/cur/a:2,S").otherwise("/m/tmp/a.locked"), F.col("comm"), F.lit(True)),
+        "k % 3 != 2",
+    ),
+    "evidence_projection": (
+        lambda: S.evidence(F.to_json(F.struct("type", "cmdline", "daddr", F.col("k").alias("hidden")))),
+        """'{"type":"' || type || '","cmdline":"' || cmdline || '","daddr":"' || daddr || '"}'""",
+    ),
+}
 for _name, (_make, _duck) in SCALARS.items():
     on_ev(_name, f"SELECT event_id, {_duck} AS v FROM ev")(lambda ev, m=_make: ev.select("event_id", m().alias("v")))
 
@@ -813,3 +823,33 @@ def _(spark, d):
 def _(spark, d):
     r = learning.robustness(_scored(spark, d), -1.0)
     return learning.floor_check(r, r)
+
+
+@on_ev("dataset_manifest", "SELECT count(*) AS samples FROM ev WHERE type = 'exec'")
+def _(ev):
+    from uuid import uuid4
+
+    from ..sources import ingest
+
+    at = f"{ev.sparkSession.conf.get('spark.checkpoint.dir', None) or _own_folder(ev.sparkSession)}/corpus-{uuid4().hex}"
+    rows = of_type(ev, "exec").select(F.lit("v1").alias("version"), (F.col("ts_us") * 1000).alias("timestamp_ns"), "cmdline")
+    return ingest.export_corpus(rows, "v1", at).agg(F.sum("samples").alias("samples"))
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """Where nothing is set, as in tests, a folder of our own."""
+    import tempfile
+
+    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="wardlake-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+@on_ev("lake_layout", "SELECT tenant_id, type, count(*) AS n FROM ev GROUP BY ALL")
+def _(ev):
+    from uuid import uuid4
+
+    from ..sources import ingest
+
+    at = f"{ev.sparkSession.conf.get('spark.checkpoint.dir', None) or _own_folder(ev.sparkSession)}/lake-{uuid4().hex}"
+    ingest.write_lake(ev.select("tenant_id", "type", "ts_us", "event_id"), at)
+    return ev.sparkSession.read.parquet(at).groupBy("tenant_id", "type").agg(F.count(F.lit(1)).alias("n"))
