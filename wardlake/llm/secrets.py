@@ -110,8 +110,8 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
 
 
 def _ratio(token: Column, model: list[float]) -> Column:
-    table_ = F.array(*map(F.lit, model)) if len(model) < 10 else F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in model) + "]"), "array<double>")
-    return let(_pairs(token), lambda p: F.aggregate(F.transform(p, lambda i: F.get(table_, i)), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(p), F.lit(1)))
+    ratios = F.from_json(F.lit("[" + ",".join(f"{x:.6f}" for x in model) + "]"), "array<double>")  # folded into a literal
+    return let(_pairs(token), lambda p: F.aggregate(F.transform(p, lambda i: F.get(ratios, i)), F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(p), F.lit(1)))
 
 
 def with_spans(docs: DataFrame, model: list[float], text: str = "text", threshold: float = THRESHOLD, out: str = "found") -> DataFrame:
