@@ -8,7 +8,7 @@ fail with a probability of 1e-5 a side.
 Copies (equal sets) collapse to their smallest id first. Every pair that is linked is confirmed on full sets, in rounds: a document
 is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
 with the components so far. What is still apart within a bucket is then compared with every member outside its component, from
-the smaller side, each pair in the first table that holds both: no link is lost however large a bucket is, and a bucket whose
+the smaller side, each pair in the first table that holds both, unless sizes or parities rule the link out: none is lost however large a bucket is, and a bucket whose
 members are already joined costs no pairs.
 
 A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be split by adaptive execution; the minimum in
@@ -31,6 +31,8 @@ from .shingles import WordHashes, mix, shingle_set, words_of
 
 SIDE, ROWS = 16, 3
 THRESHOLD = 80
+#: Cells of the parity test.
+CELLS = 2048
 #: Rounds in which each document is compared with one centre of its open buckets.
 ROUNDS = 3
 
@@ -76,8 +78,15 @@ def signatures(docs: DataFrame, k: int, lower: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, bands array<long>")
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit j tells whether an odd number of shingles falls in cell j. Bits that differ between two sets are no more than the
+    shingles that only one of them has, so this is a sure test for pairs that can't be similar."""
+    cells = np.bincount((shingles & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(cells.astype(np.uint8)).view(np.int64)
+
+
 def full_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
-    """id, s (distinct shingle hashes)."""
+    """id, s (distinct shingle hashes), p (their parity in CELLS cells)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -86,10 +95,11 @@ def full_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
             ids, texts = batch.column("doc_id"), batch.column("text")
             step = 256
             for lo in range(0, len(ids), step):
-                sets = [shingle_set(hashes.of(words_of(t.as_py(), lower)), k).view(np.int64) for t in texts.slice(lo, step)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, step), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+                sets = [shingle_set(hashes.of(words_of(t.as_py(), lower)), k) for t in texts.slice(lo, step)]
+                lists = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, step), pa.array([s.view(np.int64) for s in sets], lists), pa.array([parity(s) for s in sets], lists)], ["id", "s", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, s array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, s array<long>, p array<long>")
 
 
 def components(space: Workspace, nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -164,17 +174,19 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     sided = members.join(labels.withColumnRenamed("id", "rep"), "rep")
     split = sided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
     main = split.groupBy("key").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
-    banded = classes.select("rep", "n", "bands")
-    sided = space.keep(sided.join(main, "key").join(banded.join(nodes, banded["rep"] == nodes["id"], "left_semi"), "rep"))
-    x = sided.where("comp != main").select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "bands")))
-    y = sided.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "bands")))
+    banded = classes.select("rep", "n", "bands").join(sets.select(F.col("id").alias("rep"), "p"), "rep")
+    sided = space.keep(sided.join(main, "key").join(banded, "rep"))
+    x = sided.where("comp != main").select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "bands", "p")))
+    y = sided.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "bands", "p")))
     # a band hash holds its number, so bands agree where arrays overlap; the first bands that agree name the pair's table
     earlier = lambda c, at, to: F.slice(c, at + 1, to)
     first = ~F.arrays_overlap(earlier("x_bands", F.lit(0), F.col("i")), earlier("y_bands", F.lit(0), F.col("i"))) & ~F.arrays_overlap(
         earlier("x_bands", F.lit(SIDE), F.col("j") - SIDE), earlier("y_bands", F.lit(SIDE), F.col("j") - SIDE)
     )
     fits = (F.col("x_comp") != F.col("y_comp")) & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
-    rest = x.join(y, (x["key"] == y["key"]) & fits & first).select(*ordered("x_rep", "y_rep")).distinct()
+    differ = F.aggregate(F.zip_with("x_p", "y_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    alike = (100 + threshold) * differ <= (100 - threshold) * (F.col("x_n") + F.col("y_n"))
+    rest = x.join(y, (x["key"] == y["key"]) & fits & first & alike).select(*ordered("x_rep", "y_rep")).distinct()
     rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
