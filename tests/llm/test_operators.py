@@ -312,3 +312,18 @@ def test_null_ids_and_repeated_rows(spark):
     assert all(r["n_removed"] == r["n_words"] for r in substrings.cut(docs).collect())
     assert sorted(str(r["doc_id"]) for r in licenses.report(docs).collect()) == ["1152921504606846977", "3", "None", "None"]
     assert {r["doc_id"] for r in packing.pack(docs, P.path("byte_bpe_50k.json")).collect()} == {None, 3, 2**60 + 1}
+
+
+def test_one_copy_of_repeated_and_null_id_rows_survives_both_stages(spark):
+    rng = random.Random(10)
+    t, u, v, w = (prose(rng, 80) for _ in range(4))
+    near = " ".join([*v.split()[:-1], "changed"])
+    data = [(None, t), (None, t), (7, t), (7, t), (7, t), (9, t), (None, u), (None, u), (4, v), (None, near), (5, w), (5, w)]
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in data], "doc_id long, text string, n_chars long")
+    one = neardup.keep_one(docs)
+    assert one.columns == docs.columns
+    expected = sorted([("7", t), ("None", u), ("4", v), ("5", w)])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in one.collect()) == expected
+    assert sorted((str(r["doc_id"]), r["text"]) for r in substrings.strip(one).collect()) == expected
+    named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(named).collect()) == expected

@@ -195,10 +195,28 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     return final.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _row_key(docs: DataFrame):
+    """doc_id; rows without one are named by their text, above other ids, so that copies share a name and documents with an id go first."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    h = F.xxhash64("text")
+    if kind == "string":
+        return F.coalesce("doc_id", F.concat(F.lit("\U0010ffff"), F.hex(h)))
+    return F.coalesce(F.col("doc_id").cast("long"), h.bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)))
+
+
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The documents without all but one of each group, columns as they were."""
-    gone = find(docs, k).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without all but one of each group, columns as they were.
+
+    Rows with a null id take part like any others; of rows that repeat an id and text one stays.
+    """
+    rows = docs.withColumn("__key", _row_key(docs))
+    gone = find(rows.select(F.col("__key").alias("doc_id"), "text"), k).where("NOT kept").select(F.col("doc_id").alias("__key")).distinct()
+    left = rows.join(gone, "__key", "left_anti")
+    repeated = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key")
+    single = left.join(repeated, "__key", "left_anti")
+    # the copies of a row are dropped within each task before they are shuffled
+    one = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key", "text"])
+    return single.unionByName(one).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
