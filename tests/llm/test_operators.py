@@ -327,3 +327,14 @@ def test_one_copy_of_repeated_and_null_id_rows_survives_both_stages(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in substrings.strip(one).collect()) == expected
     named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     assert sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(named).collect()) == expected
+
+
+def test_every_training_text_is_learnt_from(spark):
+    rng = random.Random(12)
+    data = [prose(rng, 20), *[prose(rng, 60)] * 300, prose(rng, 401_000), None]
+    train = spark.createDataFrame([(t,) for t in data], "text string")
+    vocab = lm.vocabulary(lm.count_tokens(train), len(data))
+    model = lm.token_mixer(train, vocab, spark.sparkContext.broadcast(vocab))
+    number = lm.TokenNumbers(vocab.hashes)
+    ids = [n for t in data for n in (*number.of([w.encode() for w in words(t)]).tolist(), lm.END)]
+    assert model.learnt_bits == vocab.width[ids].sum()
