@@ -329,6 +329,17 @@ def test_one_copy_of_repeated_and_null_id_rows_survives_both_stages(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(named).collect()) == expected
 
 
+def test_unknown_words_are_spelled_by_what_small_tables_teach(spark):
+    rng = random.Random(11)
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 != 1]
+    a, b = [i for i in range(200) if i not in train][:2]
+    data = [(i, prose(rng, 50)) for i in train] + [(a, "theraninget"), (b, "qzxjvkwqfyz")]
+    got = rows_of(lm.score(spark.createDataFrame(data, "doc_id long, text string")))
+    assert got[a]["n_known"] == got[b]["n_known"] == 1
+    # a byte that nothing is known of costs log10(256)
+    assert got[a]["score"] > got[b]["score"] + 3 and got[a]["score"] > -12 * np.log10(256)
+
+
 def test_every_training_text_is_learnt_from(spark):
     rng = random.Random(12)
     data = [prose(rng, 20), *[prose(rng, 60)] * 300, prose(rng, 401_000), None]
