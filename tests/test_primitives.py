@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlake.operators import primitives as P
+from wardlake.operators import rules
 
 SCHEMA = "event_id long, key string, ts long, v string"
 
@@ -71,3 +72,13 @@ def test_as_of_takes_the_last_before(spark):
 def test_unknown_generation_matches(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 2)], "a int, b int").select(P.same_generation(F.col("a"), F.col("b")).alias("x"))
     assert [r["x"] for r in df.collect()] == [True, False, True]
+
+
+def test_rule_tables_of_any_size_hold_whole(spark):
+    n = 10_500
+    definitions = [(f"r{i}", "low", "comm", "equals", f"V{i}") for i in range(n)] + [("both", "high", "Comm", "startswith", "v"), ("both", "high", "cmdline", "contains", "x"), ("null", "low", "comm", "equals", None)]
+    table = spark.createDataFrame(definitions, "rule_id string, level string, field string, modifier string, value string")
+    ev = spark.createDataFrame([(i, f"v{i}", "aXb" if i % 2 else None) for i in (0, 1, 9_999, 10_000, n - 1, n)], "event_id long, comm string, cmdline string")
+    got = sorted((r["event_id"], r["rule_id"]) for r in rules.sigma(ev, table).collect())
+    assert got == sorted([(i, f"r{i}") for i in (0, 1, 9_999, 10_000, n - 1)] + [(i, "both") for i in (1, 9_999, n - 1)])
+    assert rules.sigma(ev, table.limit(0)).count() == 0

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 
@@ -158,19 +159,18 @@ def http_signature(target: Column, agent: Column) -> Column:
 def sigma(ev: DataFrame, definitions: DataFrame) -> DataFrame:
     """Rules as rows (rule_id, level, field, modifier, value): AND over fields, OR over values, case ignored.
 
-    definitions is small content, not data: it is folded into one expression at most a few thousand rows long.
+    All rules become one row of nested arrays, broadcast to the events; a field that events lack, or null, matches nothing.
     """
-    by_rule: dict[tuple[str, str], dict[str, list[tuple[str, str]]]] = {}
-    for r in definitions.limit(10_000).collect():
-        by_rule.setdefault((r["rule_id"], r["level"]), {}).setdefault(r["field"], []).append((r["modifier"], r["value"].lower()))
+    values = definitions.groupBy("rule_id", "level", "field").agg(F.collect_list(F.struct("modifier", F.lower("value").alias("value"))).alias("values"))
+    fields = values.groupBy("rule_id", "level").agg(F.collect_list(F.struct("field", "values")).alias("fields"))
+    every = fields.agg(F.collect_list(F.struct("rule_id", "level", "fields")).alias("__rules"))
+    plain = [f.name for f in ev.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    texts = F.create_map(*(x for c in plain for x in (F.lit(c.lower()), F.lower(F.col(f"`{c}`").cast("string")))))
     tests = {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith, "equals": lambda a, b: a == b}
-    hits = []
-    for (rule, level), fields in by_rule.items():
-        holds = F.lit(True)
-        for field, values in fields.items():
-            some = F.lit(False)
-            for modifier, value in values:
-                some = some | F.coalesce(tests[modifier](F.lower(F.col(field)), F.lit(value)), F.lit(False))
-            holds = holds & some
-        hits.append(F.when(holds, F.struct(F.lit(rule).alias("rule_id"), F.lit(level).alias("level"))))
-    return ev.select("*", F.inline(F.filter(F.array(*hits), lambda x: x.isNotNull())))
+
+    def met(text, v):
+        return F.coalesce(*(F.when(v["modifier"] == name, test(text, v["value"])) for name, test in tests.items()), F.lit(False))
+
+    holds = lambda r: F.forall(r["fields"], lambda f: F.exists(f["values"], lambda v: met(F.element_at(F.col("__texts"), F.lower(f["field"])), v)))
+    hits = F.transform(F.filter("__rules", holds), lambda r: F.struct(r["rule_id"].alias("rule_id"), r["level"].alias("level")))
+    return ev.withColumn("__texts", texts).crossJoin(F.broadcast(every)).select(*(f"`{c}`" for c in ev.columns), F.inline(hits))
