@@ -1,9 +1,10 @@
-"""Repeated passages by relative Lempel-Ziv parsing over an index in blocks.
+"""Repeated passages by factors cut at anchors, over an index in blocks.
 
-The reference of the parse is the corpus itself. Each document is cut greedily into factors: the longest runs of consecutive
-windows (35 words each) that hang on the same anchor, the least 8-word hash in the window. The same words always choose the
-same anchor, so a factor can only match factors with its anchor. The index of anchors is dealt in blocks by their hash; every
-factor goes to the block that holds its anchor.
+The dealt method is relative Lempel-Ziv parsing; this is not a greedy longest-match parse: no reference is read while a document
+is cut, and no match is extended. A document is cut where the least 8-word hash in the window changes (winnowing): a factor is a run
+of consecutive windows (35 words each) with the same anchor. The same words always choose the same anchor, so a factor can only
+match factors with its anchor, and each goes to the one block of the index that holds it; a greedy parse would have to meet every
+block with every document. Windows that repeat are all found, as below.
 
 * An anchor that occurs once ends there (most do).
 * A factor whose words all occur elsewhere as a factor is a duplicate span whole.
