@@ -349,3 +349,43 @@ def test_every_training_text_is_learnt_from(spark):
     number = lm.TokenNumbers(vocab.hashes, vocab.tree)
     ids = [n for t in data for n in (*number.coded(number.of([w.encode() for w in words(t)])).tolist(), lm.END)]
     assert model.learnt_bits == vocab.width[ids].sum()
+
+
+def removed_by_brute_force(bodies, n=35):
+    places = {}
+    for i, t in enumerate(bodies):
+        w = words(t)
+        for j in range(len(w) - n + 1):
+            places.setdefault(tuple(w[j : j + n]), []).append((i, j))
+    gone = [set() for _ in bodies]
+    for p in places.values():
+        if len(p) > 1:
+            for i, j in p:
+                gone[i].update(range(j, j + n))
+    return [len(g) for g in gone]
+
+
+def test_passages_with_shared_and_text_ids_and_edited_copies(spark):
+    rng = random.Random(13)
+    base = words(prose(rng, 400))
+    edited = []
+    for k in range(30):  # copies that match the reference in some places and each other in others
+        w = list(base)
+        for at in rng.sample(range(400), 8):
+            w[at] = f"edit{at % 3}"
+        edited.append(" ".join(w[rng.randint(0, 60) : rng.randint(300, 400)]))
+    bodies = [*edited, " ".join(base), " ".join([*base[:50], *words(prose(rng, 40)), *base[100:180], *base[60:120]]), "a b " * 100, prose(rng, 30), None, edited[0], edited[0]]
+    expected = removed_by_brute_force(bodies)
+    # ids that all rows of a third share, as numbers and as texts
+    for ids in ([i % 3 for i in range(len(bodies))], [f"doc {i % 3}" for i in range(len(bodies))], [None] * len(bodies)):
+        kind = "string" if isinstance(ids[0], str) else "long"
+        df = spark.createDataFrame([(i, t) for i, t in zip(ids, bodies, strict=True)], f"doc_id {kind}, text string")
+        got = substrings.cut(df).collect()
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in got) == sorted((str(i), len(words(t)), n) for i, t, n in zip(ids, bodies, expected, strict=True))
+
+
+def test_matches_are_the_longest():
+    x, y = np.array([9, 1, 2, 3, 4, 5, 7]), np.array([1, 2, 3, 4, 5, 6])
+    assert substrings.extend(x, 3, y, 2) == (1, 6)
+    assert substrings.extend(x, 1, x, 1) == (0, 7)
+    assert substrings.extend(x, 0, y, 0) == (0, 0)
