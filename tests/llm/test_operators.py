@@ -389,3 +389,18 @@ def test_matches_are_the_longest():
     assert substrings.extend(x, 3, y, 2) == (1, 6)
     assert substrings.extend(x, 1, x, 1) == (0, 7)
     assert substrings.extend(x, 0, y, 0) == (0, 0)
+
+
+def test_long_words_are_encoded_as_by_the_library():
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    encoder = bpe.Encoder(path, P.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.vocabulary(path)[1], special_tokens={})
+    rng = random.Random(14)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    long = [draw([chr(i) for i in range(0x4E00, 0x9FFF)], 50_000), draw("abcdefghijklmnopqrstuvwxyz", 16_000), draw("ab", 20_000), "x" * 30_000, draw("的一是不了在人有我", 20_000)]
+    short = [draw(letters, rng.randint(60, 400)) for letters in ("aeiounrst", "abエé日本", "01", "the an") for _ in range(25)]
+    for t, ids in zip(long + short, encoder.encode(long + short), strict=True):
+        assert ids.tolist() == own.encode_ordinary(t)

@@ -5,10 +5,15 @@ a task. Encoding is a recursive query: rows of (word, position, token) join the
 its leftmost pair of least rank, and words without a mergeable pair leave with their tokens in order. Decoding joins the
 ids of whole texts to the vocabulary and aggregates their bytes in order.
 
+Words of more than ``LONG`` bytes (texts without blanks) are first cut where no token of the vocabulary could lie across: every merge makes a token
+of the vocabulary, so none crosses such a place and both sides are independent. What is still long contracts all pairs of its least
+rank at once, from the left, as far as that is the same as one after another: until the first new token that makes a pair of lower rank with its
+neighbour. Where none does, the rounds are bounded by the vocabulary, not by the word's length.
+
 The chunk table of a task is bounded (``CACHE`` chunks; it is emptied when full), rows are taken in blocks of bounded
 size, and the ranks are a file of fixed size that each worker reads once.
 
-Defined results: a null text is an empty one and has no tokens; repeated rows are encoded one by one; equal ranks are
+Defined results: a null text is an empty one and has no tokens; a very long text is a block of its own; repeated rows are encoded one by one; equal ranks are
 contracted from the left; an empty table gives no rows; only the named columns are read; lone surrogates can't occur in
 Spark strings.
 """
@@ -43,6 +48,26 @@ WITH RECURSIVE step(word, toks) USING KEY (word) AS (
 )
 SELECT word, toks FROM step ORDER BY word
 """
+#: The same for long words, with all pairs of the least rank: from the left, every other one in a run of pairs that overlap (h, c), up to the
+#: first one beside which a pair of lower rank comes up (n, s); there the next round goes on.
+MERGE_LONG = """
+WITH RECURSIVE step(word, toks) USING KEY (word) AS (
+  SELECT word, toks FROM fresh
+  UNION
+  (WITH p AS (SELECT word, unnest(toks) AS a, unnest(toks[2:] || [NULL]) AS b, unnest(range(1, len(toks) + 1)) AS pos FROM step WHERE len(toks) > 1),
+  r AS (SELECT p.word, p.pos, m.made FROM p JOIN merges m USING (a, b)),
+  h AS (SELECT *, pos - row_number() OVER (PARTITION BY word ORDER BY pos) AS island FROM r JOIN (SELECT word, min(made) AS made FROM r GROUP BY word) USING (word, made)),
+  c AS (SELECT word, pos, made FROM (SELECT *, row_number() OVER (PARTITION BY word, island ORDER BY pos) AS k FROM h) WHERE k % 2 = 1),
+  n AS (SELECT c.word, c.pos, c.made, CASE WHEN l.pos IS NULL THEN x.a ELSE c.made END AS x, y.a AS y FROM c
+    LEFT JOIN c l ON l.word = c.word AND l.pos = c.pos - 2 LEFT JOIN p x ON x.word = c.word AND x.pos = c.pos - 1 LEFT JOIN p y ON y.word = c.word AND y.pos = c.pos + 2),
+  s AS (SELECT n.word, min(n.pos) AS stop FROM n LEFT JOIN merges u ON u.a = n.x AND u.b = n.made LEFT JOIN merges v ON v.a = n.made AND v.b = n.y WHERE least(u.made, v.made) < n.made GROUP BY n.word),
+  d AS (SELECT c.* FROM c LEFT JOIN s USING (word) WHERE stop IS NULL OR pos <= stop),
+  e AS (SELECT word, pos, made FROM d UNION ALL SELECT word, pos + 1, -1 FROM d)
+  SELECT word, list(coalesce(e.made, p.a) ORDER BY pos) AS toks FROM p LEFT JOIN e USING (word, pos) WHERE e.made IS DISTINCT FROM -1 AND word IN (SELECT word FROM d) GROUP BY word)
+)
+SELECT word, toks FROM step ORDER BY word
+"""
+LONG = 64
 
 
 @functools.cache
@@ -78,6 +103,29 @@ def database(path: str):
     return db
 
 
+@functools.cache
+def beginnings(path: str) -> frozenset[bytes]:
+    """Every beginning of every token."""
+    return frozenset(token[:n] for token in vocabulary(path)[1] for n in range(1, len(token) + 1))
+
+
+def independent(word: bytes, path: str) -> list[bytes]:
+    """The word, cut wherever no token of the vocabulary that occurs in it lies across."""
+    begins, ranks = beginnings(path), vocabulary(path)[1]
+    out, start, reach = [], 0, 0
+    for i in range(len(word)):
+        if i and reach <= i:
+            out.append(word[start:i])
+            start = i
+        end, last = i + 1, i + 1
+        while end <= len(word) and (piece := word[i:end]) in begins:
+            if piece in ranks:
+                last = end
+            end += 1
+        reach = max(reach, last)
+    return [*out, word[start:]]
+
+
 @functools.cache
 def encoder_of(path: str, pattern: str) -> Encoder:
     """The worker's own encoder: tasks that run in it one after another share what it has seen."""
@@ -90,7 +138,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         import regex
 
-        self.db, self.find = database(path), regex.compile(pattern).findall
+        self.path, self.db, self.find = path, database(path), regex.compile(pattern).findall
         self.wide = regex.compile(r"\s\s").search
         self.ranks = vocabulary(path)[1]
         self.decimal = [str(i) for i in range(len(vocabulary(path)[0]))].__getitem__
@@ -99,16 +147,23 @@ class Encoder:
 
     def words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of each distinct word, as little-endian 32-bit numbers; a word of the vocabulary is one token."""
-        whole = {w: r.to_bytes(4, "little") for w in words if (r := self.ranks.get(w.encode())) is not None}
-        words = [w for w in words if w not in whole]
-        if not words:
-            return whole
-        start = [[self.bytes[b] for b in w.encode()] for w in words]
-        self.db.register("fresh", pa.table({"word": pa.array(range(len(words)), pa.int32()), "toks": pa.array(start, pa.list_(pa.int32()))}))
-        done = self.db.sql(MERGE).to_arrow_table().column("toks").combine_chunks()
-        self.db.unregister("fresh")
-        ends, flat = done.offsets.to_numpy(), done.values.to_numpy().astype("<u4")
-        return whole | {w: flat[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(words)}
+        plain = {w: w.encode() for w in words}
+        parts = {w: independent(x, self.path) for w, x in plain.items() if len(x) > LONG}
+        ids = self.merged(sorted({*(x for w, x in plain.items() if w not in parts), *(x for p in parts.values() for x in p)}))
+        return {w: b"".join([ids[x] for x in parts[w]]) if w in parts else ids[plain[w]] for w in words}
+
+    def merged(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out = {w: r.to_bytes(4, "little") for w in words if (r := self.ranks.get(w)) is not None}
+        rest = [w for w in words if w not in out]
+        for form, some in ((MERGE, [w for w in rest if len(w) <= LONG]), (MERGE_LONG, [w for w in rest if len(w) > LONG])):
+            if some:
+                start = [[self.bytes[b] for b in w] for w in some]
+                self.db.register("fresh", pa.table({"word": pa.array(range(len(some)), pa.int32()), "toks": pa.array(start, pa.list_(pa.int32()))}))
+                done = self.db.sql(form).to_arrow_table().column("toks").combine_chunks()
+                self.db.unregister("fresh")
+                ends, flat = done.offsets.to_numpy(), done.values.to_numpy().astype("<u4")
+                out |= {w: flat[ends[i] : ends[i + 1]].tobytes() for i, w in enumerate(some)}
+        return out
 
     def split(self, text: str) -> list[str]:
         """Chunks that the pattern never crosses: at single spaces before a word, or the whole text."""
