@@ -135,7 +135,6 @@ def test_packing(docs):
 
     path = P.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     out = packing.pack(docs, path).collect()
     pieces, sequences = {}, {}
     for r in out:
@@ -404,3 +403,16 @@ def test_long_words_are_encoded_as_by_the_library():
     short = [draw(letters, rng.randint(60, 400)) for letters in ("aeiounrst", "abエé日本", "01", "the an") for _ in range(25)]
     for t, ids in zip(long + short, encoder.encode(long + short), strict=True):
         assert ids.tolist() == own.encode_ordinary(t)
+
+
+def test_pieces_hold_the_ids_of_the_plain_call():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), packing.tokenizer(path)
+    rng = random.Random(15)
+    pieces = ["<|endoftext|>", "<|endoftext|", " ", "  ", "\n", "the", "end", "of", "text", "|>", "é", "日本", "'s", "12", ".", "\t", " <|endoftext|>"]
+    for _ in range(3000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
+        assert own.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t

@@ -12,14 +12,14 @@ whose length is a power of two needs no padding; those transitions are looked up
 The stream is solved block by block; the last window of a block goes on into the next, so memory is bounded by the block and the
 longest document. Sequence ids hold the partition's number above 40 bits; a task that is run again gives the same rows.
 
-Defined results: a null text is an empty one, its document is the end id alone; repeated rows are packed one by one (their
+Defined results: a null text is an empty one, its document is the end id alone; the name of a special token within a text is that token's id; repeated rows are packed one by one (their
 pieces share the id); among equal costs the later cut wins; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import zlib
 from collections import deque
 
@@ -40,6 +40,13 @@ CACHE = 400_000
 OUT = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from 256 on in order."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 @functools.cache
 def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
@@ -48,31 +55,26 @@ def tokenizer(path: str) -> Tokenizer:
 class Tokenizer:
     """Ids of whole texts; chunks between single spaces are encoded once, and kept in a bounded table.
 
-    Chunks are encoded by the vocabulary's rank file where there is one (the same ids, several times faster than the
-    JSON form's library), otherwise by that library.
+    The ids are those of the tokenizers library for the file, without special tokens added. They are computed from the file's own
+    table of merges, as ranks (several times faster); names of special tokens that occur in a text become their ids, as in that library.
     """
 
     def __init__(self, path: str):
-        import os
-
         import regex
+        import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer as Library
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        library = Library.from_file(path)
-        library.encode_special_tokens = True
-        names = [library.decode([i]).rstrip(" ") for i in range(library.get_vocab_size())]
-        self.ends = np.array([x[-1:] in (".", "!", "?", "\n") for x in names])
-        ranked = path.removesuffix(".json") + ".tiktoken"
-        if os.path.exists(ranked):
-            import tiktoken
-
-            with open(ranked, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.plain = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            self.plain = lambda t: library.encode(t, add_special_tokens=False).ids
+
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        letters = {c: b for b, c in byte_letters().items()}
+        ranks = {bytes(letters[c] for c in token): i for token, i in form["model"]["vocab"].items() if all(c in letters for c in token)}
+        special = {x["content"]: x["id"] for x in form["added_tokens"]}
+        for token in special:
+            ranks.pop(token.encode(), None)
+        names = {i: t for t, i in ranks.items()}
+        self.ends = np.array([names.get(i, b"").rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n") for i in range(max([*names, *special.values()]) + 1)])
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))).search if special else lambda t: None
+        self.plain = functools.partial(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode, allowed_special="all")
         self.wide = regex.compile(r"\s\s").search
         self.chunks: dict[str, bytes] = {}
 
@@ -85,7 +87,7 @@ class Tokenizer:
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if not text or self.wide(text) or text[-1].isspace() or text[0] == " ":
+        if not text or self.wide(text) or text[-1].isspace() or text[0] == " " or self.special(text):
             return np.array(self.plain(text), "<u4") if text else np.zeros(0, "<u4")
         first, *rest = text.split(" ")
         seen, make = self.chunks.get, self.chunk
