@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import json
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -74,12 +75,13 @@ class Tokenizer:
         names = {i: t for t, i in ranks.items()}
         self.ends = np.array([names.get(i, b"").rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n") for i in range(max([*names, *special.values()]) + 1)])
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))).search if special else lambda t: None
-        self.plain = functools.partial(tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special).encode, allowed_special="all")
+        own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.plain, self.ordinary = functools.partial(own.encode, allowed_special="all"), own.encode_ordinary
         self.wide = regex.compile(r"\s\s").search
         self.chunks: dict[str, bytes] = {}
 
     def chunk(self, c: str) -> bytes:
-        ids = np.array(self.plain(c), "<u4").tobytes()
+        ids = array("I", self.ordinary(c)).tobytes()
         if len(c) <= 64:
             if len(self.chunks) >= CACHE:
                 self.chunks.clear()
