@@ -416,3 +416,21 @@ def test_pieces_hold_the_ids_of_the_plain_call():
     for _ in range(3000):
         t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 12)))
         assert own.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_neighbours_of_ids_that_repeat(spark):
+    rng = np.random.default_rng(16)
+    v = [list(map(float, x)) for x in rng.normal(size=(200, 6))]
+    data = [(i, x) for i, x in enumerate(v)]
+    data += [(0, v[0])] * 5 + [(3, v[3])] * 40 + [(0, v[40]), (7, v[50]), (7, v[0]), (200, v[9]), (201, v[9]), (None, v[0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    df = df.withColumns({"id": F.lit("x"), "v": F.lit(1), "asks": F.lit(2), "shard": F.lit(3), "rank": F.lit(4)})
+    got = neighbours.search(df, F.col("vec_id") % 50 == 0, factor=1.0, shard=32).collect()
+    sets = {}
+    for i, x in data:
+        if i is not None:
+            sets.setdefault(i, []).append(np.array(x))
+    near = lambda a, b: max(float(x @ y) / np.sqrt(float(x @ x) * float(y @ y)) for x in sets[a] for y in sets[b])
+    for q in range(0, 201, 50):
+        best = sorted((-round(near(q, i), 12), i) for i in sets if i != q)[:5]
+        assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(n, i) for n, (_, i) in enumerate(best, 1)]

@@ -6,13 +6,17 @@ inequality, relaxed by ``factor``, shows that it can't hold a nearer vector: |d(
 only what is certain (the result is exact); a larger one skips more. Every shard returns its best of each query, and the best of
 those are the result; the cosines are computed in double precision from the original vectors.
 
-Shards hold about ``SHARD`` vectors, so a task's memory is bounded; queries meet shards in blocks of ``QUERIES``, whose number grows
-with the queries, and a (shard, block) pair is a group of its own.
+A vector goes to one shard of about ``SHARD`` vectors, by hash, and each shard's tree is built once: its partition reads the shard's
+vectors first, then the queries as a stream, so a task's memory is bounded by a shard and a batch. A query is sent to every shard, so
+with a fixed share of queries the work is their number times that of the shards; only pruning inside the trees saves any (little, where vectors are
+close to random). The queries are a stated set, not all pairs.
+
+An id is the set of its vectors: rows that repeat both are one, and the nearness of two ids whose rows differ is that of their nearest vectors, so a
+query lists an id once. Rows that share an id are found by their counts and only those are made distinct.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither as queries nor
-as candidates, and a query meets only vectors of its own length; repeated vectors are ordinary candidates, ties go to the smaller id, a row's
-own id is never its neighbour (so rows that repeat an id do not find each other); an empty table gives no rows; only the
-named columns are read.
+as candidates, and neither do rows with a null id; a query meets only vectors of its own length; equal vectors under other ids are ordinary candidates, ties
+go to the smaller id, a row's own id is never its neighbour; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -20,14 +24,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
 
-SHARD, QUERIES, LEAF = 4096, 4096, 128
+SHARD, LEAF = 16_384, 128
 FACTOR = 1.25
 
 
@@ -36,6 +39,7 @@ class Tree:
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF, seed: int = 7):
         self.x, self.leaf = x, leaf
+        self.repeats = False
         self.rng = np.random.default_rng(seed)
         self.root = self.build(np.arange(len(x)))
 
@@ -67,6 +71,14 @@ class Tree:
                 named = np.where(both_w >= 0, ids[both_w], np.iinfo(np.int64).max)
                 cut = np.partition(both_d, k - 1, axis=1)[:, k - 1 : k]
                 rank = np.where(both_d <= cut + 1e-12, both_d, np.inf)
+                if self.repeats:  # an id counts once, by its nearest vector
+                    order = np.lexsort((both_d, named), axis=1)
+                    again = np.zeros(both_d.shape, bool)
+                    in_order = np.take_along_axis(named, order, 1)
+                    np.put_along_axis(again, order[:, 1:], in_order[:, 1:] == in_order[:, :-1], 1)
+                    both_d[again], both_w[again] = np.inf, -1
+                    named = np.where(again, np.iinfo(np.int64).max, named)
+                    rank = both_d
                 order = np.lexsort((named, np.round(rank, 12)), axis=1)[:, :k]
                 best[s] = np.take_along_axis(both_d, order, 1)
                 where[s] = np.take_along_axis(both_w, order, 1)
@@ -102,41 +114,81 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.withColumn(vector, v).where(F.coalesce(finite, F.lit(False)))
 
 
-def search(vectors: DataFrame, queries, k: int = 5, factor: float = FACTOR, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+class Shard:
+    """A shard's vectors by length, each length with its tree."""
+
+    def __init__(self, ids: np.ndarray, vectors: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.trees = {}
+        for dim, (at, x) in vectors.items():
+            order = np.argsort(ids[at], kind="stable")
+            tree = Tree(unit(x)[order])
+            named = ids[at][order]
+            tree.repeats = bool((named[1:] == named[:-1]).any())
+            self.trees[dim] = named, x[order], tree
+
+    def answer(self, ids: np.ndarray, vectors: dict[int, tuple[np.ndarray, np.ndarray]], k: int, factor: float):
+        """(query, neighbour, cosine) of each query's best here."""
+        for dim, (at, q) in vectors.items():
+            if dim in self.trees:
+                named, x, tree = self.trees[dim]
+                _, where = tree.search(unit(q), ids[at], named, k, factor)
+                i, r = np.nonzero(where >= 0)
+                found = where[i, r]
+                yield ids[at][i], named[found], cosine(q[i], x[found])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = x / most
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def by_length(lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (rows, matrix)."""
+    size = np.diff(lists.offsets.to_numpy())
+    flat, start = lists.values.to_numpy(), lists.offsets.to_numpy()[:-1]
+    return {int(n): (at, flat[start[at][:, None] + np.arange(n)]) for n in np.unique(size) for at in [np.flatnonzero(size == n)]}
+
+
+def search(vectors: DataFrame, queries, k: int = 5, factor: float = FACTOR, key: str = "vec_id", vector: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank, key, score: the k nearest found of each row that queries (a condition) picks."""
     rows = usable(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), queries.alias("asked")), "v").where("id IS NOT NULL")
-    n = rows.groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("q")).first()
-    shards, blocks = max(1, math.ceil(n["n"] / shard)), max(1, math.ceil(n["q"] / block))
-    place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")
-    part = F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int")
-    # a vector is sent once for each block of queries, a query once for each shard; both numbers follow from the sizes
-    stored = rows.select("id", "v", F.lit(False).alias("asks"), place.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asking = rows.where("asked").select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part.alias("block"))
-
-    def answer(group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        asks = group.column("asks").to_numpy(zero_copy_only=False)
-        lists = group.column("v").combine_chunks()
-        size = np.diff(lists.offsets.to_numpy())
-        out = []
-        for dim in np.unique(size):
-            at = np.flatnonzero(size == dim)
-            x = np.stack([lists[i].values.to_numpy() for i in at.tolist()])
-            unit = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
-            a = asks[at]
-            if not a.any() or a.all():
-                continue
-            stored_ids = ids[at][~a]
-            order = np.argsort(stored_ids, kind="stable")
-            tree = Tree(unit[~a][order])
-            _, where = tree.search(unit[a], ids[at][a], stored_ids[order], k, factor)
-            q, r = np.nonzero(where >= 0)
-            c = where[q, r]
-            out.append(pd.DataFrame({"query_id": ids[at][a][q], "vec_id": stored_ids[order][c], "score": cosine(x[a][q], x[~a][order][c])}))
-        done = pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return pa.Table.from_pandas(done, preserve_index=False)
-
-    best = stored.unionByName(asking).groupBy("shard", "block").applyInArrow(answer, "query_id long, vec_id long, score double")
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    if total["repeated"]:
+        twice = counts.where("n > 1").select("id")
+        rows = rows.join(twice, "id", "left_anti").unionByName(rows.join(twice, "id", "left_semi").distinct())
+    shards = max(1, math.ceil(total["n"] / shard))
+    place = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
+    stored = rows.select("id", "v", F.lit(False).alias("asks"), place.alias("shard"))
+    asking = rows.where("asked").select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    names = ["query_id", "vec_id", "score"]
+
+    def answers(batches):
+        now, held, built = None, [], None
+        for b in batches:
+            shard_of, asks = b.column("shard").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(shard_of) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard_of)], strict=True):
+                if lo == hi:
+                    continue
+                if shard_of[lo] != now:
+                    now, held, built = shard_of[lo], [], None
+                part = b.slice(lo, hi - lo)
+                if not asks[lo]:
+                    held.append(part)
+                    continue
+                if built is None and held:
+                    every = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    built, held = Shard(every.column("id").to_numpy(), by_length(every.column("v"))), []
+                if built is not None:
+                    for found in built.answer(part.column("id").to_numpy(), by_length(pa.concat_arrays([part.column("v")])), k, factor):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names)
+
+    dealt = stored.unionByName(asking).repartition("shard").sortWithinPartitions("shard", "asks")
+    best = dealt.mapInArrow(answers, "query_id long, vec_id long, score double")
+    if total["repeated"]:
+        best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(key), "score")
 
@@ -147,3 +199,14 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: All pairs of a query and a candidate of its length.
+SQL = """
+WITH u AS (SELECT DISTINCT vec_id::BIGINT AS id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c != 0)) > 0),
+p AS (SELECT q.id AS query_id, c.id AS vec_id, max(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) / sqrt(list_sum(list_transform(q.v, lambda z: z * z)) * list_sum(list_transform(c.v, lambda z: z * z)))) AS score
+  FROM u q JOIN u c ON q.id % 50 = 0 AND q.id != c.id AND len(q.v) = len(c.v) GROUP BY ALL),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+"""

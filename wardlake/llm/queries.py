@@ -16,4 +16,4 @@ QUERIES = {
     "op9_substring_dedup": substrings.query,
     "op10_lm_scoring": lm.query,
 }
-SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL, "op6_minhash_neardup": neardup.SQL, "op9_substring_dedup": substrings.SQL}
+SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL, "op6_minhash_neardup": neardup.SQL, "op7_vp_neighbours": neighbours.SQL, "op9_substring_dedup": substrings.SQL}
