@@ -2,14 +2,15 @@
 
 All rolling word 2-grams of all documents are joined, by hash and then by the words themselves, to the places of a small
 fixed set of templates. A match votes for the diagonal (word position minus template position); neighbouring diagonals
-of one template merge into a span when they overlap or nearly touch, and a span counts when it covers enough distinct
-template places. A short phrase must be covered whole, on one diagonal.
+of one template merge into a span when they overlap or nearly touch. A span is verified by the words themselves (the join compares them), by how
+many distinct template places it covers, and by its length: no more words than the template would have if the uncovered share were added. A short
+phrase must be covered whole, on one diagonal.
 
-The template table is fixed (its size does not depend on the documents), so it is broadcast; only the few matches are
+The template table is a literal (its size does not depend on the documents), so it is broadcast; only the few matches are
 shuffled, after partial aggregation on their diagonals.
 
 Defined results: a null or empty text has no words, no places and empty label strings; repeated rows (same id, same
-text) give one row; rows that share an id but not a text are scanned apart; a null id is a key like any other; an empty
+text) are scanned once and give a row each; very long texts are scanned whole, their votes counted a diagonal at a time; rows that share an id but not a text are scanned apart; a null id is a key like any other; an empty
 table gives no rows; columns beside the key and the text are ignored.
 """
 
@@ -56,8 +57,8 @@ def template_grams(spark: SparkSession) -> DataFrame:
     """(hash, a, b, tpl, tpos): every 2-gram of every template; tpl below len(PHRASES) are phrases."""
     texts = [*PHRASES, *(t for ts in TEMPLATES.values() for t in ts)]
     rows = [(i, p, w[p], w[p + 1]) for i, t in enumerate(texts) for w in [t.split()] for p in range(len(w) - 1)]
-    df = spark.createDataFrame(rows, "tpl int, tpos int, a string, b string")
-    return df.withColumn("hash", F.xxhash64("a", "b"))
+    places = F.array(*(F.struct(F.lit(i).alias("tpl"), F.lit(p).alias("tpos"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, p, a, b in rows))
+    return spark.range(1).select(F.inline(places)).withColumn("hash", F.xxhash64("a", "b"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float = COVER, slack: int = SLACK) -> tuple[DataFrame, DataFrame]:
@@ -96,14 +97,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float
         .agg(F.first("fact").alias("fact"), F.min("start").alias("first"), F.max("end").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit"))
     )
     need = F.when(F.col("fact.base"), F.col("fact.grams")).otherwise(F.ceil(F.col("fact.grams") * cover))
-    spans = merged.where(F.col("hit") >= need).select(
+    fits = F.col("last") - F.col("first") <= F.ceil(F.col("fact.grams") / F.lit(cover)) + slack
+    spans = merged.where((F.col("hit") >= need) & fits).select(
         "id", "text_hash", F.col("fact.label").alias("label"), F.col("fact.base").alias("base"), "first", "last", (F.col("hit") / F.col("fact.grams")).alias("score")
     )
     return heads, spans
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: counts and labels."""
+    """A row per row of docs: counts and labels."""
     heads, spans = scan(docs, key, text)
     rows = heads.withColumn("span", F.lit(None).cast("struct<label:string,base:boolean,first:int,last:int,score:double>")).unionByName(
         spans.select("id", "text_hash", F.lit(None).cast("long").alias("n_words"), F.struct("label", "base", "first", "last", "score").alias("span"))
@@ -118,8 +120,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.array_join(F.array_sort(F.collect_set(F.when(base, label))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(label)), ",").alias("labels"),
         F.coalesce(F.max("span.score"), F.lit(0.0)).alias("score"),
+        F.count("n_words").alias("copies"),
     )
-    return out.withColumnRenamed("id", key).drop("text_hash")
+    results = [c for c in out.columns if c not in ("id", "text_hash", "copies")]
+    return out.select(F.col("id").alias(key), *results, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -133,16 +137,18 @@ def _sql() -> str:
     values = ", ".join(f"({i}, '{labels[i]}', {str(i < len(PHRASES)).lower()}, {p}, '{w[p]}', '{w[p + 1]}', {len(w) - 1})" for i, t in enumerate(texts) for w in [t.split()] for p in range(len(w) - 1))
     return rf"""
 WITH t(tpl, label, base, tpos, a, b, grams) AS (VALUES {values}),
-w AS (SELECT DISTINCT doc_id, hash(text) AS h, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+w AS (SELECT doc_id, hash(text) AS h, count(*) AS copies, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents GROUP BY doc_id, text),
 g AS (SELECT doc_id, h, i AS pos, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT doc_id, h, w, unnest(range(0, len(w) - 1)) AS i FROM w)),
 v AS (SELECT doc_id, h, tpl, label, base, grams, pos - tpos AS diag, list(DISTINCT tpos) AS ats, min(pos) AS s, max(pos) + 1 AS e FROM g JOIN t USING (a, b) GROUP BY ALL),
 o AS (SELECT *, lag(diag) OVER q AS ld, max(e) OVER (PARTITION BY doc_id, h, tpl ORDER BY diag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v WINDOW q AS (PARTITION BY doc_id, h, tpl ORDER BY diag)),
 n AS (SELECT *, sum(CASE WHEN base OR ld IS NULL OR diag - ld > {SLACK} OR s > reach + {SLACK} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, h, tpl ORDER BY diag) AS span FROM o),
-m AS (SELECT doc_id, h, tpl, label, base, grams, span, min(s) AS s, len(list_distinct(flatten(list(ats)))) AS hit FROM n GROUP BY ALL),
-k AS (SELECT * FROM m WHERE hit >= CASE WHEN base THEN grams ELSE ceil(grams * {COVER}::DOUBLE) END)
-SELECT w.doc_id, any_value(len(w)) AS n_words, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
-  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(hit / grams), 0.0) AS score
-FROM w LEFT JOIN k ON w.doc_id IS NOT DISTINCT FROM k.doc_id AND w.h = k.h GROUP BY w.doc_id, w.h
+m AS (SELECT doc_id, h, tpl, label, base, grams, span, min(s) AS s, max(e) - min(s) AS length, len(list_distinct(flatten(list(ats)))) AS hit FROM n GROUP BY ALL),
+k AS (SELECT * FROM m WHERE hit >= CASE WHEN base THEN grams ELSE ceil(grams * {COVER}::DOUBLE) END AND length <= ceil(grams / {COVER}::DOUBLE) + {SLACK}),
+z AS (SELECT w.doc_id, any_value(len(w)) AS n_words, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(hit / grams), 0.0) AS score,
+  unnest(range(any_value(copies))) AS copy
+FROM w LEFT JOIN k ON w.doc_id IS NOT DISTINCT FROM k.doc_id AND w.h IS NOT DISTINCT FROM k.h GROUP BY w.doc_id, w.h)
+SELECT * EXCLUDE (copy) FROM z
 """
 
 
