@@ -436,3 +436,14 @@ def test_neighbours_of_ids_that_repeat(spark):
     for q in range(0, 201, 50):
         best = sorted((-round(near(q, i), 12), i) for i in sets if i != q)[:5]
         assert [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [(n, i) for n, (_, i) in enumerate(best, 1)]
+
+
+def test_secrets_in_very_long_texts_and_overlaps(spark, docs):
+    t = "".join(f"w{i} token={'ab' * 5}{i} " if i % 3 else f"{'0123456789abcdef' * 2} AKIA{'Q7' * 10} " for i in range(4000))
+    key = "xK9fQ2vL7pZ4" + "e09fb4d27c58136ae1c7" + "0a9d3" + "mW8rT1yB6"
+    df = spark.createDataFrame([(1, t), (None, f"use {key} here"), (1, t)], "doc_id long, text string")
+    model = secrets.train(docs)
+    for r in secrets.report(df, model).collect():
+        assert r["doc_id"] is None or r["base_sha256"] == hashlib.sha256(spans_of(t).encode()).hexdigest()
+    got = [r["text"] for r in secrets.redact(df, model).orderBy("doc_id").collect()]
+    assert got[0] == "use [secret] here" and "token=" not in got[1] and "AKIA" not in got[1] and got[1].count("[secret]") == len(spans_of(t).split(",")) and got[1] == got[2]

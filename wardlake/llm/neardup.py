@@ -15,8 +15,8 @@ A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be s
 each bucket is pre-aggregated. Every intermediate is a table in the shared folder.
 
 Defined results: null and empty texts have empty sets, link with nothing and are their own component; rows with a null id
-take part in no link and have a null component; rows that repeat an id and text get the same result each; the smallest
-id names a component, so there are no ties; an empty table gives no rows; only the named columns are read.
+take part in no link and have a null component; rows that repeat an id and text get the same result each; an id whose rows have different texts
+is one document with several sets, each of which links; very long texts count with their whole set; the smallest id names a component, so there are no ties; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -103,21 +103,35 @@ def full_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
 
 
 def components(space: Workspace, nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """(id, comp): the smallest id that each node reaches, by hooking to the least neighbour and jumping to its label.
+    """(id, comp): the smallest id that each node reaches.
+
+    In each pass every label hooks to the least label next to it, hooks are followed to their ends by doubling, and the edges move to the new labels.
+    A label that stays has taken in a neighbour after two passes, so passes grow with the logarithm of the component, and so do the doublings of each.
 
     start: labels that are already known to be connected.
     """
-    both = space.keep(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
     labels = start if start is not None else space.keep(nodes.select("id", F.col("id").alias("comp")))
-    while True:
-        # edges between labels: each label hooks to the least label next to it
-        named = both.join(labels.select(F.col("id").alias("src"), F.col("comp").alias("x")), "src").join(labels.select(F.col("id").alias("dst"), F.col("comp").alias("y")), "dst")
-        hooks = space.keep(named.where("y < x").groupBy("x").agg(F.min("y").alias("y")))
-        if hooks.isEmpty():
-            return labels
-        # two steps along a chain of hooks at a time; what is longer goes on in the next pass
-        twice = hooks.join(hooks.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left").select(F.col("x").alias("comp"), F.coalesce("z", "y").alias("y"))
-        labels = space.keep(labels.join(twice, "comp", "left").select("id", F.coalesce("y", "comp").alias("comp")))
+
+    def renamed(pairs: DataFrame, names: DataFrame) -> DataFrame:
+        """Pairs of labels under new names, both ways round, without those that met."""
+        now = pairs.join(names.select(F.col("old").alias("a"), F.col("new").alias("x")), "a", "left").join(names.select(F.col("old").alias("b"), F.col("new").alias("y")), "b", "left")
+        now = now.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a != b")
+        return space.keep(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+    left = renamed(edges.select("a", "b"), labels.select(F.col("id").alias("old"), F.col("comp").alias("new")))
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = space.keep(both.groupBy("a").agg(F.min("b").alias("b")).where("b < a").select(F.col("a").alias("old"), F.col("b").alias("new")))
+        while True:  # each hook steps to where its end hooks
+            further = hooks.join(hooks.select(F.col("old").alias("new"), F.col("new").alias("next")), "new", "left")
+            further = space.keep(further.select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved")))
+            before, hooks = hooks, further.select("old", "new")
+            space.drop(before)
+            if further.where("moved").isEmpty():
+                break
+        labels = space.keep(labels.join(hooks.withColumnRenamed("old", "comp"), "comp", "left").select("id", F.coalesce("new", "comp").alias("comp")))
+        left = renamed(left, hooks)
+    return labels
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -136,7 +150,7 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     base = space.keep(signatures(docs, k, lower))
     of_set = ["n", "f1", "f2"]
     known = base.where("n > 0 AND id IS NOT NULL")
-    reps = known.groupBy(*of_set).agg(F.min("id").alias("rep"))
+    reps = space.keep(known.groupBy(*of_set).agg(F.min("id").alias("rep")))  # written, so that adaptive execution can split the copies of one set
     # the representatives' bands; a row that repeats the id and text is taken once
     classes = known.join(reps, of_set).where("id = rep")
     tables = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(SIDE + j).alias("j")) for i in range(SIDE) for j in range(SIDE)))

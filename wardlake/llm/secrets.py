@@ -8,7 +8,7 @@ values that a pattern caught are random strings, all other identifier-like words
 Positions come from marking: a pattern's matches are enclosed in a control character (texts are first freed of it,
 without changing any length), the text is split there, and the lengths of the parts add up to starts and ends.
 
-Defined results: a null or empty text has no spans; repeated rows are scanned one by one; spans that tie in start are
+Defined results: a null or empty text has no spans; very long texts with any number of matches are scanned whole; repeated rows are scanned one by one; spans that tie in start are
 listed in the order of their kinds; an empty table trains a flat model and returns no rows; columns beside the key and
 the text are ignored, but ``redact`` returns them.
 """
@@ -37,31 +37,50 @@ SAMPLE_DOCS = 20_000
 THRESHOLD = 0.6
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
+STEP = 256
 
 
-def _spans(text: Column, pattern: str, kind: str, ok) -> Column:
-    """Array of (start, kind number, end, value) of the matches that ok() accepts; text has no MARK."""
+def running(values: Column, combine, start: Column) -> Column:
+    """For each value, what those before it combine to; in blocks, so that no array grows with every value of a very long one."""
+
+    def over(v: Column) -> Column:
+        grown = lambda items, of: F.aggregate(items, F.array(start), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), of(x)))))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STEP).cast("int")), lambda b: F.slice(v, b * STEP + 1, F.lit(STEP)))
+        inside = F.transform(blocks, lambda block: grown(block, lambda x: x))
+
+        def joined(parts: Column) -> Column:
+            carried = F.slice(grown(parts, lambda part: F.element_at(part, -1)), F.lit(1), F.size(parts))
+            return F.flatten(F.zip_with(parts, carried, lambda part, c: F.transform(F.slice(part, F.lit(1), F.size(part) - 1), lambda x: combine(c, x))))
+
+        return F.when(F.size(v) > 0, let(inside, joined)).otherwise(F.slice(v, 1, 0))
+
+    return let(values, over)
+
+
+def _spans(text: Column, pattern: str, kind: str, ok, can: Column | None = None) -> Column:
+    """Array of (start, kind number, end, value) of the matches that ok() accepts; text has no MARK. can: whether there may be any."""
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+
+    def listed(p: Column) -> Column:
+        starts = running(F.transform(p, lambda x: F.length(x)), lambda a, b: a + b, F.lit(0))
 
-    def step(state: Column, part: Column, odd: Column) -> Column:
-        end = state["at"] + F.length(part)
-        span = F.struct(state["at"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), part.alias("value"))
-        return F.struct(end.alias("at"), F.when(odd & ok(part), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        def spans(at: Column) -> Column:
+            every = F.transform(p, lambda x, i: F.struct(F.get(at, i).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (F.get(at, i) + F.length(x)).alias("end"), x.alias("value")))
+            return F.filter(every, lambda x, i: (i % 2 == 1) & ok(x["value"]))
 
-    def fold(p: Column) -> Column:
-        numbered = F.transform(p, lambda x, i: F.struct(x.alias("x"), (i % 2 == 1).alias("odd")))
-        return F.when(F.size(p) > 1, F.aggregate(numbered, start, lambda s, x: step(s, x["x"], x["odd"]))["out"]).otherwise(start["out"])
+        return F.when(F.size(p) > 1, let(starts, spans)).otherwise(none)
 
-    return let(parts, fold)
+    found = let(parts, listed)
+    return found if can is None else F.when(can, found).otherwise(none)
 
 
 def _base(text: Column) -> dict[str, Column]:
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= MIN_VALUE
     return {
-        "assign": _spans(text, ASSIGN, "assign", value),
+        "assign": _spans(text, ASSIGN, "assign", value, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))),
         # a run matches from its first possible start to its end, so asking for the length in the pattern is the same
-        "access": _spans(text, rf"{ACCESS[:-1]}{{{MIN_ACCESS - 4},}}", "access", lambda m: F.lit(True)),
+        "access": _spans(text, rf"{ACCESS[:-1]}{{{MIN_ACCESS - 4},}}", "access", lambda m: F.lit(True), F.contains(text, F.lit("AKIA"))),
         "hex": _spans(text, rf"{HEX[:-1]}{{{MIN_HEX},}}", "hex", lambda m: F.lit(True)),
     }
 
@@ -121,7 +140,8 @@ def with_spans(docs: DataFrame, model: list[float], text: str = "text", threshol
     base = _base(t)
     extra = _spans(t, TOKEN, "random", lambda v: mixed(v) & (_ratio(v, model) >= threshold))
     fields = F.struct(*(base[k].alias(k) for k in KINDS[:3]), extra.alias("random"))
-    free = lambda s, x: ~F.exists(F.concat(s["assign"], s["access"], s["hex"]), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    # a token that goes beyond what a pattern caught of it is a span of its own
+    free = lambda s, x: ~F.exists(F.concat(s["assign"], s["access"], s["hex"]), lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
     return docs.withColumn(out, let(fields, lambda s: F.struct(*(s[k].alias(k) for k in KINDS[:3]), F.filter(s["random"], lambda x: free(s, x)).alias("random"))))
 
 
@@ -146,15 +166,16 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", by: str = "[
     names = docs.columns
     rows = with_spans(docs, model, text, out="__found")
     every = F.array_sort(F.concat(*(F.col("__found")[k] for k in KINDS)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     body = F.col(text)
 
-    def step(state: Column, s: Column) -> Column:
-        # overlapping spans make one hole
-        gap = F.when(s["start"] >= state["at"], F.concat(state["out"], F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit(by))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), gap.alias("out"))
+    def pieces(spans: Column) -> Column:
+        # spans that overlap make one hole: only what starts behind all ends so far opens another
+        ends = running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        cut = F.zip_with(spans, ends, lambda x, e: F.when(x["start"] >= e, F.array(F.substring(body, e + 1, x["start"] - e), F.lit(by))).otherwise(F.array().cast("array<string>")))
+        rest = F.substring(body, F.array_max(F.transform(spans, lambda x: x["end"])) + 1, F.length(body))
+        return F.array_join(F.concat(F.flatten(cut), F.array(rest)), "")
 
-    done = let(F.aggregate(every, start, step), lambda st: F.concat(st["out"], F.substring(body, st["at"] + 1, F.length(body))))
+    done = let(every, pieces)
     return rows.withColumn(text, F.when(F.size(every) > 0, done).otherwise(body)).select(*(F.col(f"`{c}`") for c in names))
 
 
