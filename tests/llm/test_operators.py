@@ -323,7 +323,10 @@ def test_one_copy_of_repeated_and_null_id_rows_survives_both_stages(spark):
     docs = spark.createDataFrame([(i, x, len(x)) for i, x in data], "doc_id long, text string, n_chars long")
     one = neardup.keep_one(docs)
     assert one.columns == docs.columns
-    expected = sorted([("7", t), ("None", u), ("4", v), ("5", w)])
+    data += [(4, prose(rng, 90)), (7, " ".join([*data[-1][1].split()[:-1], "other"]))]  # other texts under ids that are taken
+    docs = spark.createDataFrame([(i, x, len(x)) for i, x in data], "doc_id long, text string, n_chars long")
+    one = neardup.keep_one(docs)
+    expected = sorted([("7", t), ("None", u), ("4", v), ("5", w), (str(data[-2][0]), data[-2][1])])
     assert sorted((str(r["doc_id"]), r["text"]) for r in one.collect()) == expected
     assert sorted((str(r["doc_id"]), r["text"]) for r in substrings.strip(one).collect()) == expected
     named = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -447,3 +450,27 @@ def test_secrets_in_very_long_texts_and_overlaps(spark, docs):
         assert r["doc_id"] is None or r["base_sha256"] == hashlib.sha256(spans_of(t).encode()).hexdigest()
     got = [r["text"] for r in secrets.redact(df, model).orderBy("doc_id").collect()]
     assert got[0] == "use [secret] here" and "token=" not in got[1] and "AKIA" not in got[1] and got[1].count("[secret]") == len(spans_of(t).split(",")) and got[1] == got[2]
+
+
+def test_long_chains_join_in_few_passes(spark, monkeypatch):
+    from wardlake.llm.common import Workspace
+
+    n = 2000
+    order = list(range(n))
+    for ids in (order, random.Random(17).sample(order, n)):
+        space = Workspace(spark)
+        nodes = spark.createDataFrame([(i,) for i in ids], "id long")
+        edges = spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")
+        labels = neardup.components(space, nodes, edges)
+        assert labels.where("comp != 0").count() == 0 and labels.count() == n
+        assert space.count < 90  # tables written: passes times doublings, both logarithmic
+
+
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    rng = random.Random(18)
+    a, b, c = (words(prose(rng, 120)) for _ in range(3))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    data = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (8, near(b)), (3, near(a)), (9, " ".join(c)), (9, near(c)), (9, near(c)), (None, near(c))]
+    docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in data], "doc_id long, text string, n long, rep string, bands string")
+    got = sorted((str(r["doc_id"]), r["component_id"]) for r in neardup.find(docs).collect())
+    assert got == [("3", 3), ("5", 3), ("5", 5), ("7", 3), ("8", 5), ("9", 9), ("9", 9), ("9", 9), ("None", None)]

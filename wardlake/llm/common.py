@@ -43,12 +43,22 @@ def crc_mod_of(doc_id, n: int) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
+    """A new folder below the one that driver and executors share; it goes when the session's JVM ends.
+
+    Without spark.checkpoint.dir a local session uses a temporary folder of this machine; a cluster has none that all would see.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="wardlake-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/wardlake-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/wardlake-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    return folder
 
 
 class Workspace:

@@ -5,7 +5,7 @@ pairs a band of the first collection with one of the second, so 2 * SIDE * ROWS
 a square root of the usual work. Two sets meet if a band agrees in each collection; at a similarity of 0.8 all sixteen
 fail with a probability of 1e-5 a side.
 
-Copies (equal sets) collapse to their smallest id first. Every pair that is linked is confirmed on full sets, in rounds: a document
+Copies (equal sets) collapse to one class first, named by a hash of its fingerprint. Every pair that is linked is confirmed on full sets, in rounds: a document
 is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
 with the components so far. What is still apart within a bucket is then compared with every member outside its component, from
 the smaller side, each pair in the first table that holds both, unless sizes or parities rule the link out: none is lost however large a bucket is, and a bucket whose
@@ -15,8 +15,8 @@ A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be s
 each bucket is pre-aggregated. Every intermediate is a table in the shared folder.
 
 Defined results: null and empty texts have empty sets, link with nothing and are their own component; rows with a null id
-take part in no link and have a null component; rows that repeat an id and text get the same result each; an id whose rows have different texts
-is one document with several sets, each of which links; very long texts count with their whole set; the smallest id names a component, so there are no ties; an empty table gives no rows; only the named columns are read.
+take part in no link and have a null component; rows that repeat an id and text get the same result each; rows that share an id
+but not a text are documents of their own, each in its own component; very long texts count with their whole set; the smallest id names a component, so there are no ties; an empty table gives no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -68,9 +68,8 @@ def signatures(docs: DataFrame, k: int, lower: bool) -> DataFrame:
             for text in batch.column("text"):
                 s = shingle_set(hashes.of(words_of(text.as_py(), lower)), k)
                 n.append(len(s))
-                with np.errstate(over="ignore"):
-                    f1.append(mix(s, 5).sum(dtype=np.uint64))
-                    f2.append(mix(s, 6).sum(dtype=np.uint64))
+                for one, all_of in zip(fingerprint(s), (f1, f2), strict=True):
+                    all_of.append(one)
                 band.append(bands(s).view(np.int64) if len(s) else None)
             signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), signed(f1), signed(f2), pa.array(band, pa.list_(pa.int64()))], ["id", "n", "f1", "f2", "bands"])
@@ -85,21 +84,27 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(cells.astype(np.uint8)).view(np.int64)
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    with np.errstate(over="ignore"):
+        return mix(s, 5).sum(dtype=np.uint64), mix(s, 6).sum(dtype=np.uint64)
+
+
 def full_sets(docs: DataFrame, k: int, lower: bool) -> DataFrame:
-    """id, s (distinct shingle hashes), p (their parity in CELLS cells)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """n, f1, f2, s (distinct shingle hashes), p (their parity in CELLS cells)."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            texts = batch.column("text")
             step = 256
-            for lo in range(0, len(ids), step):
+            for lo in range(0, len(texts), step):
                 sets = [shingle_set(hashes.of(words_of(t.as_py(), lower)), k) for t in texts.slice(lo, step)]
                 lists = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, step), pa.array([s.view(np.int64) for s in sets], lists), pa.array([parity(s) for s in sets], lists)], ["id", "s", "p"])
+                f = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([sizes, pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()), pa.array([s.view(np.int64) for s in sets], lists), pa.array([parity(s) for s in sets], lists)], ["n", "f1", "f2", "s", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"id {kind}, s array<long>, p array<long>")
+    return docs.select("text").mapInArrow(run, "n long, f1 long, f2 long, s array<long>, p array<long>")
 
 
 def components(space: Workspace, nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -150,9 +155,9 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     base = space.keep(signatures(docs, k, lower))
     of_set = ["n", "f1", "f2"]
     known = base.where("n > 0 AND id IS NOT NULL")
-    reps = space.keep(known.groupBy(*of_set).agg(F.min("id").alias("rep")))  # written, so that adaptive execution can split the copies of one set
-    # the representatives' bands; a row that repeats the id and text is taken once
-    classes = known.join(reps, of_set).where("id = rep")
+    # a class of equal sets is named by its fingerprint; bands follow from the set, and its copies are counted in each task first
+    name = F.xxhash64(*of_set)
+    classes = space.keep(known.groupBy(*of_set, "bands").agg(F.min("id").alias("least")).withColumn("rep", name))
     tables = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(SIDE + j).alias("j")) for i in range(SIDE) for j in range(SIDE)))
     keys = classes.select("rep", "n", "bands", F.explode(tables).alias("t")).select(
         F.xxhash64(F.get("bands", F.col("t.i")), F.get("bands", F.col("t.j"))).alias("key"), "rep", F.col("t.i").cast("byte").alias("i"), F.col("t.j").cast("byte").alias("j")
@@ -161,7 +166,10 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     # one shuffle of keys; a bucket of one set (nearly all are) ends here
     members = space.keep(keys.withColumns({"lo": F.min("rep").over(bucket), "hi": F.max("rep").over(bucket)}).where("lo < hi").select("key", "rep", "i", "j"))
     nodes = space.keep(members.groupBy("rep").agg(F.count(F.lit(1)).alias("tables")).select(F.col("rep").alias("id")))
-    sets = space.keep(full_sets(docs.join(nodes.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, lower).dropDuplicates(["id"]))
+    # texts of the smallest id of each class; rows that share it may hold other sets
+    some = classes.join(nodes.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("least").alias("doc_id")).distinct()
+    texts = full_sets(docs.join(some, "doc_id", "left_semi"), k, lower).select(name.alias("id"), "s", "p")
+    sets = space.keep(texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]))
     size = sets.select("id", F.size("s").alias("n"))
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -204,32 +212,30 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
-    final = base.select("id", *of_set).join(reps, of_set, "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.coalesce("comp", "rep"))
+    # the smallest id of each component
+    joined = classes.select("rep", "least").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    ends = space.keep(joined.groupBy("comp").agg(F.min("least").alias("component")))
+    named = space.keep(joined.join(ends, "comp").select("rep", "component"))
+    final = base.select("id", "n", F.when(F.col("n") > 0, name).alias("rep")).join(named, "rep", "left")
+    component = F.when(F.col("id").isNull() | (F.col("n") == 0), F.col("id")).otherwise(F.col("component"))
     return final.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _row_key(docs: DataFrame):
-    """doc_id; rows without one are named by their text, above other ids, so that copies share a name and documents with an id go first."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    h = F.xxhash64("text")
-    if kind == "string":
-        return F.coalesce("doc_id", F.concat(F.lit("\U0010ffff"), F.hex(h)))
-    return F.coalesce(F.col("doc_id").cast("long"), h.bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)))
-
-
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The documents without all but one of each group, columns as they were.
+    """The documents without all but one of each group, columns as they were: the one with the smallest id.
 
-    Rows with a null id take part like any others; of rows that repeat an id and text one stays.
+    A row is named by its id and text, those without an id behind all others; rows with a null id take part like any others, rows that share an id but
+    not a text are told apart, and of rows that repeat both one stays.
     """
-    rows = docs.withColumn("__key", _row_key(docs))
+    rows = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
     gone = find(rows.select(F.col("__key").alias("doc_id"), "text"), k).where("NOT kept").select(F.col("doc_id").alias("__key")).distinct()
-    left = rows.join(gone, "__key", "left_anti")
+    # null ids are part of a key, and equal there
+    left = rows.join(gone, rows["__key"].eqNullSafe(gone["__key"]), "left_anti")
     repeated = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key")
-    single = left.join(repeated, "__key", "left_anti")
+    again = rows["__key"].eqNullSafe(repeated["__key"])
+    single = left.join(repeated, again, "left_anti")
     # the copies of a row are dropped within each task before they are shuffled
-    one = left.join(repeated, "__key", "left_semi").dropDuplicates(["__key", "text"])
+    one = left.join(repeated, again, "left_semi").dropDuplicates(["__key"])
     return single.unionByName(one).select(*docs.columns)
 
 
