@@ -351,7 +351,7 @@ def test_every_training_text_is_learnt_from(spark):
     vocab = lm.vocabulary(lm.count_tokens(train), len(data))
     model = lm.token_mixer(train, vocab, spark.sparkContext.broadcast(vocab))
     number = lm.TokenNumbers(vocab.hashes, vocab.tree)
-    ids = [n for t in data for n in (*number.coded(number.of([w.encode() for w in words(t)])).tolist(), lm.END)]
+    ids = [n for t in data for n in (*number.coded(number.of(lm.hashed([w.encode() for w in words(t)]))).tolist(), lm.END)]
     assert model.learnt_bits == vocab.width[ids].sum()
 
 
