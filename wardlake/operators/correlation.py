@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,15 +16,16 @@ from .windows import HOST, SECOND
 
 #: Fixed values.
 PRIOR, TAU_S, ALERT = -4.6, 300.0, 2.0
-PAYLOAD = r"(?i)\.(exe|dll|ps1|bat|cmd|vbs|js|sh|py|elf|so|php)$"
-PLACES = ["/tmp/", "/dev/shm/", "/var/tmp/", "\\temp\\", "\\appdata\\", "\\downloads\\", "\\programdata\\", "\\users\\public\\"]
+PAYLOAD_ENDINGS = [".exe", ".dll", ".bat", ".ps1", ".vbs", ".hta", ".cmd", ".scr", ".msi", ".jar", ".js", ".jse"]
+DROP_PARTS = ["\\temp\\", "\\tmp\\", "\\downloads\\", "\\startup\\", "/downloads/"]
+DROP_ROOTS = ["/tmp/", "/var/tmp/", "/dev/shm/"]
 
 
-def payload_write(path: Column) -> Column:
-    out = path.rlike(PAYLOAD)
-    for p in PLACES:
-        out = out | F.contains(F.lower(path), F.lit(p))
-    return out
+def payload_file(path: Column) -> Column:
+    """Whether a path names something that runs, or lies where droppers write."""
+    p = F.lower(path)
+    tests = [*(F.endswith(p, F.lit(x)) for x in PAYLOAD_ENDINGS), *(F.contains(p, F.lit(x)) for x in DROP_PARTS), *(F.startswith(p, F.lit(x)) for x in DROP_ROOTS)]
+    return reduce(operator.or_, tests)
 
 
 def flags(ev: DataFrame, width: int = 60 * SECOND) -> DataFrame:
@@ -31,7 +34,7 @@ def flags(ev: DataFrame, width: int = 60 * SECOND) -> DataFrame:
     kinds = {
         "has_exec": F.col("type") == "exec",
         "has_connect": (F.col("type") == "connect") & ~F.coalesce(probe, F.lit(False)),
-        "has_write": F.col("type").isin("file_open", "file_write") & payload_write(F.col("path")),
+        "has_write": (F.col("type") == "file_open") & S.has_write_intent(F.col("flags")) & payload_file(F.col("path")),
         "has_assembly": F.col("type") == "assembly_load",
         "has_smb": F.col("type") == "smb_connect",
     }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,45 +13,57 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-#: Fixed values.
-SUSPICIOUS = ["-enc", "-nop", "-w hidden", "bypass", "iex", "downloadstring", "base64", "certutil", "regsvr32", "mshta", "/dev/tcp"]
-META = "|&;<>()$`\\\"'*?[]#~=%!{}"
-OFFICE = ["winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe"]
-SHELLS = ["cmd.exe", "powershell.exe", "pwsh.exe", "bash", "sh", "zsh"]
+#: Substrings of command lines, compared as they are; characters of shells; parts of paths, compared in lower case.
+SUSPICIOUS_TOKENS = ["base64", "-d", "-D", "--decode", "chmod +x", "/dev/tcp", "nc ", "| sh", "| bash", "|sh", "|bash"]
+SHELL_METACHARS = "|;&$`()<>"
+SUSPICIOUS_WIN_PATHS = ["\\AppData\\", "\\Temp\\", "\\tmp\\", "\\Public\\", "\\Downloads\\", "\\Desktop\\", "%temp%", "%appdata%"]
+LEGIT_WIN_PATHS = ["\\Windows\\System32\\", "\\Windows\\SysWOW64\\", "\\Windows\\SystemApps\\", "\\Windows\\UUS\\", "\\Program Files\\", "\\Program Files (x86)\\", "\\ProgramData\\Microsoft\\"]
+#: Names of parents and parts of their paths, compared in lower case.
+SHELL_COMMS = ["bash", "sh", "zsh", "fish", "dash", "cmd.exe", "powershell.exe", "pwsh.exe", "pwsh"]
+WEBSERVER_COMMS = ["httpd", "nginx", "apache2", "w3wp.exe", "w3wp", "node", "java", "dotnet", "uwsgi", "gunicorn", "php-fpm"]
+OFFICE_COMMS = ["winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "msaccess.exe", "mspub.exe", "winword", "excel", "powerpnt", "outlook"]
+SYSTEM_PATHS = [
+    *["/usr/bin/", "/bin/", "/sbin/", "/usr/sbin/", "/usr/local/bin/", "/System/Library/", "/Library/Apple/"],
+    *["\\Windows\\System32\\", "\\Windows\\SysWOW64\\", "\\Windows\\SystemApps\\", "\\Windows\\UUS\\", "\\Program Files\\", "\\Program Files (x86)\\"],
+]
+SUSPICIOUS_PATHS = ["/tmp/", "/var/tmp/", "/dev/shm/", *SUSPICIOUS_WIN_PATHS]
+
+
+def _any_part(text: Column, parts: list[str]) -> Column:
+    low = F.lower(text)
+    return F.coalesce(reduce(operator.or_, (F.contains(low, F.lit(x.lower())) for x in parts)), F.lit(False))
 
 
 def cmdline_features(cmd: Column) -> dict[str, Column]:
+    """Nine features of a command line, whose arguments a NUL separates; a missing one is empty."""
     c = F.coalesce(cmd, F.lit(""))
-    low = F.lower(c)
     n = F.length(c)
-    tokens = F.filter(F.split(c, r"[\s\x00]+"), lambda t: t != "")
-    hits = F.lit(0)
-    for s in SUSPICIOUS:
-        hits = hits + F.contains(low, F.lit(s)).cast("int")
+    tokens = F.filter(F.split(c, "\\x00"), lambda t: t != "")
+    without = lambda letters: F.length(F.translate(c, letters, ""))
     return {
         "cmd_length": n,
         "cmd_entropy": S.shannon_entropy(c),
-        "cmd_suspicious": hits,
+        "cmd_suspicious": reduce(operator.add, (F.contains(c, F.lit(x)).cast("int") for x in SUSPICIOUS_TOKENS)),
         "cmd_tokens": F.size(tokens),
         "cmd_longest": F.coalesce(F.array_max(F.transform(tokens, F.length)), F.lit(0)),
-        "cmd_meta": n - F.length(F.translate(c, META, "")),
-        "cmd_digits": F.when(n > 0, (n - F.length(F.translate(c, "0123456789", ""))) / n).otherwise(0.0),
-        "cmd_temp_path": low.rlike(r"\\(temp|appdata|downloads|public)\\").cast("int"),
-        "cmd_system_path": low.rlike(r"c:\\(windows|program files)").cast("int"),
+        "cmd_meta": n - without(SHELL_METACHARS),
+        "cmd_digits": F.when(n > 0, (n - without("0123456789")) / n).otherwise(0.0),
+        "cmd_suspicious_path": _any_part(c, SUSPICIOUS_WIN_PATHS).cast("int"),
+        "cmd_system_path": _any_part(c, LEGIT_WIN_PATHS).cast("int"),
     }
 
 
 def lineage_features(parent: Column, path: Column) -> dict[str, Column]:
+    """Six features of a process's parent: its name (the last part of a path) and where its image lies."""
     name = F.lower(F.regexp_extract(F.coalesce(parent, F.lit("")), r"([^/\\]*)$", 1))
-    p = F.lower(F.coalesce(path, F.lit("")))
     flag = lambda c: c.cast("int")
     return {
-        "parent_office": flag(name.isin(*OFFICE)),
-        "parent_shell": flag(name.isin(*SHELLS)),
-        "parent_service": flag(name.isin("services.exe", "systemd", "launchd", "svchost.exe")),
-        "parent_server": flag(name.isin("nginx", "apache2", "httpd", "w3wp.exe")),
-        "parent_temp": flag(p.rlike(r"(^/tmp/|^/var/tmp/|\\temp\\|\\appdata\\)")),
-        "parent_known": flag(name != ""),
+        "has_parent": flag(parent.isNotNull() | path.isNotNull()),
+        "parent_shell": flag(name.isin(*SHELL_COMMS)),
+        "parent_webserver": flag(name.isin(*WEBSERVER_COMMS)),
+        "parent_office": flag(name.isin(*OFFICE_COMMS)),
+        "parent_system_path": flag(_any_part(path, SYSTEM_PATHS)),
+        "parent_suspicious_path": flag(_any_part(path, SUSPICIOUS_PATHS)),
     }
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,18 +31,26 @@ def self_spawn(ev: DataFrame, width: int = 30 * SECOND, at_least: int = 3) -> Da
     return threshold(ev.where((F.col("type") == "exec") & ~spared), ["ppid", "comm"], width, at_least)
 
 
+def beacon_spared() -> Column:
+    """Destinations and programs that repeat themselves as a matter of course: browsers, usual ports, address probes, IPv4 multicast and broadcast."""
+    probe = F.col("daddr").isin("0.0.0.0", "::") & (F.col("dport") == 65535)
+    # a first part of 224 or more, or a last one of 255
+    group = F.col("daddr").rlike(r"^(2(2[4-9]|[3-5][0-9])(\.[0-9]{1,3}){3}|[0-9]{1,3}(\.[0-9]{1,3}){2}\.255)$")
+    tests = [F.lower("comm").isin(*BROWSERS), F.col("dport").isin(*STANDARD_PORTS), probe, group]
+    tests = [F.coalesce(t, F.lit(False)) for t in tests]
+    return reduce(operator.or_, tests)
+
+
 def beacon(ev: DataFrame, width: int = 60 * SECOND, at_least: int = 3) -> DataFrame:
-    kind = S.ip_class(F.col("daddr"))
-    rows = ev.where((F.col("type") == "connect") & (F.col("pid") != 4) & ~F.col("comm").isin(*BROWSERS) & ~F.col("dport").isin(*STANDARD_PORTS) & ~kind.isin("multicast", "broadcast") & ~((kind == "unspecified") & (F.col("dport") == 65535)))
-    return threshold(rows, ["comm", "daddr", "dport"], width, at_least)
+    return threshold(ev.where((F.col("type") == "connect") & (F.col("pid") != 4) & ~beacon_spared()), ["comm", "daddr", "dport"], width, at_least)
 
 
 def beacon_flow(ev: DataFrame, width: int = 60 * SECOND, at_least: int = 3) -> DataFrame:
-    """Connections and polled flows together; a flow counts once per local port and window."""
+    """Connections and polled flows together; a flow counts once per local port and window, whatever its process."""
     key = [*HOST, "comm", "daddr", "dport"]
-    flows = P.suppress_within(ev.where("type = 'network_flow'"), [*key, "local_port"], "ts_us", width, "event_id")
-    both = ev.where("type = 'connect'").unionByName(flows)
-    return threshold(both.where(~F.col("dport").isin(*STANDARD_PORTS)), ["comm", "daddr", "dport"], width, at_least)
+    rows = ev.where(~beacon_spared())
+    flows = P.suppress_within(rows.where("type = 'network_flow'"), [*key, "local_port"], "ts_us", width, "event_id")
+    return threshold(rows.where("type = 'connect' AND pid != 4").unionByName(flows), ["comm", "daddr", "dport"], width, at_least)
 
 
 def spread(ev: DataFrame, keys: list[str], value: str, width: int, at_least: int) -> DataFrame:
@@ -60,8 +71,8 @@ def auth_bruteforce(ev: DataFrame, width: int = 60 * SECOND, at_least: int = 5)
 
 def mass_rename(ev: DataFrame, width: int = 5 * SECOND, at_least: int = 20, child_max: int = 3) -> DataFrame:
     """Renames that append a suffix, counted by pid, then (for short-lived children) by parent; a pid's alert wins."""
-    suffix = S.appended_suffix(F.col("old_path"), F.col("new_path"))
-    rows = ev.where(suffix.rlike("[A-Za-z]") & ~F.startswith("old_path", F.lit("/tmp/")) & ~F.startswith("old_path", F.lit("/var/tmp/")))
+    old, new = F.col("old_path"), F.col("new_path")
+    rows = ev.where((S.appended_suffix(old, new) != "") & ~S.rename_spared(old, new, F.col("comm"), S.trusted_system_path(F.col("image_path"))))
     counted = P.sliding_count(rows, [*HOST, "pid"], "ts_us", width, "event_id", "by_pid")
     own = P.suppress_within(counted.where(F.col("by_pid") >= at_least), [*HOST, "pid"], "ts_us", width, "event_id").withColumn("scope", F.lit("pid"))
     young = counted.where((F.col("by_pid") <= child_max) & (F.col("ppid") > 1))

@@ -230,14 +230,37 @@ def _(ev):
     return windows.self_spawn(ev, 4 * DAY, 2).select("event_id")
 
 
-@on_ev("beacon", _PLAIN, hot("type = 'connect' AND dport != 443", "tenant_id, agent_id, comm, daddr, dport", 40 * DAY, 2))
+#: Network events that meet every exclusion of the beacon: the same expressions in both engines.
+_NET = {
+    "comm": "CASE WHEN k % 5 = 3 THEN 'Chrome.EXE' ELSE comm END",
+    "daddr": "CASE k % 16 WHEN 1 THEN '224.0.0.251' WHEN 2 THEN '10.0.0.255' WHEN 3 THEN '0.0.0.0' WHEN 5 THEN '::' WHEN 7 THEN 'ff02::fb' ELSE daddr END",
+    "dport": "CASE WHEN k % 16 IN (3, 5, 7) AND k % 3 < 2 THEN 65535 ELSE dport END",
+    "pid": "CASE WHEN k % 16 = 4 THEN 4 ELSE pid END",
+}
+_NET_CTE = "net AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _NET.items()) + ") FROM ev), "
+_SPARED = "(lower(comm) = 'chrome.exe' OR dport = 443 OR (daddr IN ('0.0.0.0', '::') AND dport = 65535) OR daddr LIKE '224.%.%.%' OR daddr LIKE '%.%.%.255')"
+
+
+def _network(ev):
+    return ev.withColumns({c: F.expr(e) for c, e in _NET.items()})
+
+
+@on_ev("beacon", _PLAIN, _NET_CTE + hot(f"type = 'connect' AND pid != 4 AND NOT {_SPARED}", "tenant_id, agent_id, comm, daddr, dport", 40 * DAY, 2).replace("FROM ev", "FROM net"))
 def _(ev):
-    return windows.beacon(ev, 40 * DAY, 2).select("event_id")
+    return windows.beacon(_network(ev), 40 * DAY, 2).select("event_id")
 
 
-@on_ev("beacon_flow", _PLAIN, "f AS (SELECT * FROM ev WHERE type = 'dns_query' AND k % 16 < 4), " + greedy("f", "tenant_id, agent_id, comm, daddr, dport, pid", 20 * DAY, "d") + ", s AS MATERIALIZED (SELECT * FROM ev WHERE type = 'connect' AND dport != 443 UNION ALL SELECT ev.* FROM ev JOIN d USING (event_id) WHERE d.opens AND ev.dport != 443), " + hot("true", "tenant_id, agent_id, comm, daddr, dport", 20 * DAY, 2).split("), ", 1)[1])
+@on_ev(
+    "beacon_flow",
+    _PLAIN,
+    _NET_CTE
+    + f"f AS (SELECT * FROM net WHERE type = 'dns_query' AND NOT {_SPARED}), "
+    + greedy("f", "tenant_id, agent_id, comm, daddr, dport, ppid", 20 * DAY, "d")
+    + f", s AS MATERIALIZED (SELECT * FROM net WHERE type = 'connect' AND pid != 4 AND NOT {_SPARED} UNION ALL SELECT net.* FROM net JOIN d USING (event_id) WHERE d.opens), "
+    + hot("true", "tenant_id, agent_id, comm, daddr, dport", 20 * DAY, 2).split("), ", 1)[1],
+)
 def _(ev):
-    flows = ev.withColumn("type", F.when((F.col("type") == "dns_query") & (F.col("k") % 16 < 4), "network_flow").when(F.col("type") == "connect", "connect").otherwise("x")).withColumn("local_port", F.col("pid"))
+    flows = _network(ev).withColumn("type", F.when(F.col("type") == "dns_query", "network_flow").when(F.col("type") == "connect", "connect").otherwise("x")).withColumn("local_port", F.col("ppid"))
     return windows.beacon_flow(flows, 20 * DAY, 2).select("event_id")
 
 
@@ -259,9 +282,11 @@ def _(ev):
 _RENAME = "SELECT event_id, 'pid' AS scope FROM g WHERE opens UNION ALL SELECT event_id, 'ppid' FROM q WHERE opens"
 
 
-@on_ev("mass_rename", _RENAME, f"s AS MATERIALIZED (SELECT * FROM ev WHERE k % 2 = 0), n AS MATERIALIZED (SELECT x.*, {count_in('tenant_id, agent_id, pid', 5 * DAY)} AS n FROM s x), h AS (SELECT * FROM n WHERE n >= 3), " + greedy("h", "tenant_id, agent_id, pid", 5 * DAY) + f", y1 AS MATERIALIZED (SELECT * FROM n WHERE n <= 2 AND ppid > 1), y2 AS MATERIALIZED (SELECT * FROM (SELECT x.*, {count_in('tenant_id, agent_id, ppid', 5 * DAY).replace('FROM s y', 'FROM y1 y')} AS m FROM y1 x) WHERE m >= 3), " + greedy("y2", "tenant_id, agent_id, ppid", 5 * DAY, "q"))
+@on_ev("mass_rename", _RENAME, f"s AS MATERIALIZED (SELECT * FROM ev WHERE k % 2 = 0 AND k % 8 NOT IN (4, 6) OR k % 16 = 1), n AS MATERIALIZED (SELECT x.*, {count_in('tenant_id, agent_id, pid', 5 * DAY)} AS n FROM s x), h AS (SELECT * FROM n WHERE n >= 3), " + greedy("h", "tenant_id, agent_id, pid", 5 * DAY) + f", y1 AS MATERIALIZED (SELECT * FROM n WHERE n <= 2 AND ppid > 1), y2 AS MATERIALIZED (SELECT * FROM (SELECT x.*, {count_in('tenant_id, agent_id, ppid', 5 * DAY).replace('FROM s y', 'FROM y1 y')} AS m FROM y1 x) WHERE m >= 3), " + greedy("y2", "tenant_id, agent_id, ppid", 5 * DAY, "q"))
 def _(ev):
-    rows = ev.withColumns({"old_path": F.lit("/home/a/x.txt"), "new_path": F.when(F.col("k") % 2 == 0, "/home/a/x.txt.locked").otherwise("/home/a/x.txt")})
+    # rotated logs, flags of mail and renames that append nothing are spared; temporary folders are not
+    kind = "CASE WHEN k % 8 = 4 THEN '/m/cur/1:2,S' WHEN k % 8 = 6 THEN '/home/a/x.txt.1' WHEN k % 2 = 0 THEN '/home/a/x.txt.locked' WHEN k % 16 = 1 THEN '/tmp/x.txt.locked' ELSE '/home/a/x.txt' END"
+    rows = ev.withColumns({"old_path": F.expr("CASE WHEN k % 8 = 4 THEN '/m/cur/1' WHEN k % 16 = 1 THEN '/tmp/x.txt' ELSE '/home/a/x.txt' END"), "new_path": F.expr(kind)})
     return windows.mass_rename(rows, 5 * DAY, 3, 2).select("event_id", "scope")
 
 
@@ -678,13 +703,16 @@ def _(ev):
 # ---- correlation
 
 _W = 4 * DAY
+#: Paths on both sides of what counts as a payload, in both engines.
+_WRITTEN = "CASE k % 7 WHEN 0 THEN '/tmp/x' WHEN 1 THEN '/home/a/Downloads/notes.txt' WHEN 2 THEN 'C:/Users/a/setup.JSE' WHEN 3 THEN '/srv/tmp/x.php' WHEN 4 THEN '/opt/lib.jar.txt' WHEN 5 THEN '/srv/www/a.sh' ELSE '/var/tmp/a' END"
+_PAYLOAD = r"y.type = 'file_open' AND ((y.flags & 3) IN (1, 2) OR (y.flags & 64) != 0) AND regexp_matches(lower(y.path), '^/(tmp|var/tmp|dev/shm)/|/downloads/|\.(exe|dll|bat|ps1|vbs|hta|cmd|scr|msi|jar|js|jse)$')"
 
 
 def co(name: str, cond: str, keys: str = "tenant_id, agent_id, pid, gen") -> None:
     has = lambda t: count_in("tenant_id, agent_id, pid, gen", _W, f"({t})::INT") + " > 0"
-    e, c, w = has("y.type = 'exec'"), has("y.type = 'connect'"), has("y.type = 'file_open' AND (contains(y.path, '.php') OR y.path LIKE '%.sh')")
-    ctes = f"s AS MATERIALIZED (SELECT *, coalesce(process_generation, -1) AS gen FROM ev), h AS MATERIALIZED (SELECT event_id, {e} AS e, {c} AS c, {w} AS w, {count_in('tenant_id, agent_id, ppid, comm', _W, '(y.type = ' + chr(39) + 'exec' + chr(39) + ')::INT')} AS ne, {count_in('tenant_id, agent_id, ppid, comm', _W, '(y.type = ' + chr(39) + 'connect' + chr(39) + ')::INT')} AS nc FROM s x)"
-    on_ev(name, f"SELECT event_id FROM h WHERE {cond}", ctes)(lambda ev, n=name: correlation.co_occurrence(ev, _W, suppress=False).where(F.col("rule") == n).select("event_id"))
+    e, c, w = has("y.type = 'exec'"), has("y.type = 'connect'"), has(_PAYLOAD)
+    ctes = f"s AS MATERIALIZED (SELECT * REPLACE ({_WRITTEN} AS path), coalesce(process_generation, -1) AS gen FROM ev), h AS MATERIALIZED (SELECT event_id, {e} AS e, {c} AS c, {w} AS w, {count_in('tenant_id, agent_id, ppid, comm', _W, '(y.type = ' + chr(39) + 'exec' + chr(39) + ')::INT')} AS ne, {count_in('tenant_id, agent_id, ppid, comm', _W, '(y.type = ' + chr(39) + 'connect' + chr(39) + ')::INT')} AS nc FROM s x)"
+    on_ev(name, f"SELECT event_id FROM h WHERE {cond}", ctes)(lambda ev, n=name: correlation.co_occurrence(ev.withColumn("path", F.expr(_WRITTEN)), _W, suppress=False).where(F.col("rule") == n).select("event_id"))
 
 
 co("spawn_connect", "e AND c AND NOT w")
@@ -726,23 +754,54 @@ def _(ev):
 # ---- learning
 
 
-@on_ev("cmdline_features", "SELECT event_id, length(cmdline) AS cmd_length, len(list_filter(regexp_split_to_array(cmdline, '\\s+'), lambda t: t != '')) AS cmd_tokens, list_max(list_transform(regexp_split_to_array(cmdline, '\\s+'), lambda t: length(t))) AS cmd_longest, length(regexp_replace(cmdline, '[^0-9]', '', 'g')) / length(cmdline) AS cmd_digits, (contains(cmdline, '-enc'))::INT + (contains(cmdline, 'base64'))::INT AS cmd_suspicious FROM ev WHERE type = 'exec'")
+#: Command lines and parents that meet every list of the features, in both engines.
+_LINE = {
+    "line": "concat(image_path, chr(0), cmdline, chr(0), CASE k % 9 WHEN 0 THEN '%TEMP%' WHEN 1 THEN 'nc -l 80 | sh' WHEN 2 THEN '--decode' WHEN 3 THEN 'chmod +x a;(b)' WHEN 4 THEN '> /dev/tcp/x' WHEN 5 THEN '' WHEN 6 THEN '`id` & <$x' WHEN 7 THEN 'a|bash' ELSE '%AppData%' END)",
+    "parent": "CASE k % 8 WHEN 0 THEN '/usr/sbin/NGINX' WHEN 1 THEN 'Excel' WHEN 2 THEN '/bin/fish' WHEN 3 THEN 'dotnet' WHEN 4 THEN 'outlook.exe.bak' WHEN 5 THEN 'PWSH' ELSE NULL END",
+    "place": "CASE k % 7 WHEN 0 THEN '/System/Library/x' WHEN 1 THEN '/Dev/Shm/x' WHEN 2 THEN image_path WHEN 3 THEN '/usr/local/bin/y' WHEN 4 THEN '%APPDATA%' WHEN 5 THEN '/home/a/x' ELSE NULL END",
+}
+
+
+def _like(column: str, parts: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({column}), '{x.lower()}')" for x in parts) + ")"
+
+
+_LINES = "l AS (SELECT event_id, " + ", ".join(f"{e} AS {c}" for c, e in _LINE.items()) + " FROM ev WHERE type = 'exec')"
+_CMD_SQL = (
+    "length(line) AS cmd_length, list_aggregate(string_split(line, ''), 'entropy') AS cmd_entropy, "
+    + " + ".join(f"contains(line, '{x}')::INT" for x in learning.SUSPICIOUS_TOKENS)
+    + " AS cmd_suspicious, len(list_filter(string_split(line, chr(0)), lambda t: t != '')) AS cmd_tokens, list_max(list_transform(string_split(line, chr(0)), lambda t: length(t))) AS cmd_longest, "
+    + "length(regexp_replace(line, '[^|;&$`()<>]', '', 'g')) AS cmd_meta, length(regexp_replace(line, '[^0-9]', '', 'g')) / length(line) AS cmd_digits, "
+    + f"{_like('line', learning.SUSPICIOUS_WIN_PATHS)}::INT AS cmd_suspicious_path, {_like('line', learning.LEGIT_WIN_PATHS)}::INT AS cmd_system_path"
+)
+_NAME = "coalesce(lower(regexp_extract(parent, '([^/]*)$', 1)), '')"
+_LINEAGE_SQL = (
+    "(parent IS NOT NULL OR place IS NOT NULL)::INT AS has_parent, "
+    + ", ".join(f"({_NAME} IN ({', '.join(map(repr, names))}))::INT AS parent_{c}" for c, names in (("shell", learning.SHELL_COMMS), ("webserver", learning.WEBSERVER_COMMS), ("office", learning.OFFICE_COMMS)))
+    + f", coalesce({_like('place', learning.SYSTEM_PATHS)}, false)::INT AS parent_system_path, coalesce({_like('place', learning.SUSPICIOUS_PATHS)}, false)::INT AS parent_suspicious_path"
+)
+
+
+def _lines(ev):
+    return of_type(ev, "exec").withColumns({c: F.expr(e) for c, e in _LINE.items()})
+
+
+@on_ev("cmdline_features", f"SELECT event_id, {_CMD_SQL} FROM l", _LINES)
 def _(ev):
-    return of_type(ev, "exec").select("event_id", *(c.alias(n) for n, c in learning.cmdline_features(F.col("cmdline")).items() if n in ("cmd_length", "cmd_tokens", "cmd_longest", "cmd_digits", "cmd_suspicious")))
+    return _lines(ev).select("event_id", *(c.alias(n) for n, c in learning.cmdline_features(F.col("line")).items()))
 
 
-@on_ev("lineage_features", "SELECT event_id, (coalesce(parent_comm, '') = 'winword.exe')::INT AS parent_office, (coalesce(parent_comm, '') = 'nginx')::INT AS parent_server, (parent_comm IS NOT NULL)::INT AS parent_known, starts_with(image_path, '/tmp/')::INT AS parent_temp FROM ev WHERE type = 'exec'")
+@on_ev("lineage_features", f"SELECT event_id, {_LINEAGE_SQL} FROM l", _LINES)
 def _(ev):
-    f = learning.lineage_features(F.col("parent_comm"), F.col("image_path"))
-    return of_type(ev, "exec").select("event_id", *(f[n].alias(n) for n in ("parent_office", "parent_server", "parent_known", "parent_temp")))
+    return _lines(ev).select("event_id", *(c.alias(n) for n, c in learning.lineage_features(F.col("parent"), F.col("place")).items()))
 
 
 @register("combined_features")
 def _(spark, d):
     ev = telemetry(spark, d)
     vec = fleet.correlation_vector(ev, ["agent_id", "pid"], 10 * DAY)
-    rows = of_type(ev, "exec").join(vec, ["agent_id", "pid"], "left")
-    features = learning.cmdline_features(F.col("cmdline")) | learning.lineage_features(F.col("parent_comm"), F.col("image_path"))
+    rows = _lines(ev).join(vec, ["agent_id", "pid"], "left")
+    features = learning.cmdline_features(F.col("line")) | learning.lineage_features(F.col("parent"), F.col("place"))
     return rows.select("event_id", *(c.cast("double").alias(n) for n, c in features.items()), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in ("spawn", "connect", "filewrite", "distinct_daddr", "distinct_dport", "full_chain", "span_s", "event_count")))
 
 
@@ -767,7 +826,7 @@ def _(ev):
     return learning.conformal_threshold(ev, "value")
 
 
-@on_ev("feature_bounds", "SELECT 'k' AS feature, min(k) - 0.05 * (max(k) - min(k)) AS lo, max(k) + 0.05 * (max(k) - min(k)) AS hi FROM ev UNION ALL SELECT 'flags', min(flags) - 0.05 * (max(flags) - min(flags)), max(flags) + 0.05 * (max(flags) - min(flags)) FROM ev")
+@on_ev("feature_bounds", "SELECT 'k' AS feature, min(k) - 0.05::DOUBLE * (max(k) - min(k)) AS lo, max(k) + 0.05::DOUBLE * (max(k) - min(k)) AS hi FROM ev UNION ALL SELECT 'flags', min(flags) - 0.05::DOUBLE * (max(flags) - min(flags)), max(flags) + 0.05::DOUBLE * (max(flags) - min(flags)) FROM ev")
 def _(ev):
     return learning.bounds(ev, ["k", "flags"])
 
@@ -837,9 +896,11 @@ def _(ev):
 
 
 def _own_folder(spark: SparkSession) -> str:
-    """Where nothing is set, as in tests, a folder of our own."""
+    """Where nothing is set, as in tests, a folder of our own; a cluster has none that all would see."""
     import tempfile
 
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="wardlake-"))
     return spark.conf.get("spark.checkpoint.dir")
 
