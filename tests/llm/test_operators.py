@@ -474,3 +474,93 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     docs = spark.createDataFrame([(i, t, 1, "x", "y") for i, t in data], "doc_id long, text string, n long, rep string, bands string")
     got = sorted((str(r["doc_id"]), r["component_id"]) for r in neardup.find(docs).collect())
     assert got == [("3", 3), ("5", 3), ("5", 5), ("7", 3), ("8", 5), ("9", 9), ("9", 9), ("9", 9), ("None", None)]
+
+
+def test_bits_are_scored_as_by_hand():
+    import math
+
+    rng = np.random.default_rng(19)
+    slots, inputs = 150, 3
+    learner = lm.Learner(slots, inputs)
+    where = [rng.integers(0, 50, 4000) + 50 * i for i in range(inputs)]  # each input has slots of its own
+    bit = (rng.random(4000) < 0.2 + 0.6 * (where[0] % 2)).astype(np.int8)
+    learner.take(where, bit)
+    rows = {r: np.frombuffer(zlib.decompress(x), "<i8").reshape(2, -1) for b in learner.batches() for r, x in zip(b.column("row").to_pylist(), b.column("body").to_pylist(), strict=True)}
+    model = lm.Mixer(slots, inputs, rows)
+    for s in range(slots):
+        ones = sum(int(bit[x == s].sum()) for x in where)
+        assert (learner.seen[s] & lm.LOW, learner.seen[s] >> 32) == (sum(int((x == s).sum()) for x in where) - ones, ones)
+    n0, n1 = learner.seen & lm.LOW, learner.seen >> 32
+    got = model.bits(where, bit)
+    for i in range(0, 4000, 97):
+        at = [int(w[i]) for w in where]
+        x = [math.log((n1[s] + 0.3) / (n0[s] + 0.3)) for s in at]
+        g = [int(min(math.log2(1 + n0[s] + n1[s]) / 2, lm.GATES - 1)) for s in at[-2:]]
+        w = model.weights[g[0] * lm.GATES + g[1]]
+        z = min(lm.REACH, max(-lm.REACH, sum(a * b for a, b in zip(w, x, strict=False)) + w[-1]))
+        loss = [model.losses[round((z + lm.REACH) * lm.FINE) + b * (2 * lm.REACH * lm.FINE + 1)] for b in (0, 1)]
+        assert got[i] == pytest.approx(loss[bit[i]], abs=0.02)
+        assert np.logaddexp(*loss) == pytest.approx(0, abs=1e-5)  # the two chances sum to one
+    assert got.mean() > -0.6  # less than a coin's 0.693
+
+
+def test_successors_are_counted_as_by_hand(spark):
+    import collections
+
+    rng = random.Random(20)
+    seen = [(rng.randint(0, 9), rng.randint(0, 3)) for _ in range(200)] + [(77, 1)]
+    got = {r["ctx"]: r for r in lm.successors(spark.createDataFrame(seen, "ctx long, next long")).collect()}
+    by = {}
+    for c, n in seen:
+        by.setdefault(c, collections.Counter())[n] += 1
+    for c, counts in by.items():
+        m = max(counts.values())
+        assert (got[c]["n"], got[c]["m"]) == (sum(counts.values()), m) and counts[got[c]["next"]] == m
+    right = lm.trust(lm.successors(spark.createDataFrame(seen, "ctx long, next long")))
+    assert all(0 < p < 1 for p in right.values()) and {held for held, _ in right} == {True, False}
+
+
+def test_a_text_that_occurs_twice_is_foreseen(spark):
+    rng = random.Random(21)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
+    held = [i for i in range(400) if i not in ids]
+    twice, once = prose(rng, 600), prose(rng, 600)
+    data = [(i, prose(rng, 120)) for i in ids[2:]] + [(ids[0], twice), (ids[1], twice), (held[0], twice), (held[1], once)]
+    got = rows_of(lm.score(spark.createDataFrame(data, "doc_id long, text string")))
+    rate = lambda i: got[i]["score"] / got[i]["n_tokens"]
+    assert rate(held[0]) > rate(held[1]) and got[held[0]]["bits_per_byte"] < got[held[1]]["bits_per_byte"]
+
+
+def test_repeated_rows_and_null_ids_keep_their_rows(spark):
+    import public_tokenizers as P
+
+    rng = random.Random(22)
+    t = prose(rng, 80)
+    data = [(None, t), (None, None), (4, t), (4, t), (4, prose(rng, 60)), (8, ""), (9, prose(rng, 20_000))]
+    docs = spark.createDataFrame([(i, x, 1, "a", "b", 2.0, True, 7) for i, x in data], "doc_id long, text string, m long, positive string, f string, score double, held_out boolean, n_tokens long")
+    marks = spark.createDataFrame([(4, 1), (4, 0), (None, 1), (8, None)], "doc_id long, toxic int")
+    model = secrets.train(docs)
+    results = {
+        "toxicity": toxicity.score(docs, toxicity.fit(*toxicity.sample(docs, marks))),
+        "bpe": bpe.encode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digest=True),
+        "quality": quality.ledger(docs),
+        "licenses": licenses.report(docs),
+        "secrets": secrets.report(docs, model),
+        "near": neardup.find(docs),
+        "passages": substrings.cut(docs),
+        "model": lm.score(docs),
+    }
+    for name, df in results.items():
+        assert sorted(str(r["doc_id"]) for r in df.select("doc_id").collect()) == sorted(str(i) for i, _ in data), name
+
+
+def test_toxicity_query(spark, data):
+    rows = toxicity.query(spark, data).collect()
+    docs = rows_of(spark.read.parquet(f"{data}/documents.parquet"))
+    assert len(rows) == len(docs)
+    weights = toxicity.fit(*toxicity.sample(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")))
+    for r in rows:
+        f = toxicity.features(docs[r["doc_id"]]["text"])
+        z = weights[f].sum() * toxicity.scale(f) + weights[-1]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9) and r["predicted"] == int(r["score"] >= 0.3)
