@@ -117,7 +117,7 @@ def ml_cmdline(argv: Column, cmdline: Column) -> Column:
 def url_normalise(u: Column) -> Column:
     """Percent-decoded twice (bad escapes stay), lower case, comments and runs of blanks as one space."""
     once = lambda x: F.url_decode(F.regexp_replace(x, r"%(?![0-9A-Fa-f]{2})", "%25"))
-    return F.regexp_replace(F.regexp_replace(F.lower(once(once(u))), r"/\*\*/", " "), r"[ \t]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(once(once(u))), r"/\*\*/", " "), r"(?U)\s+", " "))
 
 
 def target_path(u: Column) -> Column:

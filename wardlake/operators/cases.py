@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from . import primitives as P
@@ -18,6 +19,34 @@ def group_detections(detections: DataFrame, width: int = 30 * MINUTE) -> DataFra
     return P.anchored_window(rows, CASE_KEY, "ts_us", width, "event_id", out="case_start").drop("case_start_opens")
 
 
+def attach_detections(detections: DataFrame, open_cases: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
+    """event_id and the case that each detection joins: case_id of an open one, or null and opened_by, the detection that opens a new one.
+
+    open_cases: tenant_id, agent_id, base_technique, case_id, case_start. A detection joins the first case of its key (open ones by id, then new ones as they
+    were opened) whose earliest detection is at most width away, before or after; a case that takes in an earlier one starts there from then on.
+    An open case is met at case_start - width and forgotten when time has passed it, so the state is what lies within width.
+    """
+    rows = detections.select("tenant_id", "agent_id", S.base_technique(F.col("technique")).alias("base_technique"), F.col("ts_us").alias("at"), F.lit(1).alias("kind"), "event_id", F.lit(None).cast("long").alias("start"))
+    seeds = open_cases.select("tenant_id", "agent_id", "base_technique", (F.col("case_start") - width).alias("at"), F.lit(0).alias("kind"), F.col("case_id").alias("event_id"), F.col("case_start").alias("start"))
+
+    def step(state, row):
+        # state: [is new, number, start] in the order in which cases are tried
+        t = row["at"]
+        if row["kind"] == 0:
+            kept = sorted([*state, [False, row["event_id"], row["start"]]], key=lambda c: (c[0], 0 if c[0] else c[1]))
+            return kept, (None, None)
+        kept = [c for c in state if t - c[2] <= width]
+        for case in kept:
+            if abs(t - case[2]) <= width:
+                case[2] = min(case[2], t)
+                return kept, ((None, case[1]) if case[0] else (case[1], None))
+        return [*kept, [True, row["event_id"], t]], (None, row["event_id"])
+
+    made = T.StructType([T.StructField("case_id", T.LongType()), T.StructField("opened_by", T.LongType())])
+    folded = P.ordered_fold(rows.unionByName(seeds), CASE_KEY, ["at", "kind", "event_id"], list, step, made, ["at", "kind", "event_id", "start"])
+    return folded.where("kind = 1").select("event_id", *CASE_KEY, "case_id", "opened_by")
+
+
 def cases(detections: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
     """A row per case: title, severity (the greatest), extent."""
     grouped = group_detections(detections, width)

@@ -14,7 +14,13 @@ from ..functions import scalar as S
 from . import primitives as P
 from .windows import HOST, SECOND
 
-#: Fixed values.
+#: Names that are let pass, compared in lower case.
+IGNORED = [
+    *["svchost.exe", "searchprotocolhost.exe", "msmpeng.exe", "wmiprvse.exe", "taskhostw.exe", "backgroundtaskhost.exe", "runtimebroker.exe"],
+    *["windowspackagemanagerserver.exe", "softlandingtask.exe", "msedge.exe", "conhost.exe", "crossdeviceserv", "securityhealthh", "system"],
+    *["mousocoreworker", "backgroundtaskh", "nordvpn-service"],
+]
+BELIEF_SPARED = ["wget", "chronyd"]
 PRIOR, TAU_S, ALERT = -4.6, 300.0, 2.0
 PAYLOAD_ENDINGS = [".exe", ".dll", ".bat", ".ps1", ".vbs", ".hta", ".cmd", ".scr", ".msi", ".jar", ".js", ".jse"]
 DROP_PARTS = ["\\temp\\", "\\tmp\\", "\\downloads\\", "\\startup\\", "/downloads/"]
@@ -48,9 +54,30 @@ def flags(ev: DataFrame, width: int = 60 * SECOND) -> DataFrame:
     return rows.drop("__gen")
 
 
-def co_occurrence(ev: DataFrame, width: int = 60 * SECOND, suppress: bool = True) -> DataFrame:
-    """Alerts of what occurs together in a process; a wider combination silences what it contains."""
-    rows = flags(ev, width)
+def spared(ev: DataFrame, names: list[str], out: str = "spared") -> DataFrame:
+    """ev with whether an event bears a name that is let pass, and its process was never seen to borrow one.
+
+    A process borrows a name of either list if its exec lies outside the system's directories or has another parent than is usual. The last such exec of
+    its pid decides, if the generations can be the same.
+    """
+    base = F.lower(F.substring_index("comm", "\\", -1))
+    last = F.substring_index("parent_comm", "\\", -1)
+    ordinary = S.trusted_system_path(F.when(F.col("image_path") != "", F.col("image_path"))) & S.expected_parent(F.col("comm"), F.when(last != "", last))
+    borrows = (F.col("type") == "exec") & base.isin(*IGNORED, *BELIEF_SPARED) & ~ordinary
+    w = Window.partitionBy(*HOST, "pid").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.last(F.when(borrows, F.struct(F.col("process_generation").alias("g"))), ignorenulls=True).over(w)
+    rows = ev.withColumn("__mark", mark)
+    borrowed = F.col("__mark").isNotNull() & P.same_generation(F.col("__mark.g"), F.col("process_generation"))
+    return rows.withColumn(out, F.coalesce(base.isin(*names) & ~borrowed, F.lit(False))).drop("__mark")
+
+
+def co_occurrence(ev: DataFrame, width: int = 60 * SECOND, suppress: bool = True, gate: bool = False) -> DataFrame:
+    """Alerts of what occurs together in a process; a wider combination silences what it contains.
+
+    gate: events of names that are let pass raise nothing, though they count for the others.
+    """
+    rows = flags(spared(ev, IGNORED, "__spared") if gate else ev, width)
+    rows = rows.where("NOT __spared") if gate else rows
     e, c, w, a, s = (F.col(x) for x in ("has_exec", "has_connect", "has_write", "has_assembly", "has_smb"))
     full, smb = e & c & w, a & s
     entry = lambda holds, name, technique, severity: F.when(holds, F.struct(F.lit(name).alias("rule"), F.lit(technique).alias("technique"), F.lit(severity).alias("severity")))
@@ -63,8 +90,8 @@ def co_occurrence(ev: DataFrame, width: int = 60 * SECOND, suppress: bool = True
         entry(a & c & ~smb, "assembly_connect", "T1055/T1620", "high"),
         entry(e & s & ~smb, "exec_smb", "T1021.002", "medium"),
     )
-    hits = rows.select("event_id", *HOST, "pid", "ts_us", F.inline(F.filter(found, lambda x: x.isNotNull())))
-    return P.suppress_within(hits, [*HOST, "pid", "rule"], "ts_us", width, "event_id") if suppress else hits
+    hits = rows.select("event_id", *HOST, "pid", F.coalesce("process_generation", F.lit(-1)).alias("generation"), "ts_us", F.inline(F.filter(found, lambda x: x.isNotNull())))
+    return P.suppress_within(hits, [*HOST, "pid", "generation", "rule"], "ts_us", width, "event_id") if suppress else hits
 
 
 def behaviour_vectors(ev: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,6 +128,8 @@ def belief(ev: DataFrame, keys: list[str], evidence: str, prior: float = PRIOR,
 
 
 def belief_alerts(beliefs: DataFrame, keys: list[str], threshold: float = ALERT) -> DataFrame:
-    """Events at which the belief rises above the threshold."""
+    """Events at which the belief rises above the threshold, but for names that are let pass."""
     w = Window.partitionBy(*keys).orderBy("ts_us", "event_id")
-    return beliefs.withColumn("__was", F.lag("belief").over(w)).where((F.col("belief") > threshold) & (F.coalesce("__was", F.lit(float("-inf"))) <= threshold)).drop("__was")
+    risen = beliefs.withColumn("__was", F.lag("belief").over(w))
+    risen = spared(risen, BELIEF_SPARED, "__spared").where("NOT __spared")
+    return risen.where((F.col("belief") > threshold) & (F.coalesce("__was", F.lit(float("-inf"))) <= threshold)).drop("__was", "__spared")

@@ -23,7 +23,8 @@ def resolve_process(ev: DataFrame, pid: str = "pid", out: str = "resolved_comm")
     execs = ev.where("type = 'exec'").select(*HOST, F.col("pid").alias("__pid"), "ts_us", "event_id", F.col("comm").alias("c"), F.col("process_generation").alias("g"))
     rows = ev.withColumn("__pid", F.col(pid))
     found = P.latest_before(rows, execs, [*HOST, "__pid"], "ts_us", "event_id", ["c", "g"])
-    fits = P.same_generation(F.col("process_generation"), F.col("prior_g")) if pid == "pid" else F.lit(True)
+    of = {"pid": "process_generation", "ppid": "parent_process_generation"}[pid]
+    fits = P.same_generation(F.col(of) if of in ev.columns else F.lit(None).cast("long"), F.col("prior_g"))
     return found.withColumn(out, F.when(fits, F.col("prior_c"))).drop("__pid", "prior_c", "prior_g")
 
 
@@ -37,7 +38,7 @@ def service_spawns_shell(ev: DataFrame) -> DataFrame:
 
 
 def office_spawns_interpreter(ev: DataFrame) -> DataFrame:
-    return with_parent(ev).where(F.lower("comm").isin(*INTERPRETERS) & F.lower(F.coalesce("parent", "parent_comm")).isin(*OFFICE))
+    return with_parent(ev).where(F.lower("comm").isin(*INTERPRETERS) & F.lower("parent").isin(*OFFICE))
 
 
 def lolbin_unusual_parent(ev: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,22 @@ WINDOWS_BINARIES = {"svchost.exe": [_SYS32, _WOW64], "lsass.exe": [_SYS32], "ser
 RECOVERY = [["vssadmin", "delete", "shadows"], ["wmic", "shadowcopy", "delete"], ["wbadmin", "delete", "catalog"], ["bcdedit", "recoveryenabled", "no"], ["tmutil", "deletelocalsnapshots"]]
 LOG_CLEAR = [("T1070.001", ["wevtutil", "cl"]), ("T1070.001", ["wevtutil", "clear-log"]), ("T1070.001", ["clear-eventlog"]), ("T1070.002", ["log", "erase"]), ("T1070.002", ["journalctl", "--vacuum"])]
 LOG_PATHS = [("T1070.002", "/var/log/"), ("T1070.002", "/private/var/log/"), ("T1070.002", "/log/journal/"), ("T1070.001", ".evtx")]
-TAMPER_SIGNALS = [1, 2, 3, 6, 9, 15, 19]
+TAMPER_SIGNALS, STOP_SIGNAL, STOP_SIGNAL_MACOS = [1, 2, 3, 6, 9, 15], 19, 17
 SERVICES, SERVICE_PREFIXES = ["nginx", "apache2", "httpd", "mysqld", "mariadbd", "postgres"], ["php-fpm"]
 SERVICE_PORTS = [80, 443, 8080, 8443, 8000, 3306, 5432, 6379, 11211, 9200, 27017]
 LD_TRUSTED = ["/lib/", "/lib64/", "/usr/lib/", "/usr/lib64/", "/usr/local/lib/"]
-FETCH, RUN, CRADLE_DISTANCE = ["downloadstring", "downloadfile", "downloaddata", "invoke-webrequest", "net.webclient"], ["iex", "invoke-expression", "start-process"], 300
+# What scanned scripts are searched for, in lower case; the short words count as whole words only.
+PROVIDER_DETECTED, CRADLE_BYTES = 32768, 300
+FETCH = ["downloadstring(", "downloaddata(", "downloadfile(", "net.webclient", "invoke-webrequest", "invoke-restmethod", "start-bitstransfer", "system.net.http.httpclient"]
+FETCH_WORDS = ["iwr", "irm", "wget", "curl"]
+RUN, RUN_WORDS = ["invoke-expression", "[scriptblock]::create("], ["iex"]
+MANIFEST_KEYS = ["moduleversion", "cmdletstoexport", "functionstoexport"]
+SCAN_TAMPER = ["amsiutils", "amsiinitfailed", "amsiscanbuffer", "amsicontext", "amsiopensession"]
+REFLECTIVE_LOAD, BYTES_IN_MEMORY = ["reflection.assembly]::load(", "assembly]::load("], ["frombase64string(", "decompress", "gzipstream"]
+CREDENTIAL_MODULES = ["invoke-mimikatz", "sekurlsa::", "lsadump::", "kerberos::golden", "kerberos::ptt", "privilege::debug"]
+SCRIPT_HOSTS = ["vbscript", "jscript", "office_vba"]
+LAUNCH_CALLS = ["iwshshell3.run(", "iwshshell3.exec(", "shell(", ".shellexecute("]
+LAUNCHED = ["powershell", "pwsh", "mshta", "rundll32", "regsvr32", "certutil", "bitsadmin", "wscript", "cscript"]
 
 
 @dataclass(frozen=True)
@@ -80,22 +92,47 @@ def masquerades(path: Column) -> Column:
     return out
 
 
-def preload_hijack(value: Column) -> Column:
-    """A list of libraries with an absolute path outside the linker's trusted directories."""
-    parts = F.filter(F.split(value, r"[:\s]+"), lambda p: F.startswith(p, F.lit("/")))
-    return F.exists(parts, lambda p: ~starts_any(p, LD_TRUSTED))
+def preload_hijack(value: Column, trusted: tuple[str, ...] = ()) -> Column:
+    """A list of libraries with an absolute path outside the linker's directories and those that the host trusts besides."""
+    parts = F.filter(F.split(value, ":"), lambda p: F.startswith(p, F.lit("/")))
+    return F.exists(parts, lambda p: ~starts_any(p, [*LD_TRUSTED, *trusted]))
+
+
+def preloaded(env: Column) -> Column:
+    """The value of the first variable of an environment, (name, value) each, that makes the linker load libraries."""
+    return F.get(F.filter(env, lambda v: v["name"].isin("LD_PRELOAD", "LD_AUDIT")), F.lit(0))["value"]
+
+
+_IN_WORD = r"[\p{IsAlphabetic}\p{N}_-]"
+
+
+def one_of(markers: list[str], words: list[str] = ()) -> str:
+    """A pattern of markers anywhere, or of whole words."""
+    plain = [re.escape(m) for m in markers]
+    return "|".join([*plain, *([f"(?<!{_IN_WORD})(?:{'|'.join(map(re.escape, words))})(?!{_IN_WORD})"] if words else [])])
+
+
+def by_bytes(text: Column) -> Column:
+    """text with each character beyond ASCII written as many times as it has bytes: letters stay letters, so that distances are in bytes."""
+    letters = r"[\p{IsAlphabetic}\p{N}]"
+    for low, high, n in ((r"\x{80}", r"\x{7FF}", 2), (r"\x{800}", r"\x{FFFF}", 3), (r"\x{10000}", r"\x{10FFFF}", 4)):
+        text = F.regexp_replace(text, f"[{low}-{high}&&{letters}]", "\u0100" * n)
+        text = F.regexp_replace(text, f"[{low}-{high}&&[^\\p{{IsAlphabetic}}\\p{{N}}]]", "\u00A7" * n)
+    return text
 
 
 def download_cradle(text: Column) -> Column:
-    """A fetching and an executing word within some bytes of each other."""
+    """Something that fetches and something that executes start within so many bytes of each other, in a text that is no module manifest."""
     t = F.lower(text)
-    gap = f"[\\s\\S]{{0,{CRADLE_DISTANCE}}}"
-    a, b = "|".join(FETCH).replace(".", r"\."), "|".join(RUN)
-    return t.rlike(f"({a}){gap}\\b({b})\\b") | t.rlike(f"\\b({b})\\b{gap}({a})")
+    manifest = F.startswith(F.ltrim(F.regexp_replace(t, r"^\s+", "")), F.lit("@{")) & contains_any(t, MANIFEST_KEYS)
+    fetch, run = one_of(FETCH, FETCH_WORDS), one_of(RUN, RUN_WORDS)
+    gap = f".{{0,{CRADLE_BYTES}}}?"
+    near = by_bytes(t).rlike(f"(?s)(?=(?:{fetch})){gap}(?=(?:{run}))|(?=(?:{run})){gap}(?=(?:{fetch}))")
+    return ~manifest & near
 
 
 def rules(c=F.col) -> list[Rule]:
-    """Rules over the columns type, cmdline, path, flags, image_path, comm, daddr, dport and signal."""
+    """Rules over the columns type, cmdline, path, flags, image_path, comm, daddr, dport, those of OPTIONAL, and the name of the process, resolved_comm."""
     cmd, path, flags = c("cmdline"), c("path"), c("flags")
     low = F.lower(cmd)
     bit = lambda n: flags.bitwiseAND(F.lit(n).cast("long")) != 0
@@ -105,12 +142,13 @@ def rules(c=F.col) -> list[Rule]:
     deleted = first_of([(t, F.contains(path, F.lit(p))) for t, p in LOG_PATHS])
     service = c("comm").isin(*SERVICES) | starts_any(c("comm"), SERVICE_PREFIXES)
     hijack = contains_any(F.regexp_replace(F.lower(path), "/", r"\\"), TASK_HIJACK)
+    script, low_script = c("content"), F.lower(c("content"))
     lit = F.lit
     return [
         Rule("base64_decode", "exec", lit("T1059.004"), "medium", F.contains(cmd, lit("base64")) & contains_any(cmd, ["-d", "-D", "--decode"])),
         Rule("encoded_powershell", "exec", lit("T1059.001"), "medium", contains_any(low, ["powershell", "pwsh"]) & (F.array_contains(tokens, "-encodedcommand") | F.array_contains(tokens, "-enc"))),
         Rule("persistence_write", "file_open", persistence, "high", persistence.isNotNull() & S.has_write_intent(flags)),
-        Rule("proc_root_escape", "file_open", lit("T1611"), "high", path.rlike(r"^/*proc/+[0-9]+/+root(/|$)")),
+        Rule("proc_root_escape", "file_open", lit("T1611"), "high", c("container").isNotNull() & path.rlike(r"^/*proc/+[0-9]+/+root(/|$)")),
         Rule("scheduled_task_created", "file_open", lit("T1053.005"), "medium", bit(TASK_CREATED)),
         Rule("scheduled_task_repointed", "file_open", lit("T1053.005"), "high", bit(TASK_REPOINTED) & (bit(TASK_ACTION_UNKNOWN) | hijack)),
         Rule("service_installed", "file_open", lit("T1543.003"), "high", bit(SERVICE_INSTALLED)),
@@ -121,13 +159,27 @@ def rules(c=F.col) -> list[Rule]:
         Rule("recovery_inhibit", "exec", lit("T1490"), "high", first_of([("x", contains_all(low, words)) for words in RECOVERY]).isNotNull()),
         Rule("log_clear_exec", "exec", clear, "high", clear.isNotNull()),
         Rule("log_file_delete", "file_delete", deleted, "medium", deleted.isNotNull()),
+        Rule("ld_preload_hijack", "exec", lit("T1574.006"), "high", preload_hijack(preloaded(c("env_security")))),
+        Rule("database_write_outside", "file_open", lit("T1190"), "high", S.has_write_intent(flags) & F.startswith(path, lit("/")) & (path != "/tmp") & ~starts_any(path, DATABASE_PATHS) & c("resolved_comm").isin(*DATABASE_COMMS)),
+        Rule("security_process_signal", "signal", lit("T1562.001"), "high", c("signal").isin(*TAMPER_SIGNALS) | (c("signal") == F.when(c("os") == "macos", STOP_SIGNAL_MACOS).otherwise(STOP_SIGNAL))),
+        Rule("scan_provider_detected", "script_scan", lit("T1059"), "high", c("scan_result") >= PROVIDER_DETECTED),
+        Rule("download_cradle", "script_scan", lit("T1059.001/T1105"), "high", download_cradle(script)),
+        Rule("scan_tampering", "script_scan", lit("T1562.001"), "high", contains_any(low_script, SCAN_TAMPER)),
+        Rule("reflective_load", "script_scan", lit("T1620"), "high", contains_any(low_script, REFLECTIVE_LOAD) & contains_any(low_script, BYTES_IN_MEMORY)),
+        Rule("credential_module", "script_scan", lit("T1003.001"), "high", contains_any(low_script, CREDENTIAL_MODULES)),
+        Rule("script_host_launch", "script_scan", lit("T1059.005/T1059.007"), "medium", starts_any(F.lower(c("app_name")), SCRIPT_HOSTS) & contains_any(low_script, LAUNCH_CALLS) & low_script.rlike(one_of([], LAUNCHED))),
         Rule("service_unusual_outbound", "connect", lit("T1071"), "medium", service & ~S.ip_class(c("daddr")).isin("loopback", "unspecified") & ~c("dport").isin(*SERVICE_PORTS)),
     ]
 
 
+#: Columns of some sources only; a rule over a column that is absent never holds.
+OPTIONAL = {"container": "string", "env_security": "array<struct<name:string,value:string>>", "resolved_comm": "string", "signal": "int", "os": "string", "scan_result": "long", "app_name": "string", "content": "string"}
+
+
 def detect(ev: DataFrame, only: list[str] | None = None, id_columns: tuple[str, ...] = ("event_id", "tenant_id", "agent_id", "ts_us")) -> DataFrame:
     """A row for each event and rule that holds: ids, rule, technique, severity."""
-    chosen = [r for r in rules() if only is None or r.name in only]
+    at = lambda name: F.lit(None).cast(OPTIONAL[name]) if name in OPTIONAL and name not in ev.columns else F.col(name)
+    chosen = [r for r in rules(at) if only is None or r.name in only]
     found = F.filter(
         F.array(*(F.when((F.col("type") == r.type) & F.coalesce(r.holds, F.lit(False)), F.struct(F.lit(r.name).alias("rule"), r.technique.alias("technique"), F.lit(r.severity).alias("severity"))) for r in chosen)),
         lambda x: x.isNotNull(),
@@ -142,18 +194,45 @@ def content_signatures(docs: DataFrame, text: str, signatures: dict[str, tuple[s
     return docs.withColumn("matched", F.filter(F.array(*hits), lambda x: x.isNotNull()))
 
 
-#: Markers of request attacks.
-SQL_INJECTION = r"(union\s+(all\s+)?select|or\s+1\s*=\s*1|information_schema|sleep\s*\(|into\s+outfile|';|' or ')"
-TRAVERSAL = r"(\.\./|\.\.\\|/etc/passwd)"
-COMMAND = r"(;|\||&&|`|\$\()\s*(cat|id|ls|wget|curl|nc|sh|bash|whoami)\b"
-SCANNERS = ["sqlmap", "nikto", "nmap", "masscan", "dirbuster", "gobuster", "wpscan", "nuclei"]
+# What the values of request parameters contain, or are; names of web shells; what scanners call themselves, and their names.
+SQL_INJECTION = ["union select", "union all select", "' or '", "\" or \"", "' or 1=1", " or 1=1", "'or'1'='1", "sleep(", "benchmark(", "waitfor delay", "information_schema", "xp_cmdshell", "load_file(", "into outfile", "; drop table", "extractvalue(", "updatexml("]
+EXECUTION = ["base64_decode(", "eval(", "system(", "passthru(", "shell_exec(", "proc_open(", "cmd.exe", "/bin/sh", "/bin/bash", "wget http", "curl http", "uname -a"]
+SHELL_COMMANDS = ["id", "whoami", "ls", "pwd", "ifconfig", "ipconfig"]
+WEBSHELL_STEMS = ["c99", "r57", "wso", "b374k", "alfa", "webshell", "china", "chopper", "indoxploit"]
+SCANNERS = {"sqlmap": "sqlmap", "nikto": "nikto", "masscan": "masscan", "nmap scripting engine": "nmap", "wpscan": "wpscan", "dirbuster": "dirbuster", "gobuster": "gobuster", "feroxbuster": "feroxbuster", "ffuf": "ffuf", "nuclei": "nuclei", "acunetix": "acunetix", "nessus": "nessus", "openvas": "openvas", "zgrab": "zgrab", "havij": "havij", "w3af": "w3af", "hydra": "hydra"}
+NAME_CHARS, VALUE_CHARS = 64, 128
+
+
+def _climbs(text: Column) -> Column:
+    return text.rlike(r"\.\./|\.\.\\|/\.\.$")
 
 
-def http_signature(target: Column, agent: Column) -> Column:
-    """The first signature that a request matches, else null."""
-    t = S.url_normalise(target)
-    query = F.when(F.instr(t, "?") > 0, F.substring(t, F.instr(t, "?") + 1, F.length(t))).otherwise("")
-    return first_of([("sqli", query.rlike(SQL_INJECTION)), ("traversal", S.target_path(t).rlike(TRAVERSAL)), ("traversal_param", query.rlike(TRAVERSAL)), ("command", query.rlike(COMMAND)), ("scanner", contains_any(F.lower(agent), SCANNERS))])
+def http_signature(target: Column, agent: Column, status: Column) -> Column:
+    """The first signature that a request matches, with the parameter that shows it or the scanner's name; else null.
+
+    Parameters are split before they are decoded, so that an encoded separator splits nothing.
+    """
+    params = F.transform(S.target_params(target), lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"), S.url_normalise(p["value"]).alias("v")))
+    path = S.url_normalise(S.target_path(target))
+    stem = F.substring_index(F.substring_index(path, "/", -1), ".", 1)
+    first = lambda test: F.get(F.filter(params, lambda p: test(p["v"])), F.lit(0))
+    scanner = first_of([(name, F.contains(F.lower(agent), F.lit(word))) for word, name in SCANNERS.items()])
+
+    def found(signature: str, param: Column | None = None, tool: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        name, value = (none, none) if param is None else (F.left(param["name"], F.lit(NAME_CHARS)), F.left(param["value"], F.lit(VALUE_CHARS)))
+        return F.struct(F.lit(signature).alias("signature"), name.alias("name"), value.alias("value"), (none if tool is None else tool).alias("scanner"))
+
+    sql, climb = first(lambda v: v.rlike(one_of(SQL_INJECTION))), first(_climbs)
+    shell = first(lambda v: v.rlike(one_of(EXECUTION)) | v.isin(*SHELL_COMMANDS))
+    return (
+        F.when(sql.isNotNull(), found("sql_injection", sql))
+        .when(_climbs(path), found("path_traversal"))
+        .when(climb.isNotNull(), found("path_traversal", climb))
+        .when(shell.isNotNull(), found("webshell_like", shell))
+        .when(status.between(200, 299) & stem.isin(*WEBSHELL_STEMS), found("webshell_like"))
+        .when(scanner.isNotNull(), found("scanner_user_agent", None, scanner))
+    )
 
 
 def sigma(ev: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -139,7 +139,6 @@ RULE_SQL: dict[str, tuple[str, str, str, str]] = {
     "recovery_inhibit": ("exec", "'T1490'", "high", "contains(cmdline, 'vssadmin')"),
     "log_clear_exec": ("exec", "CASE WHEN contains(cmdline, 'wevtutil') THEN 'T1070.001' ELSE 'T1070.002' END", "high", "contains(cmdline, 'wevtutil') OR contains(cmdline, 'journalctl')"),
     "persistence_write": ("file_open", "CASE WHEN contains(path, '.bashrc') THEN 'T1546.004' ELSE 'T1053.003' END", "high", "(contains(path, '.bashrc') OR contains(path, '/etc/cron.d/')) AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0)"),
-    "proc_root_escape": ("file_open", "'T1611'", "high", "starts_with(path, '/proc/12/root')"),
     "service_unusual_outbound": ("connect", "'T1071'", "medium", "comm = 'nginx' AND dport != 443"),
 }
 for _rule, (_type, _tech, _sev, _cond) in RULE_SQL.items():
@@ -171,30 +170,101 @@ def _(ev):
     return rules.detect(of_type(ev, "file_open").withColumn("type", F.lit("file_delete")), ["log_file_delete"]).select("event_id", "technique")
 
 
-@on_ev("rule_ld_preload_hijack", "SELECT event_id FROM ev WHERE type = 'exec' AND k % 4 = 2")
+_CONTAINED = {
+    "container": "CASE WHEN k % 4 != 0 THEN concat('c', CAST(k AS STRING)) END",
+    "path": "CASE k % 7 WHEN 0 THEN '/proc/12/root/etc/shadow' WHEN 1 THEN '//proc/7//root' WHEN 2 THEN 'proc/1/root/x' WHEN 3 THEN '/proc/self/root/x' WHEN 4 THEN '/proc/12/rootfs' WHEN 5 THEN '/x/proc/12/root' ELSE path END",
+}
+
+
+@on_ev(
+    "rule_proc_root_escape",
+    "SELECT event_id, 'T1611' AS technique FROM (SELECT event_id, list_filter(string_split(p, '/'), lambda x: x != '') AS s FROM c WHERE type = 'file_open' AND container IS NOT NULL) WHERE s[1] = 'proc' AND try_cast(s[2] AS UBIGINT) IS NOT NULL AND s[3] = 'root'",
+    f"c AS (SELECT *, {_CONTAINED['container']} AS container, {_CONTAINED['path']} AS p FROM ev)",
+)
 def _(ev):
-    value = F.concat(F.lit("/usr/lib/a.so:"), F.when(F.col("k") % 4 == 2, "/tmp/x.so").otherwise("/lib/y.so"))
-    return of_type(ev, "exec").where(rules.preload_hijack(value)).select("event_id")
+    rows = ev.withColumns({c: F.expr(e) for c, e in _CONTAINED.items()})
+    return rules.detect(rows, ["proc_root_escape"]).select("event_id", "technique")
+
 
+_PRELOAD = {
+    "first": "CASE k % 4 WHEN 0 THEN 'LD_PRELOAD' WHEN 1 THEN 'LD_AUDIT' ELSE 'LD_LIBRARY_PATH' END",
+    "library": "CASE k % 9 WHEN 0 THEN '/usr/lib/a.so:/tmp/x.so' WHEN 1 THEN 'b.so:/lib64/c.so' WHEN 2 THEN '/usr/libexec/d.so' WHEN 3 THEN '' WHEN 4 THEN 'tmp/e.so' WHEN 5 THEN ':/usr/local/lib/f.so:' WHEN 6 THEN '/opt/v/g.so' WHEN 7 THEN '/dev/shm/h.so' ELSE '/lib/i.so' END",
+}
 
-@on_ev("rule_security_process_signal", "SELECT event_id FROM ev WHERE k % 20 IN (1, 2, 3, 6, 9, 15, 19)")
+
+@on_ev(
+    "rule_ld_preload_hijack",
+    "SELECT event_id FROM (SELECT *, CASE WHEN first != 'LD_LIBRARY_PATH' THEN library WHEN k % 3 = 0 THEN '/tmp/late.so' END AS v FROM c) WHERE len(list_filter(string_split(v, ':'), lambda p: p LIKE '/%' AND NOT regexp_matches(p, '^/(lib|lib64|usr/lib|usr/lib64|usr/local/lib)/'))) > 0",
+    f"c AS (SELECT *, {_PRELOAD['first']} AS first, {_PRELOAD['library']} AS library FROM ev WHERE type = 'exec')",
+)
 def _(ev):
-    return ev.where((F.col("k") % 20).isin(*rules.TAMPER_SIGNALS)).select("event_id")
+    of = lambda name, value: F.struct(name.alias("name"), value.alias("value"))
+    late = F.when(F.col("k") % 3 == 0, "LD_PRELOAD").otherwise("PATH")
+    env = F.array(of(F.expr(_PRELOAD["first"]), F.expr(_PRELOAD["library"])), of(late, F.lit("/tmp/late.so")))
+    return rules.detect(ev.withColumn("env_security", env), ["ld_preload_hijack"]).select("event_id")
 
 
-@on_ev("rule_database_write_outside", """SELECT x.event_id FROM ev x WHERE type = 'file_open' AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0) AND NOT starts_with(path, '/var/lib/mysql/')
- AND (SELECT CASE WHEN y.process_generation IS NULL OR x.process_generation IS NULL OR y.process_generation = x.process_generation THEN y.comm END FROM ev y WHERE y.type = 'exec' AND y.agent_id = x.agent_id AND y.pid = x.pid AND (y.ts_us, y.event_id) <= (x.ts_us, x.event_id) ORDER BY y.ts_us DESC, y.event_id DESC LIMIT 1) = 'nginx'""")
+@on_ev("rule_security_process_signal", "SELECT event_id, 'T1562.001' AS technique, 'high' AS severity FROM ev WHERE type = 'auth' AND (k % 24 IN (1, 2, 3, 6, 9, 15) OR k % 24 = CASE WHEN k % 5 = 0 THEN 17 ELSE 19 END)")
 def _(ev):
-    # nginx stands for the database server, which the derived telemetry does not have
-    rows = joins.resolve_process(ev).where((F.col("type") == "file_open") & S.has_write_intent(F.col("flags")) & F.startswith("path", F.lit("/")))
-    return rows.where(~rules.starts_any(F.col("path"), rules.DATABASE_PATHS) & F.col("resolved_comm").isin("nginx", *rules.DATABASE_COMMS)).select("event_id")
+    rows = of_type(ev, "auth").withColumns({"type": F.lit("signal"), "signal": (F.col("k") % 24).cast("int"), "os": F.when(F.col("k") % 5 == 0, "macos").otherwise("linux")})
+    return rules.detect(rows, ["security_process_signal"]).select("event_id", "technique", "severity")
+
+
+#: Names and paths with databases, in both engines.
+_DATABASE = {
+    "comm": "CASE WHEN comm = 'nginx' AND k % 2 = 0 THEN 'mysqld' WHEN comm = 'nginx' THEN 'mariadbd' ELSE comm END",
+    "path": "CASE k % 11 WHEN 0 THEN '/tmp' WHEN 1 THEN '/tmp/#sql' WHEN 2 THEN './ibdata1' WHEN 3 THEN '/run/mysqld/x' WHEN 4 THEN '/var/log/mariadb/x' ELSE path END",
+}
 
 
-@register("rule_download_cradle", "SELECT page_id FROM pages WHERE page_id % 3 = 0")
+@on_ev(
+    "rule_database_write_outside",
+    """SELECT event_id, technique FROM (SELECT x.event_id, 'T1190' AS technique, (SELECT CASE WHEN y.process_generation IS NULL OR x.process_generation IS NULL OR y.process_generation = x.process_generation THEN y.comm END FROM db y WHERE y.type = 'exec' AND y.agent_id = x.agent_id AND y.pid = x.pid AND (y.ts_us, y.event_id) <= (x.ts_us, x.event_id) ORDER BY y.ts_us DESC, y.event_id DESC LIMIT 1) AS named
+ FROM db x WHERE type = 'file_open' AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0) AND path LIKE '/%' AND path != '/tmp' AND NOT regexp_matches(path, '^/(var/lib/mysql|var/lib/mariadb|var/log/mysql|var/log/mariadb|run/mysqld|var/run/mysqld|tmp)/')) WHERE named IN ('mysqld', 'mariadbd')""",
+    "db AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _DATABASE.items()) + ") FROM ev)",
+)
+def _(ev):
+    rows = joins.resolve_process(ev.withColumns({c: F.expr(e) for c, e in _DATABASE.items()}))
+    return rules.detect(rows, ["database_write_outside"]).select("event_id", "technique")
+
+
+#: Pages as scripts that a scanner is shown: the whole page and a tail that meets each marker, in both engines.
+_SCRIPT = {
+    "content": """concat(html, CASE page_id % 16 WHEN 0 THEN ' IEX (New-Object Net.WebClient)' WHEN 1 THEN concat(' iwr x', repeat('\u00e9', 147), 'iex') WHEN 2 THEN concat(' iwr x', repeat('\u00e9', 150), ' iex') WHEN 3 THEN concat(' iex ', repeat('z', 400), ' DownloadString(')
+ WHEN 4 THEN ' a-iwr | iex' WHEN 5 THEN ' \u00e9iex curl' WHEN 6 THEN ' [Ref].Assembly.GetType(AmsiUtils)' WHEN 7 THEN ' [Reflection.Assembly]::Load([Convert]::FromBase64String(x))' WHEN 8 THEN ' Assembly]::Load(x)' WHEN 9 THEN ' sekurlsa::logonpasswords'
+ WHEN 10 THEN ' IWshShell3.Run(powershell -x)' WHEN 11 THEN ' shell(mypowershell)' WHEN 12 THEN ' x.ShellExecute(mshta.exe)' ELSE ' iex; irm' END)""",
+    "app_name": "CASE page_id % 3 WHEN 0 THEN 'VBScript' WHEN 1 THEN 'OFFICE_VBA' ELSE 'PowerShell_x' END",
+    "scan_result": "CASE page_id % 5 WHEN 0 THEN 32768 WHEN 1 THEN 32767 ELSE 0 END",
+}
+_SCRIPTS = f"""c AS (SELECT page_id, CASE WHEN page_id % 16 = 14 THEN '  @{{ ModuleVersion ' || t ELSE t END AS content, app_name, scan_result FROM (SELECT page_id, {_SCRIPT['content']} AS t, {_SCRIPT['app_name']} AS app_name, {_SCRIPT['scan_result']} AS scan_result FROM pages)), l AS MATERIALIZED (SELECT page_id, lower(content) AS t, lower(app_name) AS a, scan_result FROM c),
+m(kind, m, word) AS (VALUES {', '.join(f"('{k}', '{w}', {q})" for k, q, ws in (('f', False, rules.FETCH), ('f', True, rules.FETCH_WORDS), ('r', False, rules.RUN), ('r', True, rules.RUN_WORDS), ('l', True, rules.LAUNCHED)) for w in ws)}),
+o AS MATERIALIZED (SELECT page_id, kind, list_sum(list_transform(p[1:i], lambda x: strlen(x))) + (i - 1) * strlen(m) AS at FROM (SELECT *, unnest(range(1, len(p))) AS i FROM (SELECT page_id, kind, m, word, string_split(t, m) AS p FROM l, m WHERE contains(t, m)))
+ WHERE NOT word OR NOT ((i > 1 AND p[i] = '') OR regexp_matches(p[i], '[\\p{{L}}\\p{{N}}_-]$') OR (i + 1 < len(p) AND p[i + 1] = '') OR regexp_matches(p[i + 1], '^[\\p{{L}}\\p{{N}}_-]'))),
+cradle AS (SELECT DISTINCT f.page_id FROM o f JOIN o r ON f.page_id = r.page_id AND f.kind = 'f' AND r.kind = 'r' AND abs(f.at - r.at) <= 300 JOIN l ON l.page_id = f.page_id WHERE NOT (regexp_matches(t, '^\\s*@\\{{') AND regexp_matches(t, 'moduleversion|cmdletstoexport|functionstoexport')))"""
+
+
+def scripts(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", *(F.expr(e).alias(c) for c, e in _SCRIPT.items()))
+    content = F.when(F.col("page_id") % 16 == 14, F.concat(F.lit("  @{ ModuleVersion "), "content")).otherwise(F.col("content"))
+    return pages.withColumns({"type": F.lit("script_scan"), "content": content, **{c: F.lit(None).cast("string") for c in ("cmdline", "path", "image_path", "comm", "daddr")}, **{c: F.lit(None).cast("long") for c in ("flags", "dport")}})
+
+
+@register("rule_download_cradle", f"WITH {_SCRIPTS} SELECT page_id FROM cradle")
 def _(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet")
-    text = F.concat(F.lit("IEX "), F.when(F.col("page_id") % 3 == 0, F.repeat(F.lit("y "), 20)).otherwise(F.repeat(F.lit("z"), 400)), F.lit(" DownloadString"))
-    return pages.where(rules.download_cradle(text)).select("page_id")
+    return rules.detect(scripts(spark, d), ["download_cradle"], ("page_id",)).select("page_id")
+
+
+@register(
+    "rule_script_scan",
+    f"""WITH {_SCRIPTS} SELECT page_id, 'scan_provider_detected' AS rule, 'T1059' AS technique, 'high' AS severity FROM l WHERE scan_result >= 32768
+ UNION ALL SELECT page_id, 'scan_tampering', 'T1562.001', 'high' FROM l WHERE regexp_matches(t, 'amsi(utils|initfailed|scanbuffer|context|opensession)')
+ UNION ALL SELECT page_id, 'reflective_load', 'T1620', 'high' FROM l WHERE contains(t, 'assembly]::load(') AND regexp_matches(t, 'frombase64string\\(|decompress|gzipstream')
+ UNION ALL SELECT page_id, 'credential_module', 'T1003.001', 'high' FROM l WHERE regexp_matches(t, 'invoke-mimikatz|sekurlsa::|lsadump::|kerberos::(golden|ptt)|privilege::debug')
+ UNION ALL SELECT page_id, 'script_host_launch', 'T1059.005/T1059.007', 'medium' FROM l WHERE regexp_matches(a, '^(vbscript|jscript|office_vba)') AND regexp_matches(t, 'iwshshell3\\.(run|exec)\\(|shell\\(|\\.shellexecute\\(') AND page_id IN (SELECT page_id FROM o WHERE kind = 'l')""",
+)
+def _(spark, d):
+    names = ["scan_provider_detected", "scan_tampering", "reflective_load", "credential_module", "script_host_launch"]
+    return rules.detect(scripts(spark, d), names, ("page_id",))
 
 
 @register("content_signature_scan", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'license' ELSE '' END AS matched FROM documents WHERE text IS NOT NULL")
@@ -203,10 +273,33 @@ def _(spark, d):
     return rules.content_signatures(docs, "text", {"license": ("any", ["license"]), "webshell": ("all", ["<?php", "eval(", "base64_decode"])}).select("doc_id", F.array_join("matched", ",").alias("matched"))
 
 
-@on_ev("http_signature", "SELECT event_id, CASE k % 5 WHEN 0 THEN 'sqli' WHEN 1 THEN 'traversal' WHEN 2 THEN 'command' WHEN 3 THEN 'scanner' END AS signature FROM ev")
+#: Requests that meet every signature and what looks like one, in both engines.
+_REQUEST = {
+    "target": """CASE k % 17 WHEN 0 THEN '/a?x=1&id=1%20UNION%20/**/SELECT%201' WHEN 1 THEN '/x/..%2f../y' WHEN 2 THEN '/p?c=%252e%252e%252fa' WHEN 3 THEN '/p?cmd=WhoAmI' WHEN 4 THEN '/up/C99.php?q=1' WHEN 5 THEN '/ok?q=1'
+ WHEN 6 THEN '/p?a=union&b=select' WHEN 7 THEN '/p?q=a%26cmd%3Did' WHEN 8 THEN '/p?c=system(x)&d=sleep(9)' WHEN 9 THEN '/a/..' WHEN 10 THEN '/p?whoami' WHEN 11 THEN concat('/p?', repeat('n', 80), '=', repeat('v', 150), 'eval(') WHEN 12 THEN '/p?c=curl++http://x' WHEN 13 THEN concat('/p?id=%zz', chr(39), ' or ', chr(39)) WHEN 14 THEN '/wso' ELSE '/id' END""",
+    "agent": "CASE k % 4 WHEN 0 THEN 'SQLmap/1.7' WHEN 1 THEN 'Mozilla Nmap Scripting Engine' WHEN 2 THEN NULL ELSE 'curl' END",
+    "status": "CASE WHEN k % 3 = 0 THEN 404 ELSE 204 END",
+}
+_NORMAL = r"trim(regexp_replace(regexp_replace(lower({d}), '/\*\*/', ' ', 'g'), '\s+', ' ', 'g'))"
+_DECODED = "url_decode(replace(url_decode(replace({x}, '+', ' ')), '+', ' '))"
+_HTTP = f"""q AS MATERIALIZED (SELECT event_id, {_REQUEST['target']} AS target, {_REQUEST['agent']} AS agent, {_REQUEST['status']} AS status FROM ev),
+p0 AS (SELECT event_id, i, string_split(string_split(substr(target, instr(target, '?') + 1), '&')[i], '=') AS nv FROM q, range(1, 9) AS r(i) WHERE instr(target, '?') > 0 AND i <= len(string_split(target, '&'))),
+p AS (SELECT event_id, i, nv[1] AS name, coalesce(array_to_string(nv[2:], '='), '') AS value FROM p0 WHERE array_to_string(nv, '=') != ''),
+v AS (SELECT *, {_NORMAL.format(d=_DECODED.format(x='value'))} AS v FROM p),
+w AS (SELECT event_id, status, lower(agent) AS agent, {_NORMAL.format(d=_DECODED.format(x="string_split(target, '?')[1]"))} AS path FROM q),
+f AS (SELECT event_id, 1 AS o, i, 'sql_injection' AS signature, left(name, 64) AS name, left(value, 128) AS value, NULL::VARCHAR AS scanner FROM v WHERE len(list_filter([{', '.join("'" + m.replace("'", "''") + "'" for m in rules.SQL_INJECTION)}], lambda m: contains(v, m))) > 0
+ UNION ALL SELECT event_id, 2, 0, 'path_traversal', NULL, NULL, NULL FROM w WHERE contains(path, '../') OR contains(path, '..' || chr(92)) OR suffix(path, '/..')
+ UNION ALL SELECT event_id, 3, i, 'path_traversal', left(name, 64), left(value, 128), NULL FROM v WHERE contains(v, '../') OR contains(v, '..' || chr(92)) OR suffix(v, '/..')
+ UNION ALL SELECT event_id, 4, i, 'webshell_like', left(name, 64), left(value, 128), NULL FROM v WHERE v IN ('id', 'whoami', 'ls', 'pwd', 'ifconfig', 'ipconfig') OR len(list_filter([{', '.join("'" + m + "'" for m in rules.EXECUTION)}], lambda m: contains(v, m))) > 0
+ UNION ALL SELECT event_id, 5, 0, 'webshell_like', NULL, NULL, NULL FROM w WHERE status BETWEEN 200 AND 299 AND string_split(list_last(string_split(path, '/')), '.')[1] IN ('c99', 'r57', 'wso', 'b374k', 'alfa', 'webshell', 'china', 'chopper', 'indoxploit')
+ UNION ALL SELECT event_id, 6, 0, 'scanner_user_agent', NULL, NULL, CASE WHEN contains(agent, 'sqlmap') THEN 'sqlmap' ELSE 'nmap' END FROM w WHERE contains(agent, 'sqlmap') OR contains(agent, 'nmap scripting engine'))"""
+
+
+@on_ev("http_signature", "SELECT event_id, signature, name, value, scanner FROM f QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY o, i) = 1", _HTTP)
 def _(ev):
-    target = F.when(F.col("k") % 5 == 0, "/a?id=1%20UNION%20/**/SELECT%201").when(F.col("k") % 5 == 1, "/x/..%2f../y").when(F.col("k") % 5 == 2, "/p?c=a;cat").otherwise("/ok?q=1")
-    return ev.select("event_id", rules.http_signature(target, F.when(F.col("k") % 5 == 3, "sqlmap/1").otherwise("curl")).alias("signature"))
+    rows = ev.select("event_id", *(F.expr(e).alias(c) for c, e in _REQUEST.items()))
+    found = rows.withColumn("hit", rules.http_signature(F.col("target"), F.col("agent"), F.col("status")))
+    return found.where("hit IS NOT NULL").select("event_id", "hit.*")
 
 
 @on_ev("sigma_match", "SELECT event_id, 'r1' AS rule_id FROM ev WHERE type = 'exec' AND contains(cmdline, '-enc') AND parent_comm = 'winword.exe' UNION ALL SELECT event_id, 'r2' FROM ev WHERE type = 'exec' AND (contains(cmdline, 'vssadmin') OR contains(cmdline, 'wevtutil'))")
@@ -340,29 +433,33 @@ def _(spark, d):
 
 # ---- joins
 
-_PARENT = "(SELECT y.comm FROM ev y WHERE y.type = 'exec' AND y.agent_id = x.agent_id AND y.pid = {p} AND (y.ts_us, y.event_id) <= (x.ts_us, x.event_id) ORDER BY y.ts_us DESC, y.event_id DESC LIMIT 1)"
+#: Processes 101 to 103 stand for the parents, which the derived numbers never meet; with office programs, build tools and generations of parents.
+_FAMILY = {
+    "ppid": "99 + ppid",
+    "comm": "CASE WHEN comm = 'sshd' AND k % 2 = 0 THEN 'WinWord.exe' WHEN comm = 'cmd.exe' AND k % 3 = 0 THEN 'MSBuild.exe' WHEN comm = 'curl' AND k % 3 = 0 THEN 'devenv.exe' ELSE comm END",
+}
+_PARENT_GENERATION = "CASE WHEN k % 7 = 0 THEN NULL WHEN k % 11 = 0 THEN 7 ELSE (k + 1) % 2 END"
+_FAMILY_CTE = "pe AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _FAMILY.items()) + f"), {_PARENT_GENERATION} AS parent_generation FROM ev), px AS MATERIALIZED (SELECT x.*, lower((SELECT CASE WHEN y.process_generation IS NULL OR x.parent_generation IS NULL OR y.process_generation = x.parent_generation THEN y.comm END FROM pe y WHERE y.type = 'exec' AND y.agent_id = x.agent_id AND y.pid = x.ppid AND (y.ts_us, y.event_id) <= (x.ts_us, x.event_id) ORDER BY y.ts_us DESC, y.event_id DESC LIMIT 1)) AS parent FROM pe x WHERE type = 'exec')"
 
 
 def parents(ev):
-    """Processes 101 to 103 stand for the parents, which the derived numbers never meet."""
-    return ev.withColumn("ppid", 99 + F.col("ppid"))
+    generation = F.expr(_PARENT_GENERATION).cast("long")
+    return ev.withColumns({**{c: F.expr(e) for c, e in _FAMILY.items()}, "parent_process_generation": generation})
 
 
-@on_ev("service_spawns_shell", f"SELECT event_id FROM ev x WHERE type = 'exec' AND comm = 'bash' AND {_PARENT.format(p='x.ppid + 99')} = 'nginx'")
+@on_ev("service_spawns_shell", "SELECT event_id FROM px WHERE comm = 'bash' AND parent = 'nginx'", _FAMILY_CTE)
 def _(ev):
     return joins.service_spawns_shell(parents(ev)).select("event_id")
 
 
-@on_ev("office_spawns_interpreter", f"SELECT event_id FROM ev x WHERE type = 'exec' AND comm = 'cmd.exe' AND {_PARENT.format(p='x.ppid + 99')} IS NULL AND parent_comm = 'winword.exe'")
+@on_ev("office_spawns_interpreter", "SELECT event_id FROM px WHERE comm = 'cmd.exe' AND parent = 'winword.exe'", _FAMILY_CTE)
 def _(ev):
     return joins.office_spawns_interpreter(parents(ev)).select("event_id")
 
 
-@on_ev("lolbin_unusual_parent", f"SELECT event_id FROM ev x WHERE type = 'exec' AND comm = 'cmd.exe' AND {_PARENT.format(p='x.ppid + 99')} IS NOT NULL AND {_PARENT.format(p='x.ppid + 99')} != 'cmd.exe'")
+@on_ev("lolbin_unusual_parent", "SELECT event_id FROM px WHERE comm = 'MSBuild.exe' AND parent NOT IN ('devenv.exe', 'msbuild.exe')", _FAMILY_CTE)
 def _(ev):
-    # cmd.exe stands for the build tool, and for its own usual parent
-    rows = parents(ev).withColumn("comm", F.when(F.col("comm") == "cmd.exe", "msbuild.exe").otherwise(F.col("comm")))
-    return joins.lolbin_unusual_parent(rows).select("event_id")
+    return joins.lolbin_unusual_parent(parents(ev)).select("event_id")
 
 
 def after(first: str, then: str, on: str, width: int) -> str:
@@ -654,6 +751,24 @@ def _(ev):
     return cases.cases(ev, 10 * DAY).drop("last_seen")
 
 
+_OPEN = "k % 40 = 0"
+
+
+@on_ev(
+    "group_detections_open_cases",
+    "SELECT event_id, CASE WHEN c >= 0 THEN c END AS case_id, CASE WHEN c < 0 THEN -1 - c END AS opened_by FROM ga WHERE rn > 0",
+    DET
+    + f"""o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, agent_id, base_technique ORDER BY ts_us, event_id) AS rn FROM d WHERE NOT ({_OPEN})),
+ s0 AS (SELECT tenant_id, agent_id, base_technique, list({{'c': event_id::BIGINT, 's': ts_us}} ORDER BY event_id) AS l FROM d WHERE {_OPEN} GROUP BY ALL),
+ ga AS (SELECT 0::BIGINT AS event_id, tenant_id, agent_id, base_technique, 0::BIGINT AS rn, coalesce(s0.l, []::STRUCT(c BIGINT, s BIGINT)[]) AS l, 0::BIGINT AS c FROM (SELECT DISTINCT tenant_id, agent_id, base_technique FROM o) LEFT JOIN s0 USING (tenant_id, agent_id, base_technique)
+ UNION ALL SELECT event_id, tenant_id, agent_id, base_technique, rn, CASE WHEN p IS NULL THEN l || [{{'c': -1 - event_id::BIGINT, 's': ts_us}}] ELSE l[:p - 1] || [{{'c': l[p].c, 's': least(l[p].s, ts_us)}}] || l[p + 1:] END, CASE WHEN p IS NULL THEN -1 - event_id::BIGINT ELSE l[p].c END
+ FROM (SELECT o.*, r.l, nullif(list_position(list_transform(r.l, lambda x: abs(x.s - o.ts_us) <= {10 * DAY}), true), 0) AS p FROM ga r JOIN o USING (tenant_id, agent_id, base_technique) WHERE o.rn = r.rn + 1))""",
+)
+def _(ev):
+    known = ev.where(_OPEN).select("tenant_id", "agent_id", S.base_technique(F.col("technique")).alias("base_technique"), F.col("event_id").cast("long").alias("case_id"), F.col("ts_us").alias("case_start"))
+    return cases.attach_detections(ev.where(f"NOT ({_OPEN})"), known, 10 * DAY).select("event_id", "case_id", "opened_by")
+
+
 @on_ev("case_timeline", "SELECT event_id, row_number() OVER (PARTITION BY agent_id, technique ORDER BY ts_us, event_id) AS position FROM ev")
 def _(ev):
     return cases.timeline(ev, ["agent_id", "technique"]).select("event_id", "position")
@@ -729,6 +844,33 @@ def _(ev):
     return found.withColumn("n", first).where("n = 1").select("event_id", "rule")
 
 
+#: Names that are let pass, some of them borrowed, in both engines.
+_GATED = {
+    "comm": r"CASE k % 9 WHEN 0 THEN 'svchost.exe' WHEN 1 THEN 'C:\\x\\MsMpEng.EXE' WHEN 2 THEN 'conhost.exe' WHEN 3 THEN 'wget' ELSE comm END",
+    "image_path": r"CASE WHEN k % 9 IN (0, 2) AND k % 5 != 0 THEN 'C:\\Windows\\System32\\x.exe' WHEN k % 9 = 3 AND k % 2 = 0 THEN '/usr/bin/wget' WHEN k % 9 = 1 AND k % 2 = 0 THEN '' ELSE image_path END",
+    "parent_comm": r"CASE WHEN k % 4 = 0 THEN 'C:\\y\\Services.exe' WHEN k % 4 = 1 THEN '' ELSE parent_comm END",
+}
+_GATED_CTE = (
+    "gt AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _GATED.items()).replace("\\\\", "\\") + "), coalesce(process_generation, -1) AS gen FROM ev), "
+    + r"""gn AS (SELECT *, lower(list_last(string_split(comm, '\\'))) AS nm, coalesce(nullif(lower(image_path), ''), '/usr/') AS ip, nullif(lower(list_last(string_split(parent_comm, '\\'))), '') AS pc FROM gt),
+gm AS (SELECT *, type = 'exec' AND nm IN ('svchost.exe', 'msmpeng.exe', 'conhost.exe', 'wget') AND (NOT (regexp_matches(ip, '^/(usr|bin|sbin|lib|opt)/') OR starts_with(ip, 'c:\windows\') OR starts_with(ip, 'c:\program files')) OR (comm = 'svchost.exe' AND pc IS NOT NULL AND pc NOT IN ('services.exe', 'svchost.exe'))) AS borrows FROM gn),
+gl AS (SELECT *, (SELECT {'g': y.process_generation} FROM gm y WHERE y.borrows AND y.agent_id = x.agent_id AND y.pid = x.pid AND (y.ts_us, y.event_id) <= (x.ts_us, x.event_id) ORDER BY y.ts_us DESC, y.event_id DESC LIMIT 1) AS mark FROM gm x),
+s AS MATERIALIZED (SELECT *, mark IS NOT NULL AND (mark.g IS NULL OR process_generation IS NULL OR mark.g = process_generation) AS borrowed FROM gl)""".replace("'\\\\'", "chr(92)")
+)
+
+
+_GATE_W = 40 * DAY
+
+
+def gated(ev):
+    return ev.withColumns({c: F.expr(e) for c, e in _GATED.items()})
+
+
+@on_ev("correlation_gate", _PLAIN, _GATED_CTE + f", h AS MATERIALIZED (SELECT * FROM (SELECT x.*, {count_in('tenant_id, agent_id, ppid, comm', _GATE_W, '(y.type = ' + chr(39) + 'exec' + chr(39) + ')::INT')} AS ne, {count_in('tenant_id, agent_id, ppid, comm', _GATE_W, '(y.type = ' + chr(39) + 'connect' + chr(39) + ')::INT')} AS nc FROM s x) WHERE ne >= 3 AND nc > 0 AND (borrowed OR nm NOT IN ('svchost.exe', 'msmpeng.exe', 'conhost.exe'))), " + greedy("h", "tenant_id, agent_id, pid, gen", _GATE_W))
+def _(ev):
+    return correlation.co_occurrence(gated(ev), _GATE_W, gate=True).where("rule = 'respawn_connect'").select("event_id")
+
+
 @on_ev("behavior_vector", "SELECT agent_id, pid, (e IS NOT NULL)::INT AS has_exec, (c IS NOT NULL)::INT AS has_connect, (w IS NOT NULL)::INT AS has_filewrite, coalesce(CASE WHEN c >= e THEN (c - e) / 1000.0 END, -1.0)::DOUBLE AS exec_connect_ms, coalesce(CASE WHEN w >= e THEN (w - e) / 1000.0 END, -1.0)::DOUBLE AS exec_write_ms, n AS connect_count, dp AS distinct_dports, coalesce(x, 0) AS dest_is_external FROM (SELECT agent_id, pid, min(ts_us) FILTER (type = 'exec') AS e, min(ts_us) FILTER (type = 'connect') AS c, min(ts_us) FILTER (type = 'file_open' AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0)) AS w, count(*) FILTER (type = 'connect') AS n, count(DISTINCT dport) FILTER (type = 'connect') AS dp, max((daddr LIKE '203%')::INT) FILTER (type = 'connect') AS x FROM ev GROUP BY ALL)")
 def _(ev):
     return correlation.behaviour_vectors(ev, ["agent_id", "pid"])
@@ -746,9 +888,9 @@ def _(ev):
     return beliefs(ev).select("event_id", F.round("belief", 6).alias("belief"))
 
 
-@on_ev("bayes_alert", "SELECT event_id FROM (SELECT *, lag(belief) OVER (PARTITION BY tenant_id, agent_id, ppid, comm ORDER BY ts_us, event_id) AS was FROM bb) WHERE belief > -3.5 AND coalesce(was, -1e9) <= -3.5", _BELIEF)
+@on_ev("bayes_alert", "SELECT event_id FROM (SELECT bb.*, lag(belief) OVER (PARTITION BY bb.tenant_id, bb.agent_id, bb.ppid, bb.comm ORDER BY bb.ts_us, bb.event_id) AS was, s.nm = 'wget' AND NOT s.borrowed AS quiet FROM bb JOIN s USING (event_id)) WHERE belief > -3.5 AND coalesce(was, -1e9) <= -3.5 AND NOT quiet", _GATED_CTE + ", " + _BELIEF.replace("FROM ev)", "FROM gt)"))
 def _(ev):
-    return correlation.belief_alerts(beliefs(ev), [*HOST, "ppid", "comm"], -3.5).select("event_id")
+    return correlation.belief_alerts(beliefs(gated(ev)), [*HOST, "ppid", "comm"], -3.5).select("event_id")
 
 
 # ---- learning
