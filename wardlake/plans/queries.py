@@ -94,7 +94,11 @@ def _(ev):
 
 # ---- scalar functions: name -> (Spark, DuckDB), over ev
 
-_V4 = "regexp_matches(a, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')"
+#: Addresses, places (| for a backslash), and children with their parents, that meet every branch, in both engines.
+_ADDRESS = "CASE k % 20 WHEN 0 THEN '127.0.0.9' WHEN 1 THEN '0.0.0.0' WHEN 2 THEN '::' WHEN 3 THEN '::1' WHEN 4 THEN '172.15.0.1' WHEN 5 THEN '172.31.255.1' WHEN 6 THEN '192.168.1.1' WHEN 7 THEN 'FE80::1' WHEN 8 THEN 'fd00::2' WHEN 9 THEN 'ff02::fb' WHEN 10 THEN '239.1.2.3' WHEN 11 THEN '255.255.255.255' WHEN 12 THEN '8.8.8.255' WHEN 13 THEN '2001:db8::1' WHEN 14 THEN NULL ELSE daddr END"
+_PLACE = "CASE k % 14 WHEN 0 THEN '/usr/bin/x' WHEN 1 THEN '/USR/lib/x' WHEN 2 THEN '/usrx/y' WHEN 3 THEN 'C:|Windows|System32|x.exe' WHEN 4 THEN 'c:|WINDOWS|Temp|x.exe' WHEN 5 THEN 'C:|Windows|Tracing|x' WHEN 6 THEN 'C:|Program Files (x86)|a|x.exe' WHEN 7 THEN 'C:|Users|a|x.exe' WHEN 8 THEN '/Applications/A.app' WHEN 9 THEN '/home/a/bin/x' WHEN 10 THEN NULL WHEN 11 THEN 'C:|WindowsX|y' ELSE '/tmp/x' END"
+_CHILD = "CASE k % 8 WHEN 0 THEN 'lsass.exe' WHEN 1 THEN 'Services.EXE' WHEN 2 THEN 'svchost.exe' WHEN 3 THEN 'winlogon.exe' WHEN 4 THEN 'taskhostw.exe' WHEN 5 THEN 'RuntimeBroker.exe' WHEN 6 THEN 'wermgr.exe' ELSE comm END"
+_MOTHER = "CASE k % 5 WHEN 0 THEN 'wininit.exe' WHEN 1 THEN 'SERVICES.exe' WHEN 2 THEN 'svchost.exe' WHEN 3 THEN 'smss.exe' ELSE parent_comm END"
 SCALARS: dict[str, tuple[Callable[[], object], str]] = {
     "has_write_intent": (lambda: S.has_write_intent(F.col("flags")), "(flags & 3) IN (1, 2) OR (flags & 64) != 0"),
     "shannon_entropy": (lambda: F.round(S.shannon_entropy(F.col("query")), 9), "round((SELECT -sum(c / n * log2(c / n)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS n FROM (SELECT unnest(string_split(query, '')) AS ch) GROUP BY ch)), 9)"),
@@ -105,9 +109,18 @@ SCALARS: dict[str, tuple[Callable[[], object], str]] = {
     "technique_id": (lambda: S.technique_id(F.concat(F.lit("attack."), F.lower("technique"))), "technique"),
     "split_techniques": (lambda: F.array_join(S.split_techniques(F.concat("technique", F.lit("/T1071"))), ","), "technique || ',T1071'"),
     "severity_rank": (lambda: S.severity_rank(F.col("severity")), "list_position(['low', 'medium', 'high', 'critical'], severity) - 1"),
-    "ip_class": (lambda: S.ip_class(F.col("daddr")), "CASE WHEN daddr LIKE '10.%' THEN 'private' ELSE 'public' END"),
-    "trusted_system_path": (lambda: S.trusted_system_path(F.col("image_path")), r"NOT starts_with(image_path, '/tmp/')"),
-    "expected_parent": (lambda: S.expected_parent(F.when(F.col("k") % 2 == 0, "lsass.exe").otherwise(F.col("comm")), F.col("parent_comm")), "parent_comm IS NULL OR k % 2 != 0"),
+    "ip_class": (
+        lambda: S.ip_class(F.expr(_ADDRESS)),
+        f"(SELECT CASE WHEN a IS NULL THEN NULL WHEN a IN ('0.0.0.0', '::') THEN 'unspecified' WHEN a LIKE '127.%' OR a = '::1' THEN 'loopback' WHEN a LIKE '10.%' OR a LIKE '192.168.%' OR regexp_matches(a, '^172[.](1[6-9]|2[0-9]|3[01])[.]') OR regexp_matches(a, '^(fe[89ab]|f[cd])') THEN 'private' WHEN a LIKE '%.255' THEN 'broadcast' WHEN regexp_matches(a, '^(22[4-9]|23[0-9]|2[45][0-9])[.]') OR a LIKE 'ff%' THEN 'multicast' ELSE 'public' END FROM (SELECT lower({_ADDRESS}) AS a))",
+    ),
+    "trusted_system_path": (
+        lambda: S.trusted_system_path(F.replace(F.expr(_PLACE), F.lit("|"), F.lit("\\"))),
+        f"(SELECT p IS NULL OR regexp_matches(p, '^/(usr|bin|sbin|lib|opt|system|applications)/') OR regexp_matches(p, '^c:[|]program files( [(]x86[)])?[|]') OR (starts_with(p, 'c:|windows|') AND NOT regexp_matches(p, '^c:[|]windows[|](temp|tasks|tracing)[|]')) FROM (SELECT lower({_PLACE}) AS p))",
+    ),
+    "expected_parent": (
+        lambda: S.expected_parent(F.expr(_CHILD), F.expr(_MOTHER)),
+        f"(SELECT m IS NULL OR CASE WHEN c IN ('lsass.exe', 'services.exe') THEN m = 'wininit.exe' WHEN c = 'svchost.exe' THEN m IN ('services.exe', 'svchost.exe') WHEN c = 'winlogon.exe' THEN m = 'smss.exe' WHEN c IN ('taskhostw.exe', 'runtimebroker.exe', 'wermgr.exe') THEN m = 'svchost.exe' ELSE true END FROM (SELECT lower({_CHILD}) AS c, lower({_MOTHER}) AS m))",
+    ),
     "ml_cmdline": (lambda: F.replace(S.ml_cmdline(F.when(F.col("k") % 2 == 0, F.split("cmdline", " ")), F.col("cmdline")), F.lit("\0"), F.lit("~")), "CASE WHEN k % 2 = 0 THEN replace(cmdline, ' ', '~') || '~' ELSE cmdline END"),
     "url_normalise": (lambda: S.url_normalise(F.concat(F.lit("/A%2520b%zz?x="), F.col("query"))), "'/a b%zz?x=' || lower(query)"),
     "split_target": (lambda: F.concat_ws("|", S.target_path(F.concat(F.col("path"), F.lit("?a=1&b="), F.col("comm"))), F.get(S.target_params(F.concat(F.col("path"), F.lit("?a=1&b="), F.col("comm"))), F.lit(1))["value"]), "path || '|' || comm"),
@@ -138,7 +151,6 @@ RULE_SQL: dict[str, tuple[str, str, str, str]] = {
     "encoded_powershell": ("exec", "'T1059.001'", "medium", "k % 8 = 1"),
     "recovery_inhibit": ("exec", "'T1490'", "high", "contains(cmdline, 'vssadmin')"),
     "log_clear_exec": ("exec", "CASE WHEN contains(cmdline, 'wevtutil') THEN 'T1070.001' ELSE 'T1070.002' END", "high", "contains(cmdline, 'wevtutil') OR contains(cmdline, 'journalctl')"),
-    "persistence_write": ("file_open", "CASE WHEN contains(path, '.bashrc') THEN 'T1546.004' ELSE 'T1053.003' END", "high", "(contains(path, '.bashrc') OR contains(path, '/etc/cron.d/')) AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0)"),
     "service_unusual_outbound": ("connect", "'T1071'", "medium", "comm = 'nginx' AND dport != 443"),
 }
 for _rule, (_type, _tech, _sev, _cond) in RULE_SQL.items():
@@ -153,6 +165,18 @@ for _rule, (_bit, _tech, _sev) in _BITS.items():
     )
 
 
+#: Paths of every entry of persistence, and some beside them, in both engines.
+_LASTING = "CASE k % 12 WHEN 0 THEN '/home/a/.bashrc' WHEN 1 THEN '/root/.zshrc' WHEN 2 THEN '/etc/profile.d/x.sh' WHEN 3 THEN '/etc/cron.d/x' WHEN 4 THEN '/etc/systemd/system/x.service' WHEN 5 THEN '/Users/a/Library/LaunchAgents/x.plist' WHEN 6 THEN '/Library/LaunchDaemons/x.plist' WHEN 7 THEN '/etc/periodic/daily/x' WHEN 8 THEN '/private/var/at/tabs/root' WHEN 9 THEN '/etc/cron.daily/x' WHEN 10 THEN '/etc/systemd/user/x' ELSE '/home/a/bashrc' END"
+
+
+@on_ev(
+    "rule_persistence_write",
+    f"SELECT event_id, 'persistence_write' AS rule, technique, 'high' AS severity FROM (SELECT event_id, CASE WHEN regexp_matches(p, '[.](bash|zsh)rc|/etc/profile[.]d/') THEN 'T1546.004' WHEN contains(p, '/etc/cron.d/') THEN 'T1053.003' WHEN contains(p, '/etc/systemd/system/') THEN 'T1543.002' WHEN regexp_matches(p, '/Library/Launch(Agents|Daemons)/|/etc/periodic/|/var/at/tabs/') THEN 'T1037.004/T1053.003' END AS technique FROM (SELECT event_id, {_LASTING} AS p FROM ev WHERE type = 'file_open' AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0))) WHERE technique IS NOT NULL",
+)
+def _(ev):
+    return rules.detect(ev.withColumn("path", F.expr(_LASTING)), ["persistence_write"]).select("event_id", "rule", "technique", "severity")
+
+
 @on_ev("rule_scheduled_task_repointed", "SELECT event_id, 'T1053.005' AS technique FROM ev WHERE type = 'file_open' AND k % 5 < 2 AND (k % 5 = 0 OR k % 2 = 0)")
 def _(ev):
     flags = F.when(F.col("k") % 5 == 0, rules.TASK_REPOINTED | rules.TASK_ACTION_UNKNOWN).when(F.col("k") % 5 == 1, rules.TASK_REPOINTED).otherwise(0).cast("long")
@@ -594,14 +618,23 @@ def _(ev):
     return metrics(ev)
 
 
-@on_ev("canary_regression", "SELECT c.tenant_id, CASE WHEN c.silent_rate > 0.05 THEN 'silent_rate' WHEN CASE WHEN p.low_severity > 0 THEN c.low_severity / c.total > 2 * (p.low_severity / p.total) ELSE c.low_severity > 10 END THEN 'low_severity' WHEN c.detections / c.total < 0.8 * (p.detections / p.total) THEN 'detection_drop' END AS reason, c.total AS c_total, p.total AS p_total FROM m c JOIN m p USING (tenant_id) WHERE c.ring = 'canary' AND p.ring = 'prod' AND reason IS NOT NULL", RM)
+#: A fleet in which one tenant's agents fall silent, another's canaries report more that is minor, and a third's report less, in both engines.
+_UNEVEN = f"NOT (user_id % 15 = 0 AND ts_us > t - {10 * DAY}) AND NOT (user_id % 3 = 1 AND ring = 'prod' AND severity = 'low') AND NOT (user_id % 3 = 2 AND ring = 'canary' AND severity != 'low' AND ts_us < t - {DAY})"
+_UNEVEN_CTE = f"eu AS MATERIALIZED (SELECT ev.* FROM ev, (SELECT max(ts_us) AS t FROM ev) WHERE {_UNEVEN}), "
+
+
+def uneven(ev):
+    return ev.where(F.expr(_UNEVEN.replace("user_id", "CAST(user_id AS BIGINT)").replace(" t ", f" {ev.agg(F.max('ts_us')).first()[0]}L ")))
+
+
+@on_ev("canary_regression", "SELECT c.tenant_id, CASE WHEN c.silent_rate > 0.05 THEN 'silent_rate' WHEN CASE WHEN p.low_severity > 0 THEN c.low_severity / c.total > 2 * (p.low_severity / p.total) ELSE c.low_severity > 10 END THEN 'low_severity' WHEN c.detections / c.total < 0.8 * (p.detections / p.total) THEN 'detection_drop' END AS reason, c.total AS c_total, p.total AS p_total FROM m c JOIN m p USING (tenant_id) WHERE c.ring = 'canary' AND p.ring = 'prod' AND reason IS NOT NULL", _UNEVEN_CTE + RM.replace("FROM ev", "FROM eu"))
 def _(ev):
-    return fleet.canary_regression(metrics(ev))
+    return fleet.canary_regression(metrics(uneven(ev)))
 
 
-@on_ev("auto_case_from_regression", "SELECT tenant_id, 'Canary regression: silent_rate' AS title FROM m WHERE ring = 'canary' AND silent_rate > 0.05", RM)
+@on_ev("auto_case_from_regression", "SELECT tenant_id, 'Canary regression: silent_rate' AS title FROM m WHERE ring = 'canary' AND silent_rate > 0.05", _UNEVEN_CTE + RM.replace("FROM ev", "FROM eu"))
 def _(ev):
-    return fleet.canary_regression(metrics(ev)).where("reason = 'silent_rate'").select("tenant_id", F.concat(F.lit("Canary regression: "), "reason").alias("title"))
+    return fleet.canary_regression(metrics(uneven(ev))).where("reason = 'silent_rate'").select("tenant_id", F.concat(F.lit("Canary regression: "), "reason").alias("title"))
 
 
 STATUS = AGENTS + f", b AS (SELECT * FROM ev WHERE type = 'auth' QUALIFY row_number() OVER (PARTITION BY agent_id ORDER BY ts_us DESC, event_id DESC) = 1), st AS (SELECT a.tenant_id, a.agent_id, a.ring, CASE WHEN a.last_seen < t - {2 * DAY} THEN 'silent' WHEN b.k IS NULL THEN 'no_beacon' WHEN b.k % 4 = 0 THEN 'degraded' ELSE 'healthy' END AS status FROM a LEFT JOIN b USING (agent_id), now)"
@@ -622,10 +655,11 @@ def _(ev):
     return fleet.latest(of_type(ev, "auth"), ["agent_id"], ["ts_us", "event_id"]).select("agent_id", "event_id")
 
 
-@on_ev("silent_agent_cases", "SELECT tenant_id, agent_id, 'Agent silent: ' || agent_id AS title FROM st WHERE status = 'silent' AND ring != 'broad'", STATUS)
+@on_ev("silent_agent_cases", "SELECT tenant_id, agent_id, 'Agent silent: ' || agent_id AS title FROM st WHERE status = 'silent' AND ring != 'broad'", _UNEVEN_CTE + STATUS.replace("FROM ev", "FROM eu"))
 def _(ev):
-    a = agents(ev)
-    return fleet.silent_agent_cases(a, a.where("ring = 'broad'"), now(ev), 2 * DAY)
+    left = uneven(ev)
+    a = agents(left)
+    return fleet.silent_agent_cases(a, a.where("ring = 'broad'"), now(left), 2 * DAY)
 
 
 _REL = "rel AS (SELECT o_custkey % 3 AS t, CASE o_custkey % 4 WHEN 0 THEN 'canary' WHEN 1 THEN 'early' WHEN 2 THEN 'broad' ELSE 'prod' END AS ring, o_orderkey AS version, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'halted' ELSE 'draft' END AS status FROM orders)"
@@ -1009,21 +1043,31 @@ def _(spark, d):
     return learning.mutate(of_type(telemetry(spark, d), "exec").select(F.col("event_id").alias("id"), "cmdline", "parent_comm"))
 
 
-def _scored(spark, d):
-    rows = learning.mutate(of_type(telemetry(spark, d), "exec").select(F.col("event_id").alias("id"), "cmdline", "parent_comm"))
-    score = lambda cmd, parent: -(learning.cmdline_features(cmd)["cmd_suspicious"] + learning.lineage_features(parent, F.lit(None).cast("string"))["parent_office"]).cast("double")
-    return rows.select("mutator", "intensity", score(F.col("cmdline"), F.col("parent_comm")).alias("before"), score(F.col("new_cmdline"), F.col("new_parent")).alias("after"))
+def _judged(spark, d, tenant: str | None = None):
+    """Mutants' scores before and after by the forest of a tenant's (or all) command lines and parents, and the score that 5 in 100 of those fall below."""
+    rows = of_type(telemetry(spark, d), "exec").select("tenant_id", F.col("event_id").alias("id"), "cmdline", "parent_comm")
+
+    def vector(cmd: str, parent: str):
+        features = learning.cmdline_features(F.col(cmd)) | learning.lineage_features(F.col(parent), F.lit(None).cast("string"))
+        return F.array(*(F.coalesce(c.cast("double"), F.lit(0.0)) for c in features.values()))
+
+    learnt = rows.where(F.col("tenant_id") == tenant) if tenant else rows
+    learnt = learnt.select("id", vector("cmdline", "parent_comm").alias("features"))
+    forest = learning.forest_fit(learnt, trees=50)
+    threshold = learning.conformal_threshold(learning.forest_score(learnt, forest), "score", 5.0, 100.0).first()["threshold"]
+    mutants = learning.mutate(rows).withColumn("id", F.concat_ws("|", "id", "mutator", F.col("intensity").cast("string")))
+    before, after = (learning.forest_score(mutants.select("id", vector(*names).alias("features")), forest).select("id", F.col("score").alias(when)) for names, when in ((("cmdline", "parent_comm"), "before"), (("new_cmdline", "new_parent"), "after")))
+    return learning.robustness(mutants.select("id", "mutator", "intensity").join(before, "id").join(after, "id"), threshold)
 
 
 @register("robustness_eval")
 def _(spark, d):
-    return learning.robustness(_scored(spark, d), -1.0)
+    return _judged(spark, d)
 
 
 @register("global_floor_check")
 def _(spark, d):
-    r = learning.robustness(_scored(spark, d), -1.0)
-    return learning.floor_check(r, r)
+    return learning.floor_check(_judged(spark, d, "tenant-0"), _judged(spark, d))
 
 
 @on_ev("dataset_manifest", "SELECT count(*) AS samples FROM ev WHERE type = 'exec'")
