@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, lm, neardup, neighbours, packing, quality, secrets, substrings, toxicity
+from . import bpe, counting, licenses, lm, neardup, negatives, neighbours, packing, quality, secrets, substrings, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,5 +15,7 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_substring_dedup": substrings.query,
     "op10_lm_scoring": lm.query,
+    "op11_hard_negatives": negatives.query,
+    "op12_token_counts": counting.query,
 }
-SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL, "op6_minhash_neardup": neardup.SQL, "op7_vp_neighbours": neighbours.SQL, "op9_substring_dedup": substrings.SQL}
+SQL = {"op3_quality_rules": quality.SQL, "op4_license_scan": licenses.SQL, "op6_minhash_neardup": neardup.SQL, "op7_vp_neighbours": neighbours.SQL, "op9_substring_dedup": substrings.SQL, "op11_hard_negatives": negatives.SQL}
