@@ -8,6 +8,7 @@ import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -77,6 +78,14 @@ class Workspace:
         back.wardlake_path = path
         return back
 
+    def keep_by(self, df: DataFrame, column: str) -> DataFrame:
+        """df, written in a folder for each value of a column and reread: a condition on it reads only those folders."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+        rest = [f for f in df.schema.fields if f.name != column]
+        return self.spark.read.schema(T.StructType([*rest, df.schema[column]])).parquet(path)
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete a table that nothing reads any more."""
         path = getattr(df, "wardlake_path", None)
