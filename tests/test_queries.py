@@ -6,10 +6,10 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from wardlake.plans import ingestion
+from wardlake.plans import ingestion, states
 from wardlake.plans.queries import QUERIES, SQL
 
-assert ingestion  # registers its queries
+assert ingestion and states  # register their queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

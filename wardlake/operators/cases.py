@@ -55,15 +55,38 @@ def cases(detections: DataFrame, width: int = 30 * MINUTE) -> DataFrame:
     return out.withColumns({"title": F.concat("base_technique", F.lit(" activity on "), "agent_id"), "severity": F.coalesce(F.get(F.array(*map(F.lit, S.SEVERITIES)), F.when(F.col("rank") >= 0, F.col("rank"))), F.lit("unknown"))})
 
 
-def fuse(alerts: DataFrame, entity: list[str], width: int = 30_000_000) -> DataFrame:
-    """Verdicts that are told: a technique is not repeated within width of its first, unless severity or score rises."""
-    w = Window.partitionBy(*entity).orderBy("ts_us", "event_id")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = alerts.withColumn("rank", S.severity_rank(F.col("severity")))
-    rows = rows.withColumns({"max_rank": F.max("rank").over(so_far), "max_score": F.max("score").over(so_far), "raised": F.coalesce((F.col("rank") > F.max("rank").over(before)) | (F.col("score") > F.max("score").over(before)), F.lit(False)), "techniques": F.array_join(F.array_sort(F.collect_set("technique").over(so_far)), ",")})
-    told = P.anchored_window(rows, [*entity, "technique"], "ts_us", width, "event_id", out="__a")
-    return told.where("__a_opens OR raised").drop("__a", "__a_opens", "raised")
+EVIDENCE = 16
+
+
+def fuse(alerts: DataFrame, entity: list[str], width: int = 30_000_000, generation: str = "parent_process_generation", evidence: int = EVIDENCE) -> DataFrame:
+    """Alerts that are told, each with its entity's verdict: max_rank, max_score, techniques and sources (oldest first), evidence (ids of the last alerts, oldest first).
+
+    An alert is told if its technique is new to the entity or comes back later than width after its window's first, or if it raises severity (above low, at first) or score (any, at
+    first). A known generation that differs from the last known one is another parent under the same number: the entity starts anew. As generations are only compared with the
+    last known one, those stretches are a running count, and the rest are windows within a stretch; only the reopening of a technique's window is a pass in order.
+    """
+    order = ["ts_us", "event_id"]
+    whole = Window.partitionBy(*entity).orderBy(*order)
+    known = F.last(generation, ignorenulls=True).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    rows = alerts.withColumn("__other", F.coalesce(F.col(generation) != known, F.lit(False)).cast("long"))
+    rows = rows.withColumn("stretch", F.sum("__other").over(whole.rowsBetween(Window.unboundedPreceding, 0))).drop("__other")
+    key = [*entity, "stretch"]
+    rows = P.anchored_window(rows.withColumn("rank", S.severity_rank(F.col("severity"))), [*key, "technique"], "ts_us", width, "event_id", out="__a", deal=entity)
+    new = lambda c: F.when(F.row_number().over(Window.partitionBy(*key, c).orderBy(*order)) == 1, F.col(c))
+    rows = rows.withColumns({"__t": new("technique"), "__s": new("source")})
+    w = Window.partitionBy(*key).orderBy(*order)
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    higher = F.col("rank") > F.greatest(F.lit(0), F.coalesce(F.max("rank").over(before), F.lit(0)))
+    best = F.max("score").over(before)
+    rows = rows.withColumns({
+        "raised": higher | F.coalesce(F.col("score") > best, F.col("score").isNotNull()),
+        "max_rank": F.greatest(F.lit(0), F.max("rank").over(so_far)),
+        "max_score": F.max("score").over(so_far),
+        "techniques": F.collect_list("__t").over(so_far),
+        "sources": F.collect_list("__s").over(so_far),
+        "evidence": F.collect_list("event_id").over(w.rowsBetween(1 - evidence, 0)),
+    })
+    return rows.where("__a_opens OR raised").drop("__a", "__a_opens", "__t", "__s", "rank", "raised")
 
 
 def suppress(alerts: DataFrame, listed: DataFrame, entity: list[str]) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Co-occurrence of a process's events in a window, behaviour vectors, and Bayesian belief."""
+"""Co-occurrence of a process's events in a window."""
 
 from __future__ import annotations
 
-import math
 import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalar as S
 from . import primitives as P
@@ -16,12 +14,25 @@ from .windows import HOST, SECOND
 
 #: Names that are let pass, compared in lower case.
 IGNORED = [
-    *["svchost.exe", "searchprotocolhost.exe", "msmpeng.exe", "wmiprvse.exe", "taskhostw.exe", "backgroundtaskhost.exe", "runtimebroker.exe"],
-    *["windowspackagemanagerserver.exe", "softlandingtask.exe", "msedge.exe", "conhost.exe", "crossdeviceserv", "securityhealthh", "system"],
-    *["mousocoreworker", "backgroundtaskh", "nordvpn-service"],
+    "svchost.exe",
+    "SearchProtocolHost.exe",
+    "MsMpEng.exe",
+    "WmiPrvSE.exe",
+    "taskhostw.exe",
+    "backgroundTaskHost.exe",
+    "RuntimeBroker.exe",
+    "WindowsPackageManagerServer.exe",
+    "SoftLandingTask.exe",
+    "msedge.exe",
+    "conhost.exe",
+    "CrossDeviceServ",
+    "SecurityHealthH",
+    "System",
+    "MoUsoCoreWorker",
+    "backgroundTaskH",
+    "nordvpn-service",
 ]
 BELIEF_SPARED = ["wget", "chronyd"]
-PRIOR, TAU_S, ALERT = -4.6, 300.0, 2.0
 PAYLOAD_ENDINGS = [".exe", ".dll", ".bat", ".ps1", ".vbs", ".hta", ".cmd", ".scr", ".msi", ".jar", ".js", ".jse"]
 DROP_PARTS = ["\\temp\\", "\\tmp\\", "\\downloads\\", "\\startup\\", "/downloads/"]
 DROP_ROOTS = ["/tmp/", "/var/tmp/", "/dev/shm/"]
@@ -54,6 +65,10 @@ def flags(ev: DataFrame, width: int = 60 * SECOND) -> DataFrame:
     return rows.drop("__gen")
 
 
+def _listed(name: Column, names: list[str]) -> Column:
+    return name.isin(*(n.lower() for n in names))
+
+
 def spared(ev: DataFrame, names: list[str], out: str = "spared") -> DataFrame:
     """ev with whether an event bears a name that is let pass, and its process was never seen to borrow one.
 
@@ -63,12 +78,12 @@ def spared(ev: DataFrame, names: list[str], out: str = "spared") -> DataFrame:
     base = F.lower(F.substring_index("comm", "\\", -1))
     last = F.substring_index("parent_comm", "\\", -1)
     ordinary = S.trusted_system_path(F.when(F.col("image_path") != "", F.col("image_path"))) & S.expected_parent(F.col("comm"), F.when(last != "", last))
-    borrows = (F.col("type") == "exec") & base.isin(*IGNORED, *BELIEF_SPARED) & ~ordinary
+    borrows = (F.col("type") == "exec") & _listed(base, [*IGNORED, *BELIEF_SPARED]) & ~ordinary
     w = Window.partitionBy(*HOST, "pid").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.last(F.when(borrows, F.struct(F.col("process_generation").alias("g"))), ignorenulls=True).over(w)
     rows = ev.withColumn("__mark", mark)
     borrowed = F.col("__mark").isNotNull() & P.same_generation(F.col("__mark.g"), F.col("process_generation"))
-    return rows.withColumn(out, F.coalesce(base.isin(*names) & ~borrowed, F.lit(False))).drop("__mark")
+    return rows.withColumn(out, F.coalesce(_listed(base, names) & ~borrowed, F.lit(False))).drop("__mark")
 
 
 def co_occurrence(ev: DataFrame, width: int = 60 * SECOND, suppress: bool = True, gate: bool = False) -> DataFrame:
@@ -92,44 +107,3 @@ def co_occurrence(ev: DataFrame, width: int = 60 * SECOND, suppress: bool = True
     )
     hits = rows.select("event_id", *HOST, "pid", F.coalesce("process_generation", F.lit(-1)).alias("generation"), "ts_us", F.inline(F.filter(found, lambda x: x.isNotNull())))
     return P.suppress_within(hits, [*HOST, "pid", "generation", "rule"], "ts_us", width, "event_id") if suppress else hits
-
-
-def behaviour_vectors(ev: DataFrame, keys: list[str]) -> DataFrame:
-    """A vector for each group of a process's events: what happened, how soon after the exec, and to how many ports."""
-    at = lambda kind: F.min(F.when(kind, F.col("ts_us")))
-    e, c = F.col("type") == "exec", F.col("type") == "connect"
-    w = (F.col("type") == "file_open") & S.has_write_intent(F.col("flags"))
-    ms = lambda later: F.when((F.col(later) >= F.col("t_exec")), (F.col(later) - F.col("t_exec")) / 1000.0).otherwise(F.lit(-1.0))
-    rows = ev.groupBy(*keys).agg(
-        at(e).alias("t_exec"),
-        at(c).alias("t_connect"),
-        at(w).alias("t_write"),
-        F.count_if(c).alias("connect_count"),
-        F.count_distinct(F.when(c, F.col("dport"))).alias("distinct_dports"),
-        F.coalesce(F.max(F.when(c, (S.ip_class(F.col("daddr")) == "public").cast("int"))), F.lit(0)).alias("dest_is_external"),
-    )
-    has = lambda c: F.col(c).isNotNull().cast("int")
-    return rows.select(*keys, has("t_exec").alias("has_exec"), has("t_connect").alias("has_connect"), has("t_write").alias("has_filewrite"), F.coalesce(ms("t_connect"), F.lit(-1.0)).alias("exec_connect_ms"), F.coalesce(ms("t_write"), F.lit(-1.0)).alias("exec_write_ms"), "connect_count", "distinct_dports", "dest_is_external")
-
-
-def belief(ev: DataFrame, keys: list[str], evidence: str, prior: float = PRIOR, tau_s: float = TAU_S) -> DataFrame:
-    """Log-odds of each entity after each event: they decay to the prior and gain the event's evidence."""
-
-    def step(state, row):
-        level, at = state
-        t = row["ts_us"]
-        if at is not None:
-            level += (prior - level) * (1 - math.exp(-(t - at) / 1e6 / tau_s))
-        level += row[evidence]
-        return (level, t), (level,)
-
-    out = T.StructType([T.StructField("belief", T.DoubleType())])
-    return P.ordered_fold(ev, keys, ["ts_us", "event_id"], lambda: (prior, None), step, out, ["ts_us", evidence])
-
-
-def belief_alerts(beliefs: DataFrame, keys: list[str], threshold: float = ALERT) -> DataFrame:
-    """Events at which the belief rises above the threshold, but for names that are let pass."""
-    w = Window.partitionBy(*keys).orderBy("ts_us", "event_id")
-    risen = beliefs.withColumn("__was", F.lag("belief").over(w))
-    risen = spared(risen, BELIEF_SPARED, "__spared").where("NOT __spared")
-    return risen.where((F.col("belief") > threshold) & (F.coalesce("__was", F.lit(float("-inf"))) <= threshold)).drop("__was", "__spared")

@@ -71,15 +71,6 @@ def first_use_of_mark(marks: DataFrame, uses: DataFrame, keys: list[str], width:
     return near.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Each left row with the right row nearest in time, before or after, at most width away: near_id, near_ts."""
-    b = F.floor(F.col("near_ts") / width)
-    r = right.select(*keys, F.col("ts_us").alias("near_ts"), F.col("event_id").alias("near_id")).withColumn("__b", F.explode(F.array(b - 1, b, b + 1)))
-    both = left.withColumn("__b", F.floor(F.col("ts_us") / width)).join(r, [*keys, "__b"]).where(F.abs(F.col("ts_us") - F.col("near_ts")) <= width)
-    w = Window.partitionBy("event_id").orderBy(F.abs(F.col("ts_us") - F.col("near_ts")), "near_ts", "near_id")
-    return both.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__b")
-
-
 def context_join(contexts: DataFrame, results: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Contexts and results met one to one, in order, by message; and the results that met none."""
     numbered = lambda df: df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("ts_us", "event_id")))

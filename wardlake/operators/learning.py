@@ -22,11 +22,8 @@ LEGIT_WIN_PATHS = ["\\Windows\\System32\\", "\\Windows\\SysWOW64\\", "\\Windows\
 SHELL_COMMS = ["bash", "sh", "zsh", "fish", "dash", "cmd.exe", "powershell.exe", "pwsh.exe", "pwsh"]
 WEBSERVER_COMMS = ["httpd", "nginx", "apache2", "w3wp.exe", "w3wp", "node", "java", "dotnet", "uwsgi", "gunicorn", "php-fpm"]
 OFFICE_COMMS = ["winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "msaccess.exe", "mspub.exe", "winword", "excel", "powerpnt", "outlook"]
-SYSTEM_PATHS = [
-    *["/usr/bin/", "/bin/", "/sbin/", "/usr/sbin/", "/usr/local/bin/", "/System/Library/", "/Library/Apple/"],
-    *["\\Windows\\System32\\", "\\Windows\\SysWOW64\\", "\\Windows\\SystemApps\\", "\\Windows\\UUS\\", "\\Program Files\\", "\\Program Files (x86)\\"],
-]
-SUSPICIOUS_PATHS = ["/tmp/", "/var/tmp/", "/dev/shm/", *SUSPICIOUS_WIN_PATHS]
+SYSTEM_PATHS = ["/usr/bin/", "/bin/", "/sbin/", "/usr/sbin/", "/usr/local/bin/", "/System/Library/", "/Library/Apple/", "\\Windows\\System32\\", "\\Windows\\SysWOW64\\", "\\Windows\\SystemApps\\", "\\Windows\\UUS\\", "\\Program Files\\", "\\Program Files (x86)\\"]
+SUSPICIOUS_PATHS = ["/tmp/", "/var/tmp/", "/dev/shm/", "\\AppData\\", "\\Temp\\", "\\tmp\\", "\\Public\\", "\\Downloads\\", "\\Desktop\\", "%temp%", "%appdata%"]
 
 
 def _any_part(text: Column, parts: list[str]) -> Column:

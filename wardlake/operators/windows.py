@@ -145,22 +145,3 @@ def task_dedup(ev: DataFrame, width: int = 60 * SECOND) -> DataFrame:
 
     out = T.StructType([T.StructField("reported", T.BooleanType())])
     return P.ordered_fold(ev, [*HOST, "comm"], ["ts_us", "event_id"], lambda: (None, None), step, out, ["ts_us", "actions"]).where("reported").drop("reported")
-
-
-def create_unlink_pairs(ev: DataFrame, pair_width: int = 60 * SECOND, width: int = 5 * SECOND, at_least: int = 20) -> DataFrame:
-    """Files written anew and originals removed, paired one to one by their stem in either order, then counted by pid."""
-    kind = F.when(F.col("type") == "file_delete", "u").otherwise("c")
-    stem = F.when(F.col("type") == "file_delete", F.col("path")).otherwise(F.regexp_replace("path", r"\.[^./]+$", ""))
-    from pyspark.sql import types as T
-
-    def step(state, row):
-        t = row["ts_us"]
-        waiting = [(k, at) for k, at in state if t - at <= pair_width]
-        other = next((i for i, (k, _) in enumerate(waiting) if k != row["side"]), None)
-        if other is None:
-            return [*waiting, (row["side"], t)], (False,)
-        return waiting[:other] + waiting[other + 1 :], (True,)
-
-    rows = ev.where("type IN ('file_write', 'file_delete')").withColumns({"side": kind, "stem": stem})
-    paired = P.ordered_fold(rows, [*HOST, "pid", "stem"], ["ts_us", "event_id"], list, step, T.StructType([T.StructField("paired", T.BooleanType())]), ["ts_us", "side"])
-    return threshold(paired.where("paired").drop("paired"), ["pid"], width, at_least)

@@ -449,12 +449,6 @@ def _(spark, d):
     return windows.task_dedup(of_type(telemetry(spark, d), "exec").withColumn("actions", F.col("image_path")), 20 * DAY).select("event_id")
 
 
-@register("write_new_then_unlink")
-def _(spark, d):
-    ev = of_type(telemetry(spark, d), "exec", "connect").withColumn("type", F.when(F.col("type") == "exec", "file_write").otherwise("file_delete"))
-    return windows.create_unlink_pairs(ev.withColumn("path", F.when(F.col("type") == "file_write", F.concat("daddr", F.lit(".x"))).otherwise(F.col("daddr"))), 60 * DAY, 60 * DAY, 2).select("event_id")
-
-
 # ---- joins
 
 #: Processes 101 to 103 stand for the parents, which the derived numbers never meet; with office programs, build tools and generations of parents.
@@ -500,16 +494,6 @@ def _(ev):
     return joins.first_use_of_mark(of_type(ev, "file_open"), of_type(ev, "exec"), [*HOST, "comm"], 20 * DAY).select("first_id", "event_id")
 
 
-@on_ev("memfd_exec", after("type = 'file_open'", "type = 'exec'", "x.agent_id = y.agent_id AND x.pid = y.pid", 5 * DAY))
-def _(ev):
-    return joins.within_after(of_type(ev, "file_open"), of_type(ev, "exec"), [*HOST, "pid"], 5 * DAY).select("event_id", "first_id")
-
-
-@on_ev("web_request_near_shell", f"SELECT event_id, near_id FROM (SELECT x.event_id, y.event_id AS near_id, row_number() OVER (PARTITION BY x.event_id ORDER BY abs(x.ts_us - y.ts_us), y.ts_us, y.event_id) AS rn FROM (SELECT * FROM ev WHERE type = 'exec') x JOIN (SELECT * FROM ev WHERE type = 'dns_query') y ON x.agent_id = y.agent_id AND abs(x.ts_us - y.ts_us) <= {DAY}) WHERE rn = 1")
-def _(ev):
-    return joins.nearest(of_type(ev, "exec"), of_type(ev, "dns_query"), HOST, DAY).select("event_id", "near_id")
-
-
 _NUM = "(SELECT *, row_number() OVER (PARTITION BY agent_id, k ORDER BY ts_us, event_id) AS n FROM ev WHERE type = '{t}')"
 
 
@@ -808,23 +792,6 @@ def _(ev):
     return cases.timeline(ev, ["agent_id", "technique"]).select("event_id", "position")
 
 
-FUSE = f"v AS (SELECT *, {_RANK} AS rank, k AS score FROM ev), w AS (SELECT *, max(rank) OVER q AS mr, max(score) OVER q AS ms, max(rank) OVER p AS br, max(score) OVER p AS bs FROM v WINDOW q AS (PARTITION BY tenant_id, agent_id, ppid, comm ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY tenant_id, agent_id, ppid, comm ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), " + greedy("v", "tenant_id, agent_id, ppid, comm, technique", 30 * DAY) + ", told AS (SELECT w.event_id, mr::INT AS max_rank, ms AS max_score FROM w JOIN g USING (event_id) WHERE g.opens OR coalesce(w.rank > br OR w.score > bs, false))"
-
-
-def fused(ev):
-    return cases.fuse(ev.withColumn("score", F.col("k")), [*HOST, "ppid", "comm"], 30 * DAY)
-
-
-@on_ev("verdict_fusion", "SELECT * FROM told", FUSE)
-def _(ev):
-    return fused(ev).select("event_id", "max_rank", "max_score")
-
-
-@on_ev("escalations", "SELECT event_id FROM told WHERE max_rank >= 2", FUSE)
-def _(ev):
-    return cases.escalations(fused(ev)).select("event_id")
-
-
 @on_ev("suppress_list", "SELECT event_id FROM ev WHERE NOT (technique = 'T1059' AND comm = 'curl' AND coalesce(process_generation, 0) = 0)")
 def _(ev):
     listed = ev.sparkSession.createDataFrame([("curl", "T1059", 0)], "comm string, technique string, process_generation long")
@@ -905,28 +872,6 @@ def _(ev):
     return correlation.co_occurrence(gated(ev), _GATE_W, gate=True).where("rule = 'respawn_connect'").select("event_id")
 
 
-@on_ev("behavior_vector", "SELECT agent_id, pid, (e IS NOT NULL)::INT AS has_exec, (c IS NOT NULL)::INT AS has_connect, (w IS NOT NULL)::INT AS has_filewrite, coalesce(CASE WHEN c >= e THEN (c - e) / 1000.0 END, -1.0)::DOUBLE AS exec_connect_ms, coalesce(CASE WHEN w >= e THEN (w - e) / 1000.0 END, -1.0)::DOUBLE AS exec_write_ms, n AS connect_count, dp AS distinct_dports, coalesce(x, 0) AS dest_is_external FROM (SELECT agent_id, pid, min(ts_us) FILTER (type = 'exec') AS e, min(ts_us) FILTER (type = 'connect') AS c, min(ts_us) FILTER (type = 'file_open' AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0)) AS w, count(*) FILTER (type = 'connect') AS n, count(DISTINCT dport) FILTER (type = 'connect') AS dp, max((daddr LIKE '203%')::INT) FILTER (type = 'connect') AS x FROM ev GROUP BY ALL)")
-def _(ev):
-    return correlation.behaviour_vectors(ev, ["agent_id", "pid"])
-
-
-_BELIEF = f"bo AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, agent_id, ppid, comm ORDER BY ts_us, event_id) AS rn, (k % 5) / 2.0::DOUBLE AS llr FROM ev), bb AS (SELECT event_id, tenant_id, agent_id, ppid, comm, rn, ts_us, -4.6::DOUBLE + llr AS belief FROM bo WHERE rn = 1 UNION ALL SELECT o.event_id, o.tenant_id, o.agent_id, o.ppid, o.comm, o.rn, o.ts_us, r.belief + (-4.6 - r.belief) * (1 - exp(-(o.ts_us - r.ts_us) / 1e6 / {7 * 86400.0})) + o.llr FROM bb r JOIN bo o ON o.tenant_id = r.tenant_id AND o.agent_id = r.agent_id AND o.ppid = r.ppid AND o.comm = r.comm AND o.rn = r.rn + 1)"
-
-
-def beliefs(ev):
-    return correlation.belief(ev.withColumn("llr", F.col("k") % 5 / 2.0), [*HOST, "ppid", "comm"], "llr", tau_s=7 * 86400.0)
-
-
-@on_ev("bayes_belief", "SELECT event_id, round(belief, 6) AS belief FROM bb", _BELIEF)
-def _(ev):
-    return beliefs(ev).select("event_id", F.round("belief", 6).alias("belief"))
-
-
-@on_ev("bayes_alert", "SELECT event_id FROM (SELECT bb.*, lag(belief) OVER (PARTITION BY bb.tenant_id, bb.agent_id, bb.ppid, bb.comm ORDER BY bb.ts_us, bb.event_id) AS was, s.nm = 'wget' AND NOT s.borrowed AS quiet FROM bb JOIN s USING (event_id)) WHERE belief > -3.5 AND coalesce(was, -1e9) <= -3.5 AND NOT quiet", _GATED_CTE + ", " + _BELIEF.replace("FROM ev)", "FROM gt)"))
-def _(ev):
-    return correlation.belief_alerts(beliefs(gated(ev)), [*HOST, "ppid", "comm"], -3.5).select("event_id")
-
-
 # ---- learning
 
 
