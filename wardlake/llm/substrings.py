@@ -176,8 +176,9 @@ def spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     seen = made.where("w IS NOT NULL")
     twice = space.keep(seen.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
     single = seen.where("judged").join(twice, "w").select("k", "s", "e")
-    found_spans = whole.unionByName(made.where("w IS NULL").select("k", "s", "e").distinct()).unionByName(single)
-    marks = space.keep(found_spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    found_spans = whole.unionByName(made.where("w IS NULL").select("k", "s", "e")).unionByName(single)
+    # a set: rows that repeat share their marks, and each task drops its repeats before the shuffle
+    marks = space.keep(found_spans.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
     for x in (repeated, found, copies, index, around, blocks, made, twice):
         space.drop(x)
     return marks
