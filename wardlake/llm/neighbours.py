@@ -4,7 +4,8 @@ Vectors are normalised and dealt in shards of bounded size; each shard is a vant
 monotone function of the cosine). Queries descend all trees in blocks: a subtree is skipped if the triangle
 inequality, relaxed by ``factor``, shows that it can't hold a nearer vector: |d(q, p) - median| * factor > d_k. A factor of one skips
 only what is certain (the result is exact); a larger one skips more. Every shard returns its best of each query, and the best of
-those are the result; the cosines are computed in double precision from the original vectors.
+those are the result. Distances only prune, with a margin beyond their rounding; what is kept is chosen by the cosine in double precision from the original vectors, so near
+ties and proportional vectors are told apart as that measure does.
 
 A vector goes to one shard of about ``SHARD`` vectors, by hash, and each shard's tree is built once: its partition reads the shard's
 vectors first, then the queries as a stream, so a task's memory is bounded by a shard and a batch. A query is sent to every shard, so
@@ -34,11 +35,16 @@ SHARD, LEAF = 16_384, 128
 FACTOR = 1.25
 
 
+#: More than the rounding of a product of unit vectors, and of the chord that it gives.
+DOT, CHORD = 1e-9, 1e-7
+PAIRS = 1 << 16
+
+
 class Tree:
-    """A vantage-point tree over unit vectors; leaves are blocks of rows."""
+    """A vantage-point tree over vectors; leaves are blocks of rows."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF, seed: int = 7):
-        self.x, self.leaf = x, leaf
+        self.x, self.u, self.leaf = x, unit(x), leaf
         self.repeats = False
         self.rng = np.random.default_rng(seed)
         self.root = self.build(np.arange(len(x)))
@@ -47,7 +53,7 @@ class Tree:
         if len(rows) <= self.leaf:
             return rows
         pivot = rows[self.rng.integers(len(rows))]
-        d = chord(self.x[rows] @ self.x[pivot])
+        d = chord(self.u[rows] @ self.u[pivot])
         half = np.median(d)
         near = d <= half
         if near.all():  # ties: copies of one vector
@@ -55,33 +61,39 @@ class Tree:
         return pivot, half, self.build(rows[near]), self.build(rows[~near])
 
     def search(self, q: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Chord distances and rows of the k best of each query (rows of -1 where there are fewer)."""
-        best = np.full((len(q), k), np.inf)
+        """Cosines and rows of the k best of each query (rows of -1 where there are fewer), by the exact measure; ties by id."""
+        best = np.full((len(q), k), -np.inf)
         where = np.full((len(q), k), -1)
+        turned = unit(q)
+
+        def merge(at: np.ndarray, cosines: np.ndarray, rows: np.ndarray) -> None:
+            some, at = np.unique(at, return_inverse=True)
+            n = np.concatenate([np.repeat(np.arange(len(some)), k), at])
+            c, w = np.concatenate([best[some].ravel(), cosines]), np.concatenate([where[some].ravel(), rows])
+            n, c, w = n[w >= 0], c[w >= 0], w[w >= 0]
+            if self.repeats:  # an id counts once, by its nearest vector
+                order = np.lexsort((-c, ids[w], n))
+                order = order[np.concatenate([[True], (np.diff(n[order]) != 0) | (np.diff(ids[w[order]]) != 0)])]
+                n, c, w = n[order], c[order], w[order]
+            order = np.lexsort((ids[w], -c, n))
+            n, c, w = n[order], c[order], w[order]
+            rank = np.arange(len(n)) - np.searchsorted(n, n)
+            top = rank < k
+            best[some[n[top]], rank[top]], where[some[n[top]], rank[top]] = c[top], w[top]
 
         def leaf(rows: np.ndarray, some: np.ndarray) -> None:
             step = max(1, 4_000_000 // max(1, len(rows)))
             for lo in range(0, len(some), step):
                 s = some[lo : lo + step]
-                d = chord(q[s] @ self.x[rows].T)
-                d[own[s][:, None] == ids[rows][None, :]] = np.inf
-                both_d = np.concatenate([best[s], d], axis=1)
-                both_w = np.concatenate([where[s], np.broadcast_to(rows, d.shape)], axis=1)
-                # equal distances: the smaller id first
-                named = np.where(both_w >= 0, ids[both_w], np.iinfo(np.int64).max)
-                cut = np.partition(both_d, k - 1, axis=1)[:, k - 1 : k]
-                rank = np.where(both_d <= cut + 1e-12, both_d, np.inf)
-                if self.repeats:  # an id counts once, by its nearest vector
-                    order = np.lexsort((both_d, named), axis=1)
-                    again = np.zeros(both_d.shape, bool)
-                    in_order = np.take_along_axis(named, order, 1)
-                    np.put_along_axis(again, order[:, 1:], in_order[:, 1:] == in_order[:, :-1], 1)
-                    both_d[again], both_w[again] = np.inf, -1
-                    named = np.where(again, np.iinfo(np.int64).max, named)
-                    rank = both_d
-                order = np.lexsort((named, np.round(rank, 12)), axis=1)[:, :k]
-                best[s] = np.take_along_axis(both_d, order, 1)
-                where[s] = np.take_along_axis(both_w, order, 1)
+                near = turned[s] @ self.u[rows].T
+                near[own[s][:, None] == ids[rows][None, :]] = -np.inf
+                least = best[s, k - 1]
+                if not self.repeats and len(rows) > k:
+                    least = np.maximum(least, np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k])
+                i, r = np.nonzero((near >= least[:, None] - DOT) & (near > -np.inf))
+                for at in range(0, len(i), PAIRS):
+                    part = slice(at, at + PAIRS)
+                    merge(s[i[part]], cosine(q[s[i[part]]], self.x[rows[r[part]]]), rows[r[part]])
 
         def visit(node, some: np.ndarray) -> None:
             if not len(some):
@@ -90,13 +102,13 @@ class Tree:
                 leaf(node, some)
                 return
             pivot, half, near, far = node
-            d = chord(q[some] @ self.x[pivot])
+            d = chord(turned[some] @ self.u[pivot])
             gap = np.abs(d - half) * factor
             inner = d <= half
             # the promising side first, so that the radius shrinks before the other is judged
             visit(near, some[inner])
             visit(far, some[~inner])
-            need = gap <= best[some, k - 1] + 1e-12
+            need = gap <= chord(best[some, k - 1]) + CHORD
             visit(far, some[inner & need])
             visit(near, some[~inner & need])
 
@@ -121,25 +133,27 @@ class Shard:
         self.trees = {}
         for dim, (at, x) in vectors.items():
             order = np.argsort(ids[at], kind="stable")
-            tree = Tree(unit(x)[order])
+            tree = Tree(scaled(x)[order])
             named = ids[at][order]
             tree.repeats = bool((named[1:] == named[:-1]).any())
-            self.trees[dim] = named, x[order], tree
+            self.trees[dim] = named, tree
 
     def answer(self, ids: np.ndarray, vectors: dict[int, tuple[np.ndarray, np.ndarray]], k: int, factor: float):
         """(query, neighbour, cosine) of each query's best here."""
         for dim, (at, q) in vectors.items():
             if dim in self.trees:
-                named, x, tree = self.trees[dim]
-                _, where = tree.search(unit(q), ids[at], named, k, factor)
+                named, tree = self.trees[dim]
+                best, where = tree.search(scaled(q), ids[at], named, k, factor)
                 i, r = np.nonzero(where >= 0)
-                found = where[i, r]
-                yield ids[at][i], named[found], cosine(q[i], x[found])
+                yield ids[at][i], named[where[i, r]], best[i, r]
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two (which change no cosine), so that no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    most = np.abs(x).max(axis=1, keepdims=True)
-    x = x / most
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -194,7 +208,9 @@ def search(vectors: DataFrame, queries, k: int = 5, factor: float = FACTOR, key:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
+    """Of rows, each sum in the order of the components."""
+    total = lambda x, y: np.add.reduce(np.ascontiguousarray((x * y).T), axis=0)
+    return total(a, b) / np.sqrt(total(a, a) * total(b, b))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
