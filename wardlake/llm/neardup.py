@@ -8,8 +8,9 @@ fail with a probability of 1e-5 a side.
 Copies (equal sets) collapse to one class first, named by a hash of its fingerprint. Every pair that is linked is confirmed on full sets, in rounds: a document
 is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
 with the components so far. What is still apart within a bucket is then compared with every member outside its component, from
-the smaller side, each pair in the first table that holds both, unless sizes or parities rule the link out: none is lost however large a bucket is, and a bucket whose
-members are already joined costs no pairs.
+the smaller side, each pair in the first table that holds both, unless sizes or parities rule the link out: none is lost, and a bucket whose
+members are already joined costs no pairs. Where more than STRAYS members of a bucket lie outside its main component (texts that share much of their wording but link with
+nothing), its members are not compared with one another: sets that are similar enough share one of their n - ceil(0.8 n) + 1 rarest shingles, so they meet by those.
 
 A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be split by adaptive execution; the minimum in
 each bucket is pre-aggregated. Every intermediate is a table in the shared folder.
@@ -33,6 +34,8 @@ SIDE, ROWS = 16, 3
 THRESHOLD = 80
 #: Cells of the parity test.
 CELLS = 2048
+#: Members of a bucket outside its main component that are compared with all the others; where there are more, they meet by rare shingles.
+STRAYS = 64
 #: Rounds in which each document is compared with one centre of its open buckets.
 ROUNDS = 3
 
@@ -148,6 +151,29 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * inter >= threshold * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def by_rare_shingles(space: Workspace, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs a, b of members (id, comp) in different components whose sizes allow the similarity and which share one of their rarest shingles, as similar sets must.
+
+    Shingles are ordered by the number of members that hold them, then by themselves; a set of n that shares none of its first n - ceil(n * threshold / 100) + 1 with
+    another's shares too few with it.
+    """
+    held = members.join(sets.select("id", "s"), "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("t"))
+    held = space.keep(held)
+    count = space.keep(held.groupBy("t").agg(F.count(F.lit(1)).alias("f")))
+    length = F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int") + 1
+    rarest = held.join(count, "t").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("x"))
+    rarest = rarest.select("id", "comp", "n", F.explode(F.slice("x", F.lit(1), length)).alias("x")).where("x.f > 1").select("id", "comp", "n", "x.t")
+    rarest = space.keep(rarest)
+    space.drop(held)
+    split = rarest.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
+    open_ = split.groupBy("t").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("t", "main")
+    open_ = space.keep(rarest.join(open_, "t"))
+    x = open_.where("comp != main").select("t", F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
+    y = open_.select("t", F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
+    fits = (F.col("xc") != F.col("yc")) & (100 * F.least("xn", "yn") >= threshold * F.greatest("xn", "yn"))
+    return x.join(y, "t").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     spark = docs.sparkSession
@@ -195,7 +221,11 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     # Whatever is still apart within a bucket: members outside its most frequent component against all others.
     sided = members.join(labels.withColumnRenamed("id", "rep"), "rep")
     split = sided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
-    main = split.groupBy("key").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("key", "main")
+    largest = F.max(F.struct("in_comp", "comp"))
+    main = split.groupBy("key").agg(largest["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("in_comp") - largest["in_comp"]).alias("strays")).where("comps > 1")
+    main = space.keep(main.select("key", "main", "strays"))
+    wide = space.keep(sided.join(main.where(F.col("strays") > STRAYS), "key").select(F.col("rep").alias("id"), "comp").distinct())
+    main = main.where(F.col("strays") <= STRAYS).select("key", "main")
     banded = classes.select("rep", "n", "bands").join(sets.select(F.col("id").alias("rep"), "p"), "rep")
     sided = space.keep(sided.join(main, "key").join(banded, "rep"))
     x = sided.where("comp != main").select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "bands", "p")))
@@ -209,6 +239,8 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     differ = F.aggregate(F.zip_with("x_p", "y_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     alike = (100 + threshold) * differ <= (100 - threshold) * (F.col("x_n") + F.col("y_n"))
     rest = x.join(y, (x["key"] == y["key"]) & fits & first & alike).select(*ordered("x_rep", "y_rep")).distinct()
+    if not wide.isEmpty():
+        rest = rest.unionByName(by_rare_shingles(space, wide, sets, threshold)).distinct()
     rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
