@@ -113,6 +113,15 @@ def sensor_silence(beacons: DataFrame, keys: list[str], counter: str, deadline:
     return late.where(F.col("__late")).withColumn("__n", F.row_number().over(Window.partitionBy(*keys, "since").orderBy(ts, order))).where("__n = 1").drop("__n", "__late", "__moved")
 
 
+def silent_spans(beacons: DataFrame, keys: list[str], counter: str, deadline: int, until: int, ts: str = "ts_us", order: str = "event_id") -> DataFrame:
+    """Spans in which a counter had not moved for the deadline, whether or not a row tells so: since, told_at (since + deadline), as seen at a time."""
+    w = Window.partitionBy(*keys).orderBy(ts, order)
+    moved = beacons.where(F.col(ts) <= until).withColumn("__was", F.lag(counter).over(w)).withColumn("__n", F.row_number().over(w))
+    moved = moved.where((F.col("__n") == 1) | ~F.col(counter).eqNullSafe(F.col("__was")))
+    spans = moved.withColumns({"since": F.col(ts), "told_at": F.col(ts) + deadline, "__next": F.lead(ts).over(w)})
+    return spans.where(F.coalesce("__next", F.lit(until + 1)) > F.col("told_at")).where(F.col("told_at") <= until).select(*keys, "since", "told_at")
+
+
 def window_health(lines: DataFrame, keys: list[str], failed: Column, width: int, at_least: int = 10) -> DataFrame:
     """Windows (anchored at a source's first line) with enough lines of which half or more fail; the first of an episode."""
     rows = P.anchored_window(lines.withColumn("__failed", failed.cast("int")), keys, "ts_us", width, "event_id", strict=False)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import fleet
 from ..operators.rules import detect
+from .keyed import Anchored, keyed_stream
+from .store import SightingStore
 
 
 def stream_detections(ev: DataFrame, path: str, checkpoint: str):
@@ -18,45 +16,23 @@ def stream_detections(ev: DataFrame, path: str, checkpoint: str):
     return detect(ev).writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def stream_sightings(ev: DataFrame, table: str, checkpoint: str):
-    """Prevalence kept up to date: each micro-batch is folded and merged into the table's next version.
+def stream_sightings(ev: DataFrame, table: str, checkpoint: str, buckets: int = 64, compact_at: int = 8):
+    """Prevalence kept up to date: each micro-batch adds its folded sightings as a delta; read them by SightingStore(spark, table, buckets).read().
 
-    A batch that is run again finds its version written and changes nothing, so counts stay right.
+    A batch that is run again writes the same delta again, so counts stay right; buckets with many deltas are compacted, the others stay as they are.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path
-        fs = fs_path(table).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(fs_path(f"{table}/v{number}/_SUCCESS")):
-            return
-        new = fleet.fold_sightings(fleet.observations(batch))
-        if number > 0:
-            new = fleet.merge_sightings(spark.read.parquet(f"{table}/v{number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{table}/v{number}")
+        store = SightingStore(batch.sparkSession, table, buckets)
+        store.add(fleet.fold_sightings(fleet.observations(batch)), number)
+        store.compact(compact_at)
 
     return ev.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_anchored(ev: DataFrame, keys: list[str], width: int, delay: str = "1 minute") -> DataFrame:
-    """First rows of anchored windows over a stream: a key's rows within width of a kept one are dropped.
-
-    The state of a key is the time of the last row kept. Rows of a micro-batch are taken in order of time.
-    """
-    kinds = ", ".join(f"{k} {ev.schema[k].dataType.simpleString()}" for k in keys)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        anchor = state.get[0] if state.exists else None
-        kept = []
-        for row in pd.concat(list(batches)).sort_values(["ts_us", "event_id"]).itertuples():
-            if anchor is None or row.ts_us - anchor > width:
-                anchor = int(row.ts_us)
-                kept.append((*key, int(row.event_id), anchor))
-        state.update((anchor,))
-        yield pd.DataFrame(kept, columns=[*keys, "event_id", "ts_us"])
-
-    rows = ev.select(*keys, "event_id", "ts_us", F.timestamp_micros("ts_us").alias("at")).withWatermark("at", delay)
-    return rows.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, event_id long, ts_us long", "anchor long", "append", GroupStateTimeout.NoTimeout)
+    """First rows of anchored windows over a stream: a key's rows within width of a kept one are dropped. Its state goes once no row can fall into the window any more."""
+    return keyed_stream(ev, keys, Anchored(width), delay)
 
 
 def stream_counts(ev: DataFrame, keys: list[str], window: str = "1 minute", delay: str = "1 minute") -> DataFrame:
