@@ -8,7 +8,7 @@ fail with a probability of 1e-5 a side.
 Copies (equal sets) collapse to one class first, named by a hash of its fingerprint. Every pair that is linked is confirmed on full sets, in rounds: a document
 is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
 with the components so far. What is still apart within a bucket is then compared with every member outside its component, from
-the smaller side, each pair in the first table that holds both, unless sizes or parities rule the link out: none is lost, and a bucket whose
+the smaller side, unless sizes or parities rule the link out: none is lost, and a bucket whose
 members are already joined costs no pairs. Where more than STRAYS members of a bucket lie outside its main component (texts that share much of their wording but link with
 nothing), its members are not compared with one another: sets that are similar enough share one of their n - ceil(0.8 n) + 1 rarest shingles, so they meet by those.
 
@@ -36,8 +36,8 @@ THRESHOLD = 80
 CELLS = 2048
 #: Members of a bucket outside its main component that are compared with all the others; where there are more, they meet by rare shingles.
 STRAYS = 64
-#: Rounds in which each document is compared with one centre of its open buckets.
-ROUNDS = 3
+#: Rounds, at most, in which each document is compared with one centre of its open buckets; they end where fewer than one pair in FEW is a link.
+ROUNDS, FEW = 8, 8
 
 
 def _factors() -> tuple[np.ndarray, np.ndarray]:
@@ -185,12 +185,10 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
     name = F.xxhash64(*of_set)
     classes = space.keep(known.groupBy(*of_set, "bands").agg(F.min("id").alias("least")).withColumn("rep", name))
     tables = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(SIDE + j).alias("j")) for i in range(SIDE) for j in range(SIDE)))
-    keys = classes.select("rep", "n", "bands", F.explode(tables).alias("t")).select(
-        F.xxhash64(F.get("bands", F.col("t.i")), F.get("bands", F.col("t.j"))).alias("key"), "rep", F.col("t.i").cast("byte").alias("i"), F.col("t.j").cast("byte").alias("j")
-    )
+    keys = classes.select("rep", "bands", F.explode(tables).alias("t")).select(F.xxhash64(F.get("bands", F.col("t.i")), F.get("bands", F.col("t.j"))).alias("key"), "rep")
     bucket = Window.partitionBy("key")
     # one shuffle of keys; a bucket of one set (nearly all are) ends here
-    members = space.keep(keys.withColumns({"lo": F.min("rep").over(bucket), "hi": F.max("rep").over(bucket)}).where("lo < hi").select("key", "rep", "i", "j"))
+    members = space.keep(keys.withColumns({"lo": F.min("rep").over(bucket), "hi": F.max("rep").over(bucket)}).where("lo < hi").select("key", "rep"))
     nodes = space.keep(members.groupBy("rep").agg(F.count(F.lit(1)).alias("tables")).select(F.col("rep").alias("id")))
     # texts of the smallest id of each class; rows that share it may hold other sets
     some = classes.join(nodes.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("least").alias("doc_id")).distinct()
@@ -211,37 +209,41 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
         h = F.xxhash64("rep", F.lit(salt)) if salt else F.col("rep")
         centres = named.groupBy("key").agg(F.min_by("rep", h).alias("c"), F.min_by("comp", h).alias("cc"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").drop("lo", "hi")
         centres = space.keep(centres)  # so that adaptive execution can split a hot bucket's rows
-        chosen = named.join(centres, "key").where("comp != cc").groupBy("rep").agg(F.mode("c", True).alias("c"))
+        # a bucket that is one component stays so
+        open_ = space.keep(named.join(centres, "key"))
+        space.drop(members)
+        space.drop(centres)
+        members = open_.select("key", "rep")
+        members.wardlake_path = open_.wardlake_path
+        chosen = open_.where("comp != cc").groupBy("rep").agg(F.mode("c", True).alias("c"))
         pairs = chosen.select(*ordered("rep", "c")).distinct()
         pairs = space.keep(near(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")))
-        if pairs.isEmpty():
-            break
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(space, nodes, space.keep(confirm(pairs, sets, threshold)), labels)
+        links = space.keep(confirm(pairs, sets, threshold))
+        labels = components(space, nodes, links, labels)
+        if links.count() * FEW < pairs.count() or pairs.isEmpty():
+            break
     # Whatever is still apart within a bucket: members outside its most frequent component against all others.
-    sided = members.join(labels.withColumnRenamed("id", "rep"), "rep")
+    sided = space.keep(members.join(labels.join(size, "id").select(F.col("id").alias("rep"), "comp", "n"), "rep"))
     split = sided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
     largest = F.max(F.struct("in_comp", "comp"))
     main = split.groupBy("key").agg(largest["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("in_comp") - largest["in_comp"]).alias("strays")).where("comps > 1")
     main = space.keep(main.select("key", "main", "strays"))
     wide = space.keep(sided.join(main.where(F.col("strays") > STRAYS), "key").select(F.col("rep").alias("id"), "comp").distinct())
-    main = main.where(F.col("strays") <= STRAYS).select("key", "main")
-    banded = classes.select("rep", "n", "bands").join(sets.select(F.col("id").alias("rep"), "p"), "rep")
-    sided = space.keep(sided.join(main, "key").join(banded, "rep"))
-    x = sided.where("comp != main").select("key", "i", "j", *(F.col(c).alias(f"x_{c}") for c in ("rep", "comp", "n", "bands", "p")))
-    y = sided.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "comp", "n", "bands", "p")))
-    # a band hash holds its number, so bands agree where arrays overlap; the first bands that agree name the pair's table
-    earlier = lambda c, at, to: F.slice(c, at + 1, to)
-    first = ~F.arrays_overlap(earlier("x_bands", F.lit(0), F.col("i")), earlier("y_bands", F.lit(0), F.col("i"))) & ~F.arrays_overlap(
-        earlier("x_bands", F.lit(SIDE), F.col("j") - SIDE), earlier("y_bands", F.lit(SIDE), F.col("j") - SIDE)
-    )
+    narrow = space.keep(sided.join(main.where(F.col("strays") <= STRAYS).select("key", "main"), "key"))
+    space.drop(sided)
+    of = lambda rows, side: rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "comp", "n")))
     fits = (F.col("x_comp") != F.col("y_comp")) & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
-    differ = F.aggregate(F.zip_with("x_p", "y_p", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    alike = (100 + threshold) * differ <= (100 - threshold) * (F.col("x_n") + F.col("y_n"))
-    rest = x.join(y, (x["key"] == y["key"]) & fits & first & alike).select(*ordered("x_rep", "y_rep")).distinct()
+    rest = of(narrow.where("comp != main"), "x").join(of(narrow, "y"), "key").where(fits).select(*ordered("x_rep", "y_rep"))
     if not wide.isEmpty():
-        rest = rest.unionByName(by_rare_shingles(space, wide, sets, threshold)).distinct()
+        rest = rest.unionByName(by_rare_shingles(space, wide, sets, threshold))
+    rest = rest.distinct()
     rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    space.drop(narrow)
+    # cells of odd parity that differ are no more than the shingles that only one of them has
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("p").alias(f"p{side}"), F.size("s").alias(f"n{side}"))
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    rest = space.keep(rest.join(of("a"), "a").join(of("b"), "b").where((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).select("a", "b"))
     if not rest.isEmpty():
         labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
     # the smallest id of each component
