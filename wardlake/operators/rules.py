@@ -235,21 +235,70 @@ def http_signature(target: Column, agent: Column, status: Column) -> Column:
     )
 
 
-def sigma(ev: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Rules as rows (rule_id, level, field, modifier, value): AND over fields, OR over values, case ignored.
+GRAM = 4
 
-    All rules become one row of nested arrays, broadcast to the events; a field that events lack, or null, matches nothing.
-    """
-    values = definitions.groupBy("rule_id", "level", "field").agg(F.collect_list(F.struct("modifier", F.lower("value").alias("value"))).alias("values"))
-    fields = values.groupBy("rule_id", "level").agg(F.collect_list(F.struct("field", "values")).alias("fields"))
-    every = fields.agg(F.collect_list(F.struct("rule_id", "level", "fields")).alias("__rules"))
-    plain = [f.name for f in ev.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
-    texts = F.create_map(*(x for c in plain for x in (F.lit(c.lower()), F.lower(F.col(f"`{c}`").cast("string")))))
+
+def _conditions(definitions: DataFrame, keywords: str) -> DataFrame:
+    """rule_id, level, group, field, kind (contains, startswith, endswith, equals), literal: values in lower case, their stars turned into kinds."""
+    how, v = F.lower(F.coalesce("modifier", F.lit(""))), F.lower("value")
+    named = how.isin("contains", "startswith", "endswith")
+    first, last = F.startswith(v, F.lit("*")), F.endswith(v, F.lit("*"))
+    glob = F.when(first & last, "contains").when(first, "endswith").when(last, "startswith").when(F.col("field").isNull(), "contains").otherwise("equals")
+    literal = F.when(named | ~(first | last), v).otherwise(F.regexp_replace(v, r"^\*+|\*+$", ""))
+    field = F.lower(F.coalesce("field", F.lit(keywords)))
+    group = F.when(F.col("field").isNull(), F.lit("")).otherwise(F.concat_ws("|", field, F.when(named, how)))
+    rows = definitions.where("value IS NOT NULL").select("rule_id", "level", group.alias("group"), field.alias("field"), F.when(named, how).otherwise(glob).alias("kind"), literal.alias("literal"))
+    return rows.distinct()
+
+
+def _met(text: Column, kind: Column, literal: Column) -> Column:
     tests = {"contains": F.contains, "startswith": F.startswith, "endswith": F.endswith, "equals": lambda a, b: a == b}
+    return F.coalesce(*(F.when(kind == name, test(text, literal)) for name, test in tests.items()), F.lit(False))
+
 
-    def met(text, v):
-        return F.coalesce(*(F.when(v["modifier"] == name, test(text, v["value"])) for name, test in tests.items()), F.lit(False))
+def _grams(text: Column, n: int) -> Column:
+    """All pieces of n characters; none of a shorter text."""
+    if n == 0:
+        return F.array(F.lit(""))
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    holds = lambda r: F.forall(r["fields"], lambda f: F.exists(f["values"], lambda v: met(F.element_at(F.col("__texts"), F.lower(f["field"])), v)))
-    hits = F.transform(F.filter("__rules", holds), lambda r: F.struct(r["rule_id"].alias("rule_id"), r["level"].alias("level")))
-    return ev.withColumn("__texts", texts).crossJoin(F.broadcast(every)).select(*(f"`{c}`" for c in ev.columns), F.inline(hits))
+
+def sigma(ev: DataFrame, definitions: DataFrame, keywords: str = "cmdline") -> DataFrame:
+    """ev's columns with rule_id and level, for each event and rule that holds.
+
+    Rules are rows (rule_id, level, field, modifier, value): AND over the fields with their modifiers, OR over the values of one, case ignored. Without a modifier a star at an end of a value
+    stands for anything. Values without a field are keywords, looked for in one column. A field that events lack, or null, matches nothing.
+
+    Rules are found by an inverted index, so their number only matters where they may hold: each rule is represented by the condition with the longest values, each of those values by the piece of
+    GRAM characters that is rarest among the events' texts; pieces of the events' distinct texts are joined to those, and the rule is then checked in full on the distinct combinations of texts.
+    """
+    conds = _conditions(definitions, keywords)
+    columns = {c.lower(): c for c in (f.name for f in ev.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)))}
+    used = sorted({r["field"] for r in conds.select("field").distinct().where(F.col("field").isin(*columns)).collect()})  # no more than ev has columns
+    if not used:
+        return ev.withColumns({"rule_id": F.lit(None).cast("string"), "level": F.lit(None).cast("string")}).where("false")
+    values = conds.groupBy("rule_id", "level", "group", "field").agg(F.collect_set(F.struct("kind", "literal")).alias("values"), F.min(F.length("literal")).alias("shortest"))
+    rules_ = values.groupBy("rule_id", "level").agg(F.collect_list(F.struct("field", "values")).alias("groups"), F.max(F.struct("shortest", "group"))["group"].alias("group"))
+    leading = conds.join(rules_.select("rule_id", "level", "group"), ["rule_id", "level", "group"]).where(F.col("field").isin(*used))
+
+    texts = F.struct(*(F.lower(F.col(f"`{columns[f]}`").cast("string")).alias(f) for f in used))
+    shaped = ev.withColumn("__texts", texts).withColumn("__shape", F.md5(F.to_json("__texts")))
+    shapes = shaped.groupBy("__shape").agg(F.first("__texts").alias("__texts"))
+    one = shapes.select("__shape", F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"__texts.{f}").alias("text")) for f in used)))).where("text IS NOT NULL")
+
+    literals = leading.select("field", "kind", "literal").distinct()
+    lengths = sorted(r[0] for r in literals.select(F.least(F.length("literal"), F.lit(GRAM))).distinct().collect())  # 0 to GRAM
+    pieces = one.select("field", "text").distinct().select("field", "text", F.explode(F.array_distinct(F.concat(*(_grams(F.col("text"), n) for n in lengths)))).alias("gram")) if lengths else one.withColumn("gram", F.lit("")).where("false")
+    inner = F.when(F.length("literal") < GRAM, F.array("literal")).otherwise(_grams(F.col("literal"), GRAM))
+    of_literal = F.when(F.col("kind") == "contains", F.array_distinct(inner)).when(F.col("kind") == "endswith", F.array(F.right("literal", F.lit(GRAM)))).otherwise(F.array(F.left("literal", F.lit(GRAM))))
+    offered = literals.select("*", F.explode(of_literal).alias("gram"))
+    often = pieces.join(offered.select("field", "gram").distinct(), ["field", "gram"], "left_semi").groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
+    index = offered.join(often, ["field", "gram"], "left").groupBy("field", "kind", "literal").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = pieces.join(index, ["field", "gram"]).where(_met(F.col("text"), F.col("kind"), F.col("literal")))
+    found = near.join(leading, ["field", "kind", "literal"]).select("field", "text", "rule_id", "level").distinct()
+    found = found.join(one, ["field", "text"]).select("__shape", "rule_id", "level").distinct()
+
+    by_name = F.create_map(*(x for f in used for x in (F.lit(f), F.col(f"__texts.{f}"))))
+    holds = F.forall("groups", lambda g: F.exists(g["values"], lambda v: _met(F.element_at(by_name, g["field"]), v["kind"], v["literal"])))
+    met = found.join(rules_.select("rule_id", "level", "groups"), ["rule_id", "level"]).join(shapes, "__shape").where(holds).select("__shape", "rule_id", "level")
+    return shaped.join(met, "__shape").select(*(f"`{c}`" for c in ev.columns), "rule_id", "level")

@@ -328,7 +328,7 @@ def _(ev):
 
 @on_ev("sigma_match", "SELECT event_id, 'r1' AS rule_id FROM ev WHERE type = 'exec' AND contains(cmdline, '-enc') AND parent_comm = 'winword.exe' UNION ALL SELECT event_id, 'r2' FROM ev WHERE type = 'exec' AND (contains(cmdline, 'vssadmin') OR contains(cmdline, 'wevtutil'))")
 def _(ev):
-    rows = [("r1", "high", "cmdline", "contains", "-ENC"), ("r1", "high", "parent_comm", "endswith", "word.exe"), ("r2", "high", "cmdline", "contains", "vssadmin"), ("r2", "high", "cmdline", "startswith", "wevtutil")]
+    rows = [("r1", "high", "cmdline", "contains", "-ENC"), ("r1", "high", "parent_comm", "endswith", "word.exe"), ("r2", "high", "cmdline", None, "*vssadmin*"), ("r2", "high", "cmdline", None, "WEVTUTIL*")]
     return rules.sigma(of_type(ev, "exec"), ev.sparkSession.createDataFrame(rows, "rule_id string, level string, field string, modifier string, value string")).select("event_id", "rule_id")
 
 
