@@ -80,9 +80,57 @@ def llr(vectors: DataFrame, features: list[str], label: str, alpha: float = 0.5)
     return n.withColumn("llr", F.log(p / q))
 
 
+#: Values that one task may sort, and how far beside a rank an estimate is looked for (shares of the values).
+SORTED, BESIDE = 100_000, 0.001
+
+
+def exact_quantiles(df: DataFrame, value: str, shares: list[float], most: int = SORTED) -> tuple[list[float | None], int]:
+    """Quantiles with interpolation (as percentile), and the number of values that are not null, exactly and without a task that holds them all."""
+    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    n, lowest, highest = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares), 0
+    ranks = {k for share in shares for k in (math.floor(share * (n - 1)), math.ceil(share * (n - 1)))}
+    at = {k: _ranked(x, k, n, lowest, highest, most) for k in sorted(ranks)}
+
+    def quantile(share: float) -> float:
+        one, two = math.floor(share * (n - 1)), math.ceil(share * (n - 1))
+        return at[one] + (at[two] - at[one]) * (share * (n - 1) - one)
+
+    return [quantile(share) for share in shares], n
+
+
+def _ranked(x: DataFrame, k: int, n: int, lo: float, hi: float, most: int) -> float:
+    """The value of rank k (from 0).
+
+    It is enclosed by estimates of the quantiles beside it, which are then counted; what lies between is enclosed again until few enough values, or copies of one, are left. Each
+    step is two passes of partial sums and leaves about two in a thousand values.
+    """
+    below, inside = 0, n
+    while inside > most and lo < hi:
+        part = x.where(F.col("x").between(lo, hi))
+        ends = [max(0.0, (k - below) / inside - BESIDE), min(1.0, (k - below) / inside + BESIDE)]
+        a, b = part.agg(F.percentile_approx("x", ends, 100_000)).first()[0]
+        less, upto, at_lo, at_hi, up, down = part.agg(
+            F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b), F.count_if(F.col("x") == lo), F.count_if(F.col("x") == hi), F.min(F.when(F.col("x") > lo, F.col("x"))), F.max(F.when(F.col("x") < hi, F.col("x")))
+        ).first()
+        if k < below + at_lo:
+            return lo
+        if k >= below + inside - at_hi:
+            return hi
+        # it is neither end, so these can be left out in any case
+        new_lo, new_below = (a, below + less) if a > lo and below + less <= k else (up, below + at_lo)
+        new_hi, end = (b, below + upto) if b < hi and below + upto > k else (down, below + inside - at_hi)
+        lo, hi, below, inside = new_lo, new_hi, new_below, end - new_below
+    if lo == hi:
+        return lo
+    return x.where(F.col("x").between(lo, hi)).agg(F.percentile("x", (k - below) / (inside - 1))).first()[0]
+
+
 def conformal_threshold(scores: DataFrame, score: str, budget: float = 5.0, rate: float = 1000.0) -> DataFrame:
     """The score that so many benign events of a day fall below."""
-    return scores.agg(F.expr(f"percentile({score}, {budget / rate})").alias("threshold"), F.count(score).alias("n"))
+    (threshold,), n = exact_quantiles(scores, score, [budget / rate])
+    return scores.sparkSession.createDataFrame([(threshold, n)], "threshold double, n long")
 
 
 def bounds(df: DataFrame, features: list[str], margin: float = 0.05) -> DataFrame:
