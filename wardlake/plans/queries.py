@@ -737,10 +737,8 @@ def _(ev):
     return hits.join(previous.select("event_id"), "event_id", "left_anti").select("event_id")
 
 
-@on_ev("entity_graph_edges", "SELECT DISTINCT 'spawned' AS kind, coalesce(parent_comm, '?') AS src, comm AS dst FROM ev WHERE type = 'exec' UNION SELECT 'connected', comm, daddr FROM ev WHERE type = 'connect'")
 def edges(ev):
-    spawned = of_type(ev, "exec").select(F.lit("spawned").alias("kind"), F.coalesce("parent_comm", F.lit("?")).alias("src"), F.col("comm").alias("dst"))
-    return spawned.unionByName(of_type(ev, "connect").select(F.lit("connected").alias("kind"), F.col("comm").alias("src"), F.col("daddr").alias("dst"))).distinct()
+    return of_type(ev, "exec").select(F.coalesce("parent_comm", F.lit("?")).alias("src"), F.col("comm").alias("dst")).union(of_type(ev, "connect").select("comm", "daddr")).distinct()
 
 
 @on_ev("entity_neighbourhood", "SELECT 'winword.exe' AS seed, node, min(hop) AS hop FROM r GROUP BY node", "e AS MATERIALIZED (SELECT DISTINCT coalesce(parent_comm, '?') AS src, comm AS dst FROM ev WHERE type = 'exec' UNION SELECT comm, daddr FROM ev WHERE type = 'connect'), r AS (SELECT 'winword.exe' AS node, 0 AS hop UNION SELECT e.dst, r.hop + 1 FROM r JOIN e ON e.src = r.node WHERE r.hop < 2)")
