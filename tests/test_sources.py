@@ -55,6 +55,22 @@ def test_event_xml(spark, tmp_path):
     assert got == [(4625, "logon_failure", "bob", None), (4672, "privileged_session", "adm", None)]
 
 
+def test_actions_of_tasks(spark):
+    cases = {
+        "<Exec><Command>a</Command></Exec>": "a",
+        "<Exec/><ComHandler/>": None,
+        "<Exec id='x'><Command> a </Command><Arguments> -b </Arguments></Exec><ComHandler><ClassId>{1}</ClassId></ComHandler>": "a -b | com:{1}",
+        "<ExecutionTimeLimit>P1</ExecutionTimeLimit><SendEmail><Command>no</Command></SendEmail>": None,
+        "".join(f"<Exec><Command>c{i}</Command></Exec>" for i in range(40)): " | ".join(f"c{i}" for i in range(32)),
+        "": None,
+        "<Exec><Command>never closed": None,
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "x string").select("x", logs.task_actions(F.col("x")).alias("a"))
+    assert {r["x"]: r["a"] for r in df.collect()} == cases
+    odd = lines(spark, "no xml", "", "<Event><System><EventID>7045</EventID></System></Event>", "<Event><System>")
+    assert logs.parse_event_xml(odd.unionByName(spark.createDataFrame([(None,)], "value string"))).count() == 0
+
+
 def test_uploads(spark):
     good = json.dumps({"agent_id": "a", "events": [{"type": "exec"}, 5, {"x": 1}]})
     large = json.dumps({"agent_id": "b", "events": [{"type": "exec"}] * 4})

@@ -50,6 +50,52 @@ def _(ev):
     return logs.parse_unified_log(ev.select("event_id", F.to_json(body).alias("value"))).select("event_id", "kind", "auth_value")
 
 
+#: Events of every kind as XML, with nested definitions of tasks, escaped signs, and what can't be read.
+_XML_ID = "CASE k % 12 WHEN 0 THEN 7045 WHEN 1 THEN 4698 WHEN 2 THEN 4702 WHEN 3 THEN 4720 WHEN 4 THEN 4624 WHEN 5 THEN 4625 WHEN 6 THEN 4648 WHEN 7 THEN 4672 WHEN 8 THEN 8004 WHEN 9 THEN 106 WHEN 10 THEN 1 ELSE 8003 END"
+_XML_SQL = f"""x AS (SELECT *, {_XML_ID} AS e FROM ev WHERE k % 25 != 24)
+SELECT event_id, e::INT AS event_code, CASE e WHEN 7045 THEN 'service' WHEN 4698 THEN 'task' WHEN 4702 THEN 'task' WHEN 106 THEN 'task' WHEN 4720 THEN 'account' WHEN 4624 THEN 'logon' WHEN 4648 THEN 'logon' WHEN 4625 THEN 'logon_failure' WHEN 4672 THEN 'privileged_session' WHEN 1 THEN NULL ELSE 'applocker' END AS kind,
+ event_id + 7 AS record_id, CASE WHEN e IN (4698, 4702) THEN ppid WHEN e > 8000 THEN CASE WHEN k % 5 = 0 THEN 0 ELSE ppid END ELSE pid END AS pid,
+ CASE WHEN e = 4672 THEN comm WHEN e IN (4624, 4625, 4648, 4720) THEN CASE WHEN k % 3 != 0 THEN target_user END WHEN e > 8000 THEN target_user END AS user, CASE WHEN e = 4672 THEN 'S-sub' WHEN e = 4720 THEN 'S-new' WHEN e IN (4624, 4625, 4648) THEN 'S-tgt' END AS user_sid,
+ CASE WHEN e IN (4624, 4625, 4648) AND k % 2 = 1 THEN daddr END AS source_address, CASE WHEN e = 4625 THEN '0xC1/0x' || k::VARCHAR END AS status,
+ CASE WHEN e = 7045 THEN 'svc' || k::VARCHAR WHEN e IN (4698, 4702, 106) THEN chr(92) || 'T' || chr(92) || k::VARCHAR WHEN e > 8000 THEN 'EXE' END AS name,
+ CASE WHEN e = 7045 THEN image_path WHEN e IN (4698, 4702) THEN CASE k % 5 WHEN 0 THEN '<action unknown>' WHEN 1 THEN 'a.exe' WHEN 2 THEN 'a.exe ' || cmdline || ' | com:{{C}}' ELSE 'com:{{C}} | b.exe -x' END
+  WHEN e > 8000 THEN CASE WHEN k % 4 = 0 THEN 'C:' || chr(92) || 'a & b.exe' WHEN k % 4 = 3 THEN 'C:' || chr(92) || 'Windows' || chr(92) || 'System32' || chr(92) || 'x.exe' ELSE '%HOT%' || chr(92) || 'x' END END AS path FROM x"""
+
+
+def _xml(ev):
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    data = lambda name, value: text(f"<Data Name='{name}'>", value, "</Data>")
+    k = F.col("k")
+    n = k.cast("string")
+    execs = lambda inner: text("<Exec id='A'>", inner, "</Exec>")
+    handler = F.lit("<ComHandler><ClassId> {C} </ClassId><Data>x</Data></ComHandler>")
+    actions = (
+        F.when(k % 5 == 0, text("<Exec/>", execs(F.lit("<Arguments>-x</Arguments>"))))
+        .when(k % 5 == 1, execs(F.lit("<Command> a.exe </Command><Arguments> </Arguments>")))
+        .when(k % 5 == 2, text(execs(text("<Command>a.exe</Command><Arguments>", F.col("cmdline"), "</Arguments>")), handler))
+        .otherwise(text("<ExecutionTimeLimit>P1</ExecutionTimeLimit>", handler, execs(F.lit("<Command>b.exe</Command><Arguments>-x</Arguments>"))))
+    )
+    task = safe(text("<?xml version='1.0'?><Task><Actions>", actions, "</Actions></Task>"))
+    user = F.when(k % 3 == 0, "-").otherwise(F.col("target_user"))
+    plain = text(
+        data("ServiceName", text("svc", n)), data("ImagePath", text(safe(F.col("image_path")), " ")), data("TaskName", text("\\T\\", n)), data("TaskContent", F.when(F.expr(_XML_ID) == 4698, task).otherwise("")), data("TaskContentNew", F.when(F.expr(_XML_ID) == 4702, task).otherwise("")),
+        data("ClientProcessId", F.col("ppid").cast("string")), data("TargetUserName", user), data("SubjectUserName", F.col("comm")), data("SubjectUserSid", F.lit("S-sub")), data("TargetSid", F.lit("S-new")), data("TargetUserSid", F.lit("S-tgt")),
+        data("IpAddress", F.when(k % 2 == 1, F.col("daddr")).otherwise("-")), data("Status", F.lit("0xC1")), data("SubStatus", text("0x", n)),
+    )
+    file = F.when(k % 4 == 0, text("<FilePath>%OSDRIVE%\\x</FilePath><FullFilePath>C:\\a &amp; b.exe</FullFilePath>")).when(k % 4 == 3, text("<FilePath>%System32%\\x.exe</FilePath><FullFilePath></FullFilePath>")).otherwise(text("<FilePath>%HOT%\\x</FilePath>"))
+    policy = text("<UserData><RuleAndFileData><PolicyName>EXE</PolicyName><TargetUser>", F.col("target_user"), "</TargetUser><TargetProcessId>", F.when(k % 5 == 0, "?").otherwise(F.col("ppid").cast("string")), "</TargetProcessId>", file, "</RuleAndFileData></UserData>")
+    record = F.when(k % 25 == 24, "").otherwise((F.col("event_id") + 7).cast("string"))
+    head = text("<Event xmlns='urn:x'><System><Provider Name='p'/><EventID Qualifiers='1'>", F.expr(_XML_ID).cast("string"), "</EventID><EventRecordID>", record, "</EventRecordID><Execution ProcessID='", F.col("pid").cast("string"), "' ThreadID='1'/><Channel>c</Channel></System>")
+    return ev.select(F.col("event_id").alias("source_id"), text(head, F.when(F.expr(_XML_ID) > 8000, policy).otherwise(text("<EventData>", plain, "</EventData>")), "</Event>").alias("value"))
+
+
+@on_ev("parse_windows_event_xml", _XML_SQL.split("\n", 1)[1], _XML_SQL.split("\n", 1)[0])
+def _(ev):
+    kept = ["kind", "record_id", "pid", "user", "user_sid", "source_address", "status", "name", "path"]
+    return logs.parse_event_xml(_xml(ev)).select(F.col("source_id").alias("event_id"), F.col("event_id").alias("event_code"), *kept)
+
+
 @on_ev("explode_batches", "SELECT agent_id, event_id FROM ev WHERE type != 'auth'")
 def _(ev):
     one = F.to_json(F.struct(F.when(F.col("type") != "auth", F.col("type")).alias("type"), "event_id"))

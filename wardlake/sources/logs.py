@@ -104,13 +104,74 @@ def parse_unified_log(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.withColumn("j", j).select(*lines.columns, kind.alias("kind"), F.regexp_extract(message, r"msgID=([0-9.]+)", 1).alias("message_id"), F.nullif(F.regexp_extract(message, r"authValue=([0-9]+)", 1), F.lit("")).try_cast("int").alias("auth_value"))
 
 
-def parse_evtx_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Windows Event XML files: logons, services, tasks, accounts."""
-    schema = "System struct<EventID:string, Channel:string, EventRecordID:string>, EventData struct<Data:array<struct<_Name:string, _VALUE:string>>>"
-    raw = spark.read.format("xml").option("rowTag", "Event").schema(schema).load(path)
-    data = lambda name: F.get(F.filter("EventData.Data", lambda d: d["_Name"] == name), F.lit(0))["_VALUE"]
-    event = F.col("System.EventID").try_cast("int")
-    kind = F.when(event == 7045, "service").when(event.isin(4698, 4702), "task").when(event == 4720, "account").when(event.isin(4624, 4648), "logon").when(event == 4625, "logon_failure").when(event == 4672, "privileged_session")
-    user = F.when(event == 4672, data("SubjectUserName")).otherwise(data("TargetUserName"))
-    return raw.select(event.alias("event_id"), F.col("System.Channel").alias("channel"), F.col("System.EventRecordID").try_cast("long").alias("record_id"), kind.alias("kind"), user.alias("user"), F.nullif(data("IpAddress"), F.lit("-")).alias("source_address"), data("ImagePath").alias("image_path"), F.coalesce(data("ServiceName"), data("TaskName")).alias("name"))
+#: Events of each kind; more than so many actions no task has; what stands between them, and for none; variables of paths and what they mean by default.
+TASK_CREATED, TASK_UPDATED, TASK_REGISTERED, SERVICE, ACCOUNT = 4698, 4702, 106, 7045, 4720
+LOGON, LOGON_FAILED, LOGON_EXPLICIT, PRIVILEGES = 4624, 4625, 4648, 4672
+APPLOCKER = [8003, 8004]
+TASK_ACTIONS, ACTION_SEPARATOR, ACTION_UNKNOWN = 32, " | ", "<action unknown>"
+PATH_VARIABLES = {"%OSDRIVE%": "C:", "%WINDIR%": "C:\\Windows", "%SYSTEM32%": "C:\\Windows\\System32", "%PROGRAMFILES%": "C:\\Program Files"}
+EVENT = (
+    "System struct<EventID:string, EventRecordID:string, Channel:string, Execution:struct<_ProcessID:string>>, EventData struct<Data:array<struct<_Name:string, _VALUE:string>>>, "
+    "UserData struct<RuleAndFileData:struct<PolicyName:string, TargetUser:string, TargetProcessId:string, FilePath:string, FullFilePath:string>>"
+)
+
+
+def task_actions(definition: Column) -> Column:
+    """The actions of a task's definition in order: command lines, and com:CLASS for a handler; null if there is none that can be read."""
+    element = r"(?s)<(?:Exec|ComHandler)(?:\s[^>]*)?(?:/>|>.*?</(?:Exec|ComHandler)>)"
+    inner = lambda x, tag: F.trim(F.regexp_extract(x, f"(?s)<{tag}>(.*?)</{tag}>", 1))
+
+    def action(x: Column) -> Column:
+        command, arguments, handler = inner(x, "Command"), inner(x, "Arguments"), inner(x, "ClassId")
+        line = F.when(command != "", F.concat_ws(" ", command, F.nullif(arguments, F.lit(""))))
+        return F.when(x.rlike(r"^<Exec"), line).otherwise(F.when(handler != "", F.concat(F.lit("com:"), handler)))
+
+    # a tag that closes itself has no body
+    found = F.transform(F.regexp_extract_all(definition, F.lit(element), F.lit(0)), lambda x: F.when(~x.rlike(r"(?s)^<[^>]*/>$"), action(x)))
+    read = F.slice(F.filter(found, lambda x: x.isNotNull()), 1, TASK_ACTIONS)
+    return F.when(F.size(read) > 0, F.array_join(read, ACTION_SEPARATOR))
+
+
+def expand_path(path: Column) -> Column:
+    """A path whose leading variable is replaced by what it means."""
+    out = path
+    for variable, means in PATH_VARIABLES.items():
+        out = F.when(F.startswith(F.upper(path), F.lit(variable)), F.concat(F.lit(means), F.substring(path, len(variable) + 1, 100_000))).otherwise(out)
+    return out
+
+
+def parse_event_xml(rows: DataFrame, block: str = "value") -> DataFrame:
+    """Windows events, one XML block a row, with what it tells: kind, record_id, event_id, channel, pid, user, user_sid, subject, source_address, status, name, path.
+
+    Services, tasks (path: the actions of the nested definition, joined), accounts, logons and privileges (user: the account they are about, which for privileges is the subject), and files that a policy would
+    block or did (name: the policy, path: expanded). Blocks that can't be read or have no record number are left out; fields that hold nothing or a dash are null.
+    """
+    e = rows.withColumn("__e", F.from_xml(block, EVENT)).where(F.col("__e.System.EventRecordID").try_cast("long").isNotNull())
+    field = lambda name: F.get(F.filter("__e.EventData.Data", lambda d: d["_Name"] == name), F.lit(0))["_VALUE"]
+    blank = lambda c: F.when(~F.trim(c).isin("", "-"), F.trim(c))
+    data = lambda name: blank(field(name))
+    rule = lambda name: blank(F.col(f"__e.UserData.RuleAndFileData.{name}"))
+    event = F.trim("__e.System.EventID").try_cast("int")
+    task, logon = event.isin(TASK_CREATED, TASK_UPDATED, TASK_REGISTERED), event.isin(LOGON, LOGON_FAILED, LOGON_EXPLICIT)
+    kind = (
+        F.when(event == SERVICE, "service").when(task, "task").when(event == ACCOUNT, "account").when(event.isin(LOGON, LOGON_EXPLICIT), "logon")
+        .when(event == LOGON_FAILED, "logon_failure").when(event == PRIVILEGES, "privileged_session").when(event.isin(*APPLOCKER), "applocker")
+    )
+    definition = F.when(event == TASK_CREATED, field("TaskContent")).when(event == TASK_UPDATED, field("TaskContentNew"))
+    pid = F.when(event.isin(TASK_CREATED, TASK_UPDATED), field("ClientProcessId")).when(event.isin(*APPLOCKER), rule("TargetProcessId")).otherwise(F.col("__e.System.Execution._ProcessID"))
+    user = F.when(event == PRIVILEGES, data("SubjectUserName")).when(logon | (event == ACCOUNT), data("TargetUserName")).when(event == TASK_REGISTERED, data("UserContext")).when(event.isin(*APPLOCKER), rule("TargetUser"))
+    sid = F.when(event == PRIVILEGES, data("SubjectUserSid")).when(event == ACCOUNT, data("TargetSid")).when(logon, data("TargetUserSid"))
+    name = F.when(event == SERVICE, data("ServiceName")).when(task, data("TaskName")).when(event.isin(*APPLOCKER), rule("PolicyName"))
+    actions = F.when(event.isin(TASK_CREATED, TASK_UPDATED), F.coalesce(task_actions(definition), F.lit(ACTION_UNKNOWN)))
+    path = F.when(event == SERVICE, data("ImagePath")).when(task, actions).when(event.isin(*APPLOCKER), expand_path(F.coalesce(rule("FullFilePath"), rule("FilePath"))))
+    made = {
+        "kind": kind, "event_id": event, "record_id": F.col("__e.System.EventRecordID").try_cast("long"), "channel": F.col("__e.System.Channel"), "pid": F.coalesce(pid.try_cast("long"), F.lit(0).cast("long")), "user": user, "user_sid": sid,
+        "subject": data("SubjectUserName"), "source_address": F.when(logon, data("IpAddress")), "status": F.when(event == LOGON_FAILED, F.concat_ws("/", data("Status"), data("SubStatus"))), "name": name, "path": path,
+    }
+    rest = [c for c in rows.columns if c not in made and c != block]
+    return e.select(*rest, *(c.alias(n) for n, c in made.items()))
 
+
+def parse_evtx_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Events of files that hold one block after another, whether on lines of their own or not."""
+    return parse_event_xml(spark.read.option("lineSep", "</Event>").text(path).select(F.concat(F.regexp_extract("value", r"(?s)(<Event[\s>].*)", 1), F.lit("</Event>")).alias("value")))
