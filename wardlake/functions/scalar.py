@@ -140,18 +140,29 @@ def appended_suffix(old: Column, new: Column) -> Column:
     return F.when(rest != "", rest)
 
 
-#: Fixed values: (pattern, replacement) in order.
-REDACTIONS = [
-    (r"(?i)(authorization:\s*(?:basic|bearer)\s+)\S+", "$1[redacted]"),
-    (r"(?i)((?:set-)?cookie:\s*)[^\r\n]+", "$1[redacted]"),
-    (r"(?i)((?:password|passwd|secret|token|api_?key)\s*[=:]\s*)\S+", "$1[redacted]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"),
-]
-
-
-def redact(text: Column) -> Column:
-    for pattern, by in REDACTIONS:
-        text = F.regexp_replace(text, pattern, by)
+#: Fixed values: (pattern, replacement) in order, for texts of connections, lines typed into a shell, and names that are looked up.
+REDACTIONS = {
+    "tls": [
+        (r"(?i)authorization:\s*[^\r\n]+", "Authorization: [REDACTED]"),
+        (r"(?i)cookie:\s*[^\r\n]+", "Cookie: [REDACTED]"),
+        (r"(https?://)([^:@\s]+):([^@\s]+)@", "$1[REDACTED]:[REDACTED]@"),
+        (r"[?&](api_key|token|key|apikey|access_token)=[^&\s]+", "?$1=[REDACTED]"),
+    ],
+    "shell": [
+        (r"""(?i)\b(export\s+\w+)=(['"]?)([^'"\s]+)(['"]?)""", "$1=[REDACTED]"),
+        (r"""(?i)--password[=\s]+(['"]?)([^'"\s]+)(['"]?)""", "--password=[REDACTED]"),
+        (r"""(?i)(^|[^-])-p\s*(['"]?)([^'"\s]+)(['"]?)""", "$1-p[REDACTED]"),
+        (r"(?i)(aws_secret_access_key|aws_session_token)=([^\s]+)", "$1=[REDACTED]"),
+        (r"""-u\s+(['"]?)([^'"\s]+)(['"]?)""", "-u [REDACTED]"),
+    ],
+    "dns": [(r"(?i)^.+\.(local|internal|lan|home|corp|intranet)\.?$", "[REDACTED].$1")],
+}
+
+
+def redact(text: Column, kind: str) -> Column:
+    """A text without what its kind (tls, shell, dns) calls sensitive."""
+    for pattern, by in REDACTIONS[kind]:
+        text = F.regexp_replace(text, f"(?U){pattern}", by)
     return text
 
 

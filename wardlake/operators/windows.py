@@ -16,6 +16,8 @@ SECOND = 1_000_000
 #: Fixed values.
 BROWSERS = ["chrome.exe", "firefox.exe", "msedge.exe", "opera.exe", "brave.exe", "iexplore.exe", "vivaldi.exe"]
 STANDARD_PORTS = [80, 443, 53, 8080, 8443, 8000, 25, 587, 465, 993, 995, 143, 137, 138, 5353, 5355, 3478]
+SELF_SPAWN_PARENTS = ["RuntimeBroker.exe"]
+AGENT_HELPERS = ["wevtutil.exe", "auditpol.exe", "logman.exe"]
 SELF_SPAWN_NAMES = ["MpCmdRun.exe", "mpcmdrun.exe", "TiWorker.exe", "svchost.exe", "wermgr.exe", "WerFault.exe", "WerFaultSecure.exe", "SecurityHealthH", "SecurityHealthHost.exe"]
 
 
@@ -26,9 +28,23 @@ def threshold(ev: DataFrame, keys: list[str], width: int, at_least: int, ts: str
     return P.suppress_within(hot, keys, ts, width, order)
 
 
-def self_spawn(ev: DataFrame, width: int = 30 * SECOND, at_least: int = 3) -> DataFrame:
-    spared = F.col("comm").isin(*SELF_SPAWN_NAMES) & S.trusted_system_path(F.col("image_path")) & S.expected_parent(F.col("comm"), F.col("parent_comm"))
-    return threshold(ev.where((F.col("type") == "exec") & ~spared), ["ppid", "comm"], width, at_least)
+def self_spawn(ev: DataFrame, width: int = 30 * SECOND, at_least: int = 3, windows: Column | None = None, own_pid: Column | None = None) -> DataFrame:
+    """Execs of one name by one parent, at the threshold, on Windows (windows: which events are; all if not given).
+
+    Not counted: programs of the system that start again as a matter of course, from their own places and by their usual parents; the children of a broker that runs from its
+    own place, by the name that the parent's number last had; and the agent's own helpers (own_pid: the agent's process on that host).
+    """
+    from .joins import with_parent
+
+    named = lambda c, names: F.lower(c).isin(*(n.lower() for n in names))
+    trusted = S.trusted_system_path(F.col("image_path"))
+    spared = named(F.col("comm"), SELF_SPAWN_NAMES) & trusted & S.expected_parent(F.col("comm"), F.col("parent_comm"))
+    parent_path = F.col("parent_image_path") if "parent_image_path" in ev.columns else F.lit(None).cast("string")
+    broker = named(F.col("parent"), SELF_SPAWN_PARENTS) & S.trusted_system_path(parent_path)
+    helper = named(F.col("comm"), AGENT_HELPERS) & trusted & (F.col("ppid") == own_pid) if own_pid is not None else F.lit(False)
+    rows = with_parent(ev).where(F.lit(True) if windows is None else F.coalesce(windows, F.lit(False)))
+    quiet = [F.coalesce(x, F.lit(False)) for x in (spared, broker, helper)]
+    return threshold(rows.where(~reduce(operator.or_, quiet)).drop("parent"), ["ppid", "comm"], width, at_least)
 
 
 def beacon_spared() -> Column:

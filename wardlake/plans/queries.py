@@ -99,6 +99,21 @@ _ADDRESS = "CASE k % 20 WHEN 0 THEN '127.0.0.9' WHEN 1 THEN '0.0.0.0' WHEN 2 THE
 _PLACE = "CASE k % 14 WHEN 0 THEN '/usr/bin/x' WHEN 1 THEN '/USR/lib/x' WHEN 2 THEN '/usrx/y' WHEN 3 THEN 'C:|Windows|System32|x.exe' WHEN 4 THEN 'c:|WINDOWS|Temp|x.exe' WHEN 5 THEN 'C:|Windows|Tracing|x' WHEN 6 THEN 'C:|Program Files (x86)|a|x.exe' WHEN 7 THEN 'C:|Users|a|x.exe' WHEN 8 THEN '/Applications/A.app' WHEN 9 THEN '/home/a/bin/x' WHEN 10 THEN NULL WHEN 11 THEN 'C:|WindowsX|y' ELSE '/tmp/x' END"
 _CHILD = "CASE k % 8 WHEN 0 THEN 'lsass.exe' WHEN 1 THEN 'Services.EXE' WHEN 2 THEN 'svchost.exe' WHEN 3 THEN 'winlogon.exe' WHEN 4 THEN 'taskhostw.exe' WHEN 5 THEN 'RuntimeBroker.exe' WHEN 6 THEN 'wermgr.exe' ELSE comm END"
 _MOTHER = "CASE k % 5 WHEN 0 THEN 'wininit.exe' WHEN 1 THEN 'SERVICES.exe' WHEN 2 THEN 'svchost.exe' WHEN 3 THEN 'smss.exe' ELSE parent_comm END"
+#: Texts that meet each pattern, and what looks like one, in both engines.
+_SENSITIVE = {
+    "tls": "CASE k % 7 WHEN 0 THEN concat('authorization:  Basic ', comm, ' x') WHEN 1 THEN concat('Set-COOKIE: a=', agent_id) WHEN 2 THEN concat('GET https://', comm, ':', agent_id, '@h/p') WHEN 3 THEN concat('/p?token=', comm, '&key=1&monkey=2') WHEN 4 THEN concat('/p?a=1&access_token=', comm) WHEN 5 THEN 'http://h:80/p?tokens=1' ELSE cmdline END",
+    "shell": "CASE k % 8 WHEN 0 THEN concat('Export KEY_1=', comm) WHEN 1 THEN concat('mysql --password \"', comm, '\" -h x') WHEN 2 THEN concat('mysql -p', comm, ' db') WHEN 3 THEN concat('aws_session_token=', comm, ' -p x') WHEN 4 THEN concat('curl -u  a:', comm, ' http://x') WHEN 5 THEN 'x--paste a' WHEN 6 THEN 'reexport A=b' ELSE cmdline END",
+    "dns": "CASE k % 5 WHEN 0 THEN concat(comm, '.prod.Internal.') WHEN 1 THEN concat(comm, '.corp') WHEN 2 THEN 'corp' WHEN 3 THEN 'local.example.com' ELSE query END",
+}
+
+
+def _redacted(kind: str) -> str:
+    out = _SENSITIVE[kind].replace(r'\"', '"')
+    for pattern, by in S.REDACTIONS[kind]:
+        out = f"regexp_replace({out}, '" + pattern.removeprefix("(?i)").replace("'", "''") + "', '" + by.replace("$", chr(92)) + "', '" + ("gi" if pattern.startswith("(?i)") else "g") + "')"
+    return out
+
+
 SCALARS: dict[str, tuple[Callable[[], object], str]] = {
     "has_write_intent": (lambda: S.has_write_intent(F.col("flags")), "(flags & 3) IN (1, 2) OR (flags & 64) != 0"),
     "shannon_entropy": (lambda: F.round(S.shannon_entropy(F.col("query")), 9), "round((SELECT -sum(c / n * log2(c / n)) FROM (SELECT count(*)::DOUBLE AS c, sum(count(*)) OVER () AS n FROM (SELECT unnest(string_split(query, '')) AS ch) GROUP BY ch)), 9)"),
@@ -125,7 +140,7 @@ SCALARS: dict[str, tuple[Callable[[], object], str]] = {
     "url_normalise": (lambda: S.url_normalise(F.concat(F.lit("/A%2520b%zz?x="), F.col("query"))), "'/a b%zz?x=' || lower(query)"),
     "split_target": (lambda: F.concat_ws("|", S.target_path(F.concat(F.col("path"), F.lit("?a=1&b="), F.col("comm"))), F.get(S.target_params(F.concat(F.col("path"), F.lit("?a=1&b="), F.col("comm"))), F.lit(1))["value"]), "path || '|' || comm"),
     "appended_suffix": (lambda: S.appended_suffix(F.col("path"), F.concat("path", F.when(F.col("k") % 2 == 0, ".locked").otherwise(""))), "CASE WHEN k % 2 = 0 THEN '.locked' END"),
-    "redact": (lambda: S.redact(F.concat(F.lit("Authorization: Bearer "), F.col("comm"), F.lit(" token="), F.col("agent_id"))), "'Authorization: Bearer [redacted] token=[redacted]'"),
+    "redact": (lambda: F.concat_ws("~", *(S.redact(F.expr(_SENSITIVE[kind]), kind) for kind in _SENSITIVE)), "concat_ws('~', " + ", ".join(_redacted(kind) for kind in ("tls", "shell", "dns")) + ")"),
     "pseudonymise_host": (lambda: S.pseudonym(F.col("agent_id")), "left(sha256(agent_id), 12)"),
     "evidence_truncation": (lambda: S.truncated(F.repeat("cmdline", 12)), "CASE WHEN length(repeat(cmdline, 12)) > 200 THEN left(repeat(cmdline, 12), 200) || ' [truncated]' ELSE repeat(cmdline, 12) END"),
 }
@@ -291,9 +306,13 @@ def _(spark, d):
     return rules.detect(scripts(spark, d), names, ("page_id",))
 
 
-@register("content_signature_scan", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 'license' ELSE '' END AS matched FROM documents WHERE text IS NOT NULL")
+#: Texts of documents with what a web shell holds, for some; in both engines.
+_SCANNED = "CASE WHEN doc_id % 7 = 0 THEN concat(coalesce(text, ''), ' <?PHP EVAL(Base64_Decode(x)') WHEN doc_id % 7 = 1 THEN concat(text, ' <?php eval(') ELSE text END"
+
+
+@register("content_signature_scan", f"SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(t, 'license') THEN 'license' END, CASE WHEN contains(t, '<?php') AND contains(t, 'eval(') AND contains(t, 'base64_decode') THEN 'webshell' END], lambda x: x IS NOT NULL), ',') AS matched FROM (SELECT doc_id, lower({_SCANNED}) AS t FROM documents)")
 def _(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text IS NOT NULL")
+    docs = spark.read.parquet(f"{d}/documents.parquet").withColumn("text", F.expr(_SCANNED))
     return rules.content_signatures(docs, "text", {"license": ("any", ["license"]), "webshell": ("all", ["<?php", "eval(", "base64_decode"])}).select("doc_id", F.array_join("matched", ",").alias("matched"))
 
 
@@ -342,9 +361,25 @@ def hot(where: str, keys: str, width: int, at_least: int, columns: str = "") ->
 _PLAIN = "SELECT event_id FROM g WHERE opens"
 
 
-@on_ev("self_spawn", _PLAIN, hot("type = 'exec'", "tenant_id, agent_id, ppid, comm", 4 * DAY, 2))
+#: Windows and other hosts, programs that are let pass in their places and not, brokers among the parents (processes 101 to 103 stand for them), the agent's helpers.
+_SPAWN = {
+    "comm": "CASE k % 8 WHEN 1 THEN 'SVCHOST.exe' WHEN 2 THEN 'werfault.EXE' WHEN 3 THEN 'RUNTIMEbroker.exe' WHEN 4 THEN 'Wevtutil.exe' ELSE comm END",
+    "ppid": "99 + ppid",
+    "image_path": r"CASE WHEN k % 8 IN (1, 2, 4) AND k % 3 != 0 THEN 'C:\\Windows\\System32\\x.exe' ELSE image_path END",
+    "parent_comm": "CASE WHEN k % 6 = 1 THEN 'services.exe' WHEN k % 6 = 2 THEN 'cmd.exe' ELSE NULL END",
+}
+_PARENT_PATH = r"CASE WHEN k % 3 = 1 THEN 'C:\\Windows\\System32\\RuntimeBroker.exe' WHEN k % 3 = 2 THEN '/tmp/RuntimeBroker.exe' END"
+_SPAWN_CTE = "se AS (SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in _SPAWN.items()).replace("\\\\", "\\") + f"), {_PARENT_PATH.replace(chr(92) * 2, chr(92))} AS pp FROM ev), "
+_SPAWN_CTE += r"""sp AS (SELECT x.*, lower((SELECT y.comm FROM se y WHERE y.type = 'exec' AND y.agent_id = x.agent_id AND y.pid = x.ppid AND (y.ts_us, y.event_id) <= (x.ts_us, x.event_id) ORDER BY y.ts_us DESC, y.event_id DESC LIMIT 1)) AS parent,
+ starts_with(lower(image_path), 'c:\windows\') OR regexp_matches(lower(image_path), '^/(usr|bin|sbin|lib|opt)/') AS placed FROM se x WHERE type = 'exec' AND k % 10 != 9),
+sq AS (SELECT * FROM sp WHERE NOT coalesce(lower(comm) IN ('svchost.exe', 'werfault.exe') AND placed AND (lower(comm) != 'svchost.exe' OR parent_comm IS NULL OR parent_comm = 'services.exe'), false)
+ AND NOT coalesce(parent = 'runtimebroker.exe' AND (pp IS NULL OR starts_with(lower(pp), 'c:\windows\')), false) AND NOT (lower(comm) = 'wevtutil.exe' AND placed AND ppid = 101)), """.replace("\\\\", "\\")
+
+
+@on_ev("self_spawn", _PLAIN, _SPAWN_CTE + hot("true", "tenant_id, agent_id, ppid, comm", 20 * DAY, 2).replace("FROM ev", "FROM sq"))
 def _(ev):
-    return windows.self_spawn(ev, 4 * DAY, 2).select("event_id")
+    rows = ev.withColumns({**{c: F.expr(e) for c, e in _SPAWN.items()}, "parent_image_path": F.expr(_PARENT_PATH)})
+    return windows.self_spawn(rows, 20 * DAY, 2, F.col("k") % 10 != 9, F.lit(101)).select("event_id")
 
 
 #: Network events that meet every exclusion of the beacon: the same expressions in both engines.
