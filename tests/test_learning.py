@@ -28,3 +28,92 @@ def test_quantiles_by_selection(spark, kind):
             assert got == [None] * len(shares)
             continue
         assert got == pytest.approx([float(np.quantile(x, s)) for s in shares], rel=1e-9)
+
+
+def vectors(spark, n=3000, width=4, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, width))
+    x[:10] += 8
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>").repartition(6)
+
+
+def test_samples_are_the_rows_of_least_hash(spark):
+    x, df = vectors(spark)
+    drawn = learning.samples(df, "features", "id", 7, 64, 42).toPandas()
+    at = {tuple(v): i for i, v in enumerate(x)}
+    own = {r["id"]: r["h"] & 0xFFFFFFFFFFFFFFFF for r in df.select("id", F.xxhash64("id").alias("h")).collect()}
+    names = learning._mixed((np.arange(1, 8, dtype=np.uint64) << np.uint64(20)) ^ np.uint64(42))
+    for tree in range(7):
+        h = {i: int(learning._mixed(np.array([own[i]], np.uint64) ^ names[tree])[0]) for i in own}
+        want = sorted(h, key=h.get)[:64]
+        got = drawn[drawn["tree"] == tree].sort_values("h").head(64)
+        assert [at[tuple(v)] for v in got["features"]] == want
+    assert len(drawn) < 7 * 64 * 3
+
+
+def test_trees_hold_their_samples(spark):
+    x, df = vectors(spark)
+    nodes = learning.forest_fit(df, trees=12, sample=64).toPandas()
+    assert learning.forest_fit(df.repartition(2), trees=12, sample=64).toPandas().sort_values(["tree", "node"]).reset_index(drop=True).equals(nodes.sort_values(["tree", "node"]).reset_index(drop=True))
+    for _, t in nodes.groupby("tree"):
+        t = t.set_index("node")
+        assert t.loc[0, "n"] == 64
+        inner = t[t["feature"] >= 0]
+        assert (inner["n"].to_numpy() == t.loc[inner["left"], "n"].to_numpy() + t.loc[inner["right"], "n"].to_numpy()).all()
+
+        def depth(node, d=0, t=t):
+            return d if t.loc[node, "feature"] < 0 else max(depth(t.loc[node, "left"], d + 1), depth(t.loc[node, "right"], d + 1))
+
+        assert depth(0) <= 6
+
+
+def walked(nodes, x):
+    """Path lengths of one vector, tree by tree, by hand."""
+    c = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    out = []
+    for _, t in nodes.groupby("tree"):
+        t = t.set_index("node")
+        node = depth = 0
+        while t.loc[node, "feature"] >= 0:
+            node = t.loc[node, "left"] if x[int(t.loc[node, "feature"])] <= t.loc[node, "threshold"] else t.loc[node, "right"]
+            depth += 1
+        out.append((depth + c(t.loc[node, "n"]), c(t.loc[0, "n"])))
+    depth, norm = np.mean(out, axis=0)
+    return -(2 ** (-depth / norm))
+
+
+def test_scores_and_attributions(spark):
+    x, df = vectors(spark, 400)
+    fitted = learning.forest_fit(df, trees=10, sample=50)
+    nodes = fitted.toPandas()
+    got = {r["id"]: r for r in learning.forest_score(df, fitted).collect()}
+    for i in (0, 5, 50, 399):
+        assert got[i]["score"] == pytest.approx(walked(nodes, x[i]))
+        assert sum(got[i]["attribution"]) == pytest.approx(got[i]["expected_depth"] - got[i]["depth"])
+    assert np.mean([got[i]["score"] for i in range(10)]) < np.mean([got[i]["score"] for i in range(10, 400)])
+
+
+def test_offset_and_threshold(spark):
+    _, df = vectors(spark, 600)
+    twice = df.unionByName(df)  # equal vectors count once
+    nodes, about = learning.train_forest(twice, trees=20, sample=64)
+    parts = learning.split(df.select(F.xxhash64("features").alias("id"), "features"), "id")
+    scores = {p: [r["score"] for r in learning.forest_score(parts.where(F.col("part") == p), nodes).collect()] for p in ("train", "calibrate")}
+    assert about["n_train"] + about["n_calibrate"] == 600 and abs(about["n_train"] - 420) < 60
+    assert about["offset"] == pytest.approx(np.quantile(scores["train"], 0.05))
+    assert about["threshold"] == pytest.approx(np.quantile(scores["calibrate"], 0.005) - about["offset"])
+    judged = learning.decide(learning.forest_score(df, nodes), about["offset"], about["threshold"]).collect()
+    assert 0 < sum(r["anomalous"] for r in judged) < 60
+    with pytest.raises(ValueError, match="distinct"):
+        learning.train_forest(df.limit(15))
+
+
+def test_robustness_and_floor(spark):
+    rows = [("path", 1, -0.7, -0.5), ("path", 1, -0.6, -0.65), ("path", 1, -0.3, -0.2), ("path", 2, -0.3, -0.1)]
+    got = {(r["mutator"], r["intensity"]): r for r in learning.robustness(spark.createDataFrame(rows, "mutator string, intensity int, before double, after double"), -0.55).collect()}
+    one = got["path", 1]
+    assert (one["detected"], one["escaped"], one["escape_rate"]) == (2, 1, 0.5) and one["median_delta"] == pytest.approx(0.1) and one["max_delta"] == pytest.approx(0.2)
+    assert got["path", 2]["escape_rate"] == 0.0
+    card = lambda rate, delta: spark.createDataFrame([("path", 1, rate, delta)], "mutator string, intensity int, escape_rate double, median_delta double")
+    for rate, delta, passed in ((0.25, 0.2, True), (0.26, 0.2, False), (0.2, 0.31, False)):
+        assert learning.floor_check(card(rate, delta), card(0.2, 0.2)).first()["passed"] is passed

@@ -159,15 +159,41 @@ def expected_depth(n):
 TREE = "tree int, node int, feature int, threshold double, left int, right int, n long"
 
 
-def forest_fit(vectors: DataFrame, features: str = "features", key: str = "id", trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """An isolation forest as a table of nodes. Each tree has its own sample, drawn by hash; trees are built in parallel."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def samples(vectors: DataFrame, features: str, key: str, trees: int, sample: int, seed: int) -> DataFrame:
+    """tree, h, features: for each tree the rows of least hash, so many or a few more.
+
+    A row and a tree give a hash; a task computes those of a block of rows at once and keeps the pairs below a bound that twice the sample is expected to meet (with 256, fewer than the sample
+    do with a chance below 1e-30), so a row is copied once for each tree that may take it.
+    """
     n = vectors.count()
-    share = min(1.0, 1.3 * sample / max(n, 1))
-    drawn = vectors.select(key, features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(seed).alias("__s"))
-    drawn = drawn.withColumn("__h", F.xxhash64(key, "tree", "__s")).where(F.pmod("__h", F.lit(1_000_000)) < int(share * 1_000_000))
+    below = 2**64 - 1 if n <= 2 * sample else int(2 * sample / n * 2**64)
+    names = _mixed((np.arange(1, trees + 1, dtype=np.uint64) << np.uint64(20)) ^ np.uint64(seed))
+
+    def run(batches):
+        for b in batches:
+            own = b["__h"].to_numpy().astype(np.int64).view(np.uint64)
+            for lo in range(0, len(b), 4_096):
+                h = _mixed(own[lo : lo + 4_096, None] ^ names[None, :])
+                i, t = np.nonzero(h <= np.uint64(below))
+                yield pd.DataFrame({"tree": t.astype(np.int32), "h": (h[i, t] >> np.uint64(1)).astype(np.int64), features: b[features].iloc[lo + i].to_list()})
+
+    return vectors.select(F.xxhash64(key).alias("__h"), features).mapInPandas(run, f"tree int, h long, {features} array<double>")
+
+
+def forest_fit(vectors: DataFrame, features: str = "features", key: str = "id", trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+    """An isolation forest as a table of nodes. Each tree has its own sample, the rows of least hash; trees are built in parallel."""
+    drawn = samples(vectors.withColumn(features, F.col(features).cast("array<double>")), features, key, trees, sample, seed)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__h").head(sample)
+        pdf = pdf.sort_values("h").head(sample)
         tree = int(pdf["tree"].iloc[0])
         x = np.stack(pdf[features].to_list()).astype(float)
         rng = np.random.default_rng(seed * 1_000_003 + tree)
@@ -247,6 +273,33 @@ def forest_score(vectors: DataFrame, nodes: DataFrame, features: str = "features
     return vectors.select(key, features).mapInPandas(run, f"{key} {kind}, depth double, expected_depth double, score double, attribution array<double>")
 
 
+#: Fewer distinct vectors support no split and no threshold.
+LEAST_VECTORS = 20
+
+
+def train_forest(vectors: DataFrame, features: str = "features", trees: int = 100, sample: int = 256, contamination: float = 0.05, budget: float = 5.0, rate: float = 1000.0, seed: int = 42) -> tuple[DataFrame, dict]:
+    """Nodes of a forest, and what goes with it: n_train, n_calibrate, offset, threshold.
+
+    Equal vectors count once. Seven in ten (by hash) are learnt from; the offset is the score that a share (contamination) of them falls below, and the threshold the decision (score less offset) that so many
+    of a day's benign rows, as the others show them, fall below.
+    """
+    distinct = vectors.select(F.col(features).cast("array<double>").alias("features")).distinct().withColumn("id", F.xxhash64("features"))
+    parts = split(distinct, "id")
+    train, rest = (parts.where(F.col("part") == part).select("id", "features") for part in ("train", "calibrate"))
+    n_train, n_rest = train.count(), rest.count()
+    if n_train + n_rest < LEAST_VECTORS:
+        raise ValueError(f"only {n_train + n_rest} distinct vectors, {LEAST_VECTORS} are needed")
+    nodes = forest_fit(train, trees=trees, sample=sample, seed=seed)
+    (offset,), _ = exact_quantiles(forest_score(train, nodes), "score", [contamination])
+    (low,), _ = exact_quantiles(forest_score(rest, nodes), "score", [budget / rate])
+    return nodes, {"n_train": n_train, "n_calibrate": n_rest, "offset": offset, "threshold": low - offset}
+
+
+def decide(scored: DataFrame, offset: float, threshold: float) -> DataFrame:
+    """Scores with decision (score less offset: negative for outliers) and anomalous (at or below the threshold)."""
+    return scored.withColumn("decision", F.col("score") - offset).withColumn("anomalous", F.col("decision") <= threshold)
+
+
 def mutate(rows: DataFrame, cmd: str = "cmdline", key: str = "id", intensities: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Each row under each mutator and intensity: path substitution, argument reorder, fake parent, lineage removed.
 

@@ -950,13 +950,23 @@ def _(ev):
     return _lines(ev).select("event_id", *(c.alias(n) for n, c in learning.lineage_features(F.col("parent"), F.col("place")).items()))
 
 
-@register("combined_features")
-def _(spark, d):
-    ev = telemetry(spark, d)
+_COMBINED = ["spawn", "connect", "filewrite", "distinct_daddr", "distinct_dport", "full_chain", "span_s", "event_count"]
+_VECTOR_SQL = f"cv AS (SELECT agent_id, pid, max((type = 'exec')::INT) AS spawn, max((type = 'connect')::INT) AS connect, max((type = 'file_open' AND ((flags & 3) IN (1, 2) OR (flags & 64) != 0))::INT) AS filewrite, count(DISTINCT daddr) FILTER (type = 'connect') AS distinct_daddr, count(DISTINCT dport) FILTER (type = 'connect') AS distinct_dport, (max(ts_us) - min(ts_us)) / 1e6 AS span_s, count(*) AS event_count, spawn * connect * filewrite AS full_chain FROM (SELECT *, max(ts_us) OVER (PARTITION BY agent_id, pid) AS l FROM ev) WHERE ts_us >= l - {10 * DAY} GROUP BY agent_id, pid)"
+
+
+@on_ev("combined_features", f"SELECT event_id, {_CMD_SQL}, {_LINEAGE_SQL}, {', '.join(_COMBINED)} FROM l JOIN cv USING (agent_id, pid)", _LINES.replace("SELECT event_id,", "SELECT event_id, agent_id, pid,") + ", " + _VECTOR_SQL)
+def combined(ev):
     vec = fleet.correlation_vector(ev, ["agent_id", "pid"], 10 * DAY)
     rows = _lines(ev).join(vec, ["agent_id", "pid"], "left")
     features = learning.cmdline_features(F.col("line")) | learning.lineage_features(F.col("parent"), F.col("place"))
-    return rows.select("event_id", *(c.cast("double").alias(n) for n, c in features.items()), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in ("spawn", "connect", "filewrite", "distinct_daddr", "distinct_dport", "full_chain", "span_s", "event_count")))
+    return rows.select("event_id", *(c.cast("double").alias(n) for n, c in features.items()), *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in _COMBINED))
+
+
+@register("behavior_model")
+def _(spark, d):
+    rows = combined(telemetry(spark, d))
+    _, about = learning.train_forest(rows.select(F.array(*(c for c in rows.columns if c != "event_id")).alias("features")))
+    return spark.createDataFrame([tuple(about.values())], ", ".join(f"{k} {'long' if k.startswith('n_') else 'double'}" for k in about))
 
 
 @register("train_calibrate_split")
