@@ -7,10 +7,9 @@ fail with a probability of 1e-5 a side.
 
 Copies (equal sets) collapse to one class first, named by a hash of its fingerprint. Every pair that is linked is confirmed on full sets, in rounds: a document
 is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
-with the components so far. What is still apart within a bucket is then compared with every member outside its component, from
-the smaller side, unless sizes or parities rule the link out: none is lost, and a bucket whose
-members are already joined costs no pairs. Where more than STRAYS members of a bucket lie outside its main component (texts that share much of their wording but link with
-nothing), its members are not compared with one another: sets that are similar enough share one of their n - ceil(0.8 n) + 1 rarest shingles, so they meet by those.
+with the components so far. Rounds go on while they find links. What is then still apart within a bucket need not be compared pair by pair: sets that are similar enough share one of
+their n - ceil(0.8 n) + 1 rarest shingles, so they meet by those, unless sizes or parities rule the link out. None is lost however large a bucket is, a bucket whose members are joined
+costs nothing more, and texts that share much of their wording but link with nothing (boilerplate) hardly meet.
 
 A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be split by adaptive execution; the minimum in
 each bucket is pre-aggregated. Every intermediate is a table in the shared folder.
@@ -34,8 +33,8 @@ SIDE, ROWS = 16, 3
 THRESHOLD = 80
 #: Cells of the parity test.
 CELLS = 2048
-#: Members of a bucket outside its main component that are compared with all the others; where there are more, they meet by rare shingles.
-STRAYS = 64
+#: Words of 64 cells in a coarser test.
+COARSE = 4
 #: Rounds, at most, in which each document is compared with one centre of its open buckets; they end where fewer than one pair in FEW is a link.
 ROUNDS, FEW = 8, 8
 
@@ -152,7 +151,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def by_rare_shingles(space: Workspace, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a, b of members (id, comp) in different components whose sizes allow the similarity and which share one of their rarest shingles, as similar sets must.
+    """Pairs a, b of members (id, comp) in different components whose sizes and parities allow the similarity and which share one of their rarest shingles, as similar sets must.
 
     Shingles are ordered by the number of members that hold them, then by themselves; a set of n that shares none of its first n - ceil(n * threshold / 100) + 1 with
     another's shares too few with it.
@@ -162,16 +161,25 @@ def by_rare_shingles(space: Workspace, members: DataFrame, sets: DataFrame, thre
     count = space.keep(held.groupBy("t").agg(F.count(F.lit(1)).alias("f")))
     length = F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int") + 1
     rarest = held.join(count, "t").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("x"))
-    rarest = rarest.select("id", "comp", "n", F.explode(F.slice("x", F.lit(1), length)).alias("x")).where("x.f > 1").select("id", "comp", "n", "x.t")
+    # parities of COARSE cells, each the sum of several
+    cells = [F.aggregate(F.array(*(F.get("p", F.lit(j)) for j in range(i, CELLS // 64, COARSE))), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)) for i in range(COARSE)]
+    rarest = rarest.join(sets.select("id", *(c.alias(f"q{i}") for i, c in enumerate(cells))), "id")
+    carried = ["id", "comp", "n", *(f"q{i}" for i in range(COARSE))]
+    rarest = rarest.select(*carried, F.explode(F.slice("x", F.lit(1), length)).alias("x")).where("x.f > 1").select(*carried, "x.t")
     rarest = space.keep(rarest)
     space.drop(held)
     split = rarest.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
-    open_ = split.groupBy("t").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("t", "main")
-    open_ = space.keep(rarest.join(open_, "t"))
-    x = open_.where("comp != main").select("t", F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("n").alias("xn"))
-    y = open_.select("t", F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("n").alias("yn"))
-    fits = (F.col("xc") != F.col("yc")) & (100 * F.least("xn", "yn") >= threshold * F.greatest("xn", "yn"))
-    return x.join(y, "t").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    mains = split.groupBy("t").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("t", "main")
+    open_ = space.keep(rarest.join(mains, "t"))
+    sided = lambda rows, side: rows.select("t", *(F.col(c).alias(f"{side}_{c}") for c in carried))
+    fits = (F.col("x_comp") != F.col("y_comp")) & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
+    # cells of odd parity that differ are no more than the shingles that only one of them has
+    differ = sum((F.bit_count(F.col(f"x_q{i}").bitwiseXOR(F.col(f"y_q{i}"))) for i in range(COARSE)), F.lit(0))
+    fits = fits & ((100 + threshold) * differ <= (100 - threshold) * (F.col("x_n") + F.col("y_n")))
+    # a pair is met once, whichever of its sides is outside the main component
+    once = (F.col("y_comp") == F.col("main")) | (F.col("x_id") < F.col("y_id"))
+    x, y = sided(open_.where("comp != main"), "x"), open_.select("t", "main", *(F.col(c).alias(f"y_{c}") for c in carried))
+    return x.join(y, "t").where(fits & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
 def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool = True) -> DataFrame:
@@ -223,23 +231,10 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
         labels = components(space, nodes, links, labels)
         if links.count() * FEW < pairs.count() or pairs.isEmpty():
             break
-    # Whatever is still apart within a bucket: members outside its most frequent component against all others.
-    sided = space.keep(members.join(labels.join(size, "id").select(F.col("id").alias("rep"), "comp", "n"), "rep"))
-    split = sided.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
-    largest = F.max(F.struct("in_comp", "comp"))
-    main = split.groupBy("key").agg(largest["comp"].alias("main"), F.count(F.lit(1)).alias("comps"), (F.sum("in_comp") - largest["in_comp"]).alias("strays")).where("comps > 1")
-    main = space.keep(main.select("key", "main", "strays"))
-    wide = space.keep(sided.join(main.where(F.col("strays") > STRAYS), "key").select(F.col("rep").alias("id"), "comp").distinct())
-    narrow = space.keep(sided.join(main.where(F.col("strays") <= STRAYS).select("key", "main"), "key"))
-    space.drop(sided)
-    of = lambda rows, side: rows.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("rep", "comp", "n")))
-    fits = (F.col("x_comp") != F.col("y_comp")) & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
-    rest = of(narrow.where("comp != main"), "x").join(of(narrow, "y"), "key").where(fits).select(*ordered("x_rep", "y_rep"))
-    if not wide.isEmpty():
-        rest = rest.unionByName(by_rare_shingles(space, wide, sets, threshold))
-    rest = rest.distinct()
+    # Whatever is still apart within a bucket meets by its rarest shingles.
+    apart = members.select(F.col("rep").alias("id")).distinct().join(labels, "id")
+    rest = by_rare_shingles(space, space.keep(apart), sets, threshold)
     rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
-    space.drop(narrow)
     # cells of odd parity that differ are no more than the shingles that only one of them has
     of = lambda side: sets.select(F.col("id").alias(side), F.col("p").alias(f"p{side}"), F.size("s").alias(f"n{side}"))
     differ = F.aggregate(F.zip_with("pa", "pb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
