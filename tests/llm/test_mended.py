@@ -96,8 +96,8 @@ def test_boilerplate_links_as_brute_force(spark, monkeypatch):
             w[rng.randrange(len(w))] = rng.choice(["x", "y", "z"])
         texts.append(" ".join(w))
     texts += texts[:5]
-    for strays in (neardup.STRAYS, 4):
-        monkeypatch.setattr(neardup, "STRAYS", strays)
+    for rounds in (neardup.ROUNDS, 1):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
         got = {r["doc_id"]: r["component_id"] for r in neardup.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
         assert [got[i] for i in range(len(texts))] == linked(texts)
 
