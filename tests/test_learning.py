@@ -117,3 +117,50 @@ def test_robustness_and_floor(spark):
     card = lambda rate, delta: spark.createDataFrame([("path", 1, rate, delta)], "mutator string, intensity int, escape_rate double, median_delta double")
     for rate, delta, passed in ((0.25, 0.2, True), (0.26, 0.2, False), (0.2, 0.31, False)):
         assert learning.floor_check(card(rate, delta), card(0.2, 0.2)).first()["passed"] is passed
+
+
+def test_grouped_quantiles_by_cell(spark):
+    rng = np.random.default_rng(9)
+    x = {"a": rng.normal(size=501), "b": rng.choice([0.25, -0.5], 300), "c": np.array([1.5])}
+    rows = [(g, float(v), 1 + i % 3) for g, xs in x.items() for i, v in enumerate(xs)]
+    df = spark.createDataFrame([*rows, ("a", None, 7)], "g string, x double, n int").repartition(5)
+    for share in (0.0, 0.05, 0.5, 1.0):
+        got = {r["g"]: r["quantile"] for r in learning.group_quantile(df, ["g"], "x", share, "n").collect()}
+        assert got == pytest.approx({g: float(np.quantile(np.repeat(xs, [1 + i % 3 for i in range(len(xs))]), share)) for g, xs in x.items()})
+    every = np.concatenate([np.repeat(xs, [1 + i % 3 for i in range(len(xs))]) for xs in x.values()])
+    assert learning.group_quantile(df, [], "x", 0.3, "n").first()["quantile"] == pytest.approx(float(np.quantile(every, 0.3)))
+    assert learning.group_quantile(df.limit(0), [], "x", 0.3, "n").first()["quantile"] is None
+
+
+def test_robustness_of_rows_that_stand_for_several(spark):
+    schema = "mutator string, intensity int, before double, after double"
+    rows = [("path", 1, -0.7, -0.5), ("path", 1, -0.6, -0.65), ("path", 1, -0.3, -0.2), ("path", 2, -0.3, -0.1)]
+    many = spark.createDataFrame([r for i, r in enumerate(rows) for _ in range(i + 2)], schema)
+    few = spark.createDataFrame([(*r, i + 2) for i, r in enumerate(rows)], schema + ", n long")
+    got, want = (sorted(learning.robustness(df, -0.55).collect()) for df in (few, many))
+    assert [r[:4] for r in got] == [r[:4] for r in want] and (got[0]["detected"], got[0]["escaped"]) == (5, 2)
+    assert [x for r in got for x in r[4:]] == pytest.approx([x for r in want for x in r[4:]])
+
+
+def test_scores_of_several_columns_are_those_with_attributions(spark):
+    x, df = vectors(spark, 300)
+    nodes = learning.forest_fit(df, trees=10, sample=50)
+    twice = df.unionByName(df).select("id", "features", F.transform("features", lambda v: v / 2).alias("half"))
+    got = {r["id"]: r for r in learning.forest_scores(twice, learning.Forest(nodes.toPandas()), ["features", "half"]).collect()}
+    whole = {r["id"]: r["score"] for r in learning.forest_score(df, nodes).collect()}
+    half = {r["id"]: r["score"] for r in learning.forest_score(twice.select("id", F.col("half").alias("features")), nodes).collect()}
+    assert {i: r["features"] for i, r in got.items()} == pytest.approx(whole) and {i: r["half"] for i, r in got.items()} == pytest.approx(half)
+
+
+def test_vectors_are_made_of_drawn_rows(spark):
+    _, df = vectors(spark, 500)
+    made = learning.forest_fit(df.select("id", F.struct("features").alias("raw")), "raw", trees=5, sample=32, vector=lambda r: r["features"])
+    one, two = (n.toPandas().sort_values(["tree", "node"]).reset_index(drop=True) for n in (made, learning.forest_fit(df, trees=5, sample=32)))
+    assert one.equals(two)
+
+
+def test_blocks_of_which_nothing_is_drawn(spark):
+    df = spark.range(20_000, numPartitions=2).select("id", F.array(F.col("id").cast("double")).alias("features"))
+    drawn = learning.samples(df, "features", "id", 1, 2, 42).collect()
+    assert 0 < len(drawn) < 20 and all(len(r["features"]) == 1 for r in drawn)
+    assert learning.forest_fit(df, trees=1, sample=2).count() > 0

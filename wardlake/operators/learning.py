@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 import operator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalar as S
 
@@ -86,12 +89,15 @@ SORTED, BESIDE = 100_000, 0.001
 
 def exact_quantiles(df: DataFrame, value: str, shares: list[float], most: int = SORTED) -> tuple[list[float | None], int]:
     """Quantiles with interpolation (as percentile), and the number of values that are not null, exactly and without a task that holds them all."""
-    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    n, lowest, highest = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
-    if not n:
-        return [None] * len(shares), 0
-    ranks = {k for share in shares for k in (math.floor(share * (n - 1)), math.ceil(share * (n - 1)))}
-    at = {k: _ranked(x, k, n, lowest, highest, most) for k in sorted(ranks)}
+    x = df.select(F.col(value).cast("double").alias("x")).where("x IS NOT NULL").persist()  # every pass reads it
+    try:
+        n, lowest, highest = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+        if not n:
+            return [None] * len(shares), 0
+        ranks = {k for share in shares for k in (math.floor(share * (n - 1)), math.ceil(share * (n - 1)))}
+        at = {k: _ranked(x, k, n, lowest, highest, most) for k in sorted(ranks)}
+    finally:
+        x.unpersist()
 
     def quantile(share: float) -> float:
         one, two = math.floor(share * (n - 1)), math.ceil(share * (n - 1))
@@ -100,6 +106,27 @@ def exact_quantiles(df: DataFrame, value: str, shares: list[float], most: int =
     return [quantile(share) for share in shares], n
 
 
+#: Cells of a unit in which values are counted.
+CELLS = 1 << 14
+
+
+def group_quantile(df: DataFrame, keys: list[str], value: str, share: float, n: str | None = None, out: str = "quantile") -> DataFrame:
+    """keys (not null), quantile with interpolation (as percentile) of each group's values, a row standing for n.
+
+    Equal values are one, and are counted by cell first; only those of the one or two cells where the ranks lie are put in order, so no task holds a group.
+    """
+    values = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("x")).agg(F.sum(F.col(n) if n else F.lit(1)).alias("n")).withColumn("cell", F.floor(F.col("x") * CELLS))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    so_far = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = values.groupBy(*keys, "cell").agg(F.sum("n").alias("held")).withColumns({"below": F.sum("held").over(so_far(group.orderBy("cell"))) - F.col("held"), "place": share * (F.sum("held").over(group) - 1)})
+    cells = cells.where((F.col("below") <= F.ceil("place")) & (F.col("below") + F.col("held") > F.floor("place"))).drop("held")
+    upto = F.col("below") + F.sum("n").over(so_far(Window.partitionBy(*keys, "cell").orderBy("x")))
+    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("x")))
+    ends = values.join(F.broadcast(cells), [*keys, "cell"]).withColumn("upto", upto).groupBy(*keys).agg(at(F.floor("place")).alias("one"), at(F.ceil("place")).alias("two"), F.first("place").alias("place"))
+    part = F.col("place") - F.floor("place")
+    return ends.select(*keys, F.when(F.col("one") == F.col("two"), F.col("one")).otherwise((1 - part) * F.col("one") + part * F.col("two")).alias(out))
+
+
 def _ranked(x: DataFrame, k: int, n: int, lo: float, hi: float, most: int) -> float:
     """The value of rank k (from 0).
 
@@ -179,18 +206,22 @@ def samples(vectors: DataFrame, features: str, key: str, trees: int, sample: int
 
     def run(batches):
         for b in batches:
-            own = b["__h"].to_numpy().astype(np.int64).view(np.uint64)
-            for lo in range(0, len(b), 4_096):
+            own = b.column("__h").to_numpy().view(np.uint64)
+            for lo in range(0, len(own), 4_096):
                 h = _mixed(own[lo : lo + 4_096, None] ^ names[None, :])
                 i, t = np.nonzero(h <= np.uint64(below))
-                yield pd.DataFrame({"tree": t.astype(np.int32), "h": (h[i, t] >> np.uint64(1)).astype(np.int64), features: b[features].iloc[lo + i].to_list()})
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array((h[i, t] >> np.uint64(1)).astype(np.int64)), b.column(features).take(pa.array(lo + i))], ["tree", "h", features])
+
+    return vectors.select(F.xxhash64(key).alias("__h"), features).mapInArrow(run, f"tree int, h long, {features} {vectors.schema[features].dataType.simpleString()}")
 
-    return vectors.select(F.xxhash64(key).alias("__h"), features).mapInPandas(run, f"tree int, h long, {features} array<double>")
 
+def forest_fit(vectors: DataFrame, features: str = "features", key: str = "id", trees: int = 100, sample: int = 256, seed: int = 42, vector: Callable[[Column], Column] | None = None) -> DataFrame:
+    """An isolation forest as a table of nodes. Each tree has its own sample, the rows of least hash; trees are built in parallel.
 
-def forest_fit(vectors: DataFrame, features: str = "features", key: str = "id", trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
-    """An isolation forest as a table of nodes. Each tree has its own sample, the rows of least hash; trees are built in parallel."""
-    drawn = samples(vectors.withColumn(features, F.col(features).cast("array<double>")), features, key, trees, sample, seed)
+    vector: makes the vector out of what the column holds, once a row is drawn.
+    """
+    drawn = samples(vectors if vector else vectors.withColumn(features, F.col(features).cast("array<double>")), features, key, trees, sample, seed)
+    drawn = drawn.withColumn(features, vector(F.col(features))) if vector else drawn
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h").head(sample)
@@ -237,6 +268,19 @@ class Forest:
             self.trees.append((f, thr, left, right, value, int(n[0])))
         self.norm = float(np.mean([expected_depth(t[5]) for t in self.trees])) if self.trees else 1.0
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """The anomaly score of each row (-2^(-depth/c))."""
+        total = np.zeros(len(x))
+        for f, thr, left, right, value, _ in self.trees:
+            at = np.zeros(len(x), int)
+            live = np.flatnonzero(f[at] >= 0)
+            while len(live):
+                node = at[live]
+                at[live] = np.where(x[live, f[node]] <= thr[node], left[node], right[node])
+                live = live[f[at[live]] >= 0]
+            total += value[at]
+        return -np.exp2(-(total / max(1, len(self.trees))) / self.norm)
+
     def walk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Mean path length of each row, the mean expected one, and each feature's share of the difference."""
         total, expected, parts = np.zeros(len(x)), 0.0, np.zeros_like(x, dtype=float)
@@ -268,11 +312,29 @@ def forest_score(vectors: DataFrame, nodes: DataFrame, features: str = "features
         for b in batches:
             x = np.stack(b[features].to_list()).astype(float) if len(b) else np.zeros((0, 1))
             depth, expected, parts = forest.value.walk(x)
-            yield pd.DataFrame({key: b[key], "depth": depth, "expected_depth": expected, "score": -np.exp2(-depth / forest.value.norm), "attribution": list(parts)})
+            yield pd.DataFrame({key: b[key], "depth": depth, "expected_depth": expected, "score": -np.exp2(-depth / forest.value.norm), "attribution": pd.Series(list(parts), dtype=object)})
 
     return vectors.select(key, features).mapInPandas(run, f"{key} {kind}, depth double, expected_depth double, score double, attribution array<double>")
 
 
+def forest_scores(vectors: DataFrame, forest: Forest, features: list[str]) -> DataFrame:
+    """vectors with the anomaly score of each of those columns in its place, without attributions; vectors of a task's batch that are equal are walked through once."""
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)
+
+    def scores(column: pa.Array) -> pa.Array:
+        if not len(column):
+            return pa.array([], pa.float64())
+        x, which = np.unique(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1), axis=0, return_inverse=True)
+        return pa.array(shared.value.scores(x)[which.ravel()])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([scores(c) if n in features else c for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
+
+    rows = vectors.withColumns({f: F.col(f).cast("array<double>") for f in features})
+    return rows.mapInArrow(run, T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in features else f for f in rows.schema.fields]))
+
+
 #: Fewer distinct vectors support no split and no threshold.
 LEAST_VECTORS = 20
 
@@ -284,15 +346,19 @@ def train_forest(vectors: DataFrame, features: str = "features", trees: int = 10
     of a day's benign rows, as the others show them, fall below.
     """
     distinct = vectors.select(F.col(features).cast("array<double>").alias("features")).distinct().withColumn("id", F.xxhash64("features"))
-    parts = split(distinct, "id")
-    train, rest = (parts.where(F.col("part") == part).select("id", "features") for part in ("train", "calibrate"))
-    n_train, n_rest = train.count(), rest.count()
-    if n_train + n_rest < LEAST_VECTORS:
-        raise ValueError(f"only {n_train + n_rest} distinct vectors, {LEAST_VECTORS} are needed")
-    nodes = forest_fit(train, trees=trees, sample=sample, seed=seed)
-    (offset,), _ = exact_quantiles(forest_score(train, nodes), "score", [contamination])
-    (low,), _ = exact_quantiles(forest_score(rest, nodes), "score", [budget / rate])
-    return nodes, {"n_train": n_train, "n_calibrate": n_rest, "offset": offset, "threshold": low - offset}
+    parts = split(distinct, "id").persist()  # counted, drawn from and scored
+    try:
+        train, rest = (parts.where(F.col("part") == part).select("id", "features") for part in ("train", "calibrate"))
+        n_train, n_rest = train.count(), rest.count()
+        if n_train + n_rest < LEAST_VECTORS:
+            raise ValueError(f"only {n_train + n_rest} distinct vectors, {LEAST_VECTORS} are needed")
+        nodes = forest_fit(train, trees=trees, sample=sample, seed=seed).toPandas()  # of bounded size; grown once
+        forest = Forest(nodes)
+        (offset,), _ = exact_quantiles(forest_scores(train.select("features"), forest, ["features"]), "features", [contamination])
+        (low,), _ = exact_quantiles(forest_scores(rest.select("features"), forest, ["features"]), "features", [budget / rate])
+    finally:
+        parts.unpersist()
+    return vectors.sparkSession.createDataFrame(nodes, TREE), {"n_train": n_train, "n_calibrate": n_rest, "offset": offset, "threshold": low - offset}
 
 
 def decide(scored: DataFrame, offset: float, threshold: float) -> DataFrame:
@@ -318,9 +384,14 @@ def mutate(rows: DataFrame, cmd: str = "cmdline", key: str = "id", intensities:
 
 
 def robustness(scored: DataFrame, threshold: float) -> DataFrame:
-    """By mutator and intensity: detections that escape, and how scores move. scored: mutator, intensity, before, after."""
+    """By mutator and intensity: detections that escape, and how scores move. scored: mutator, intensity, before, after and, where a row stands for several, n."""
+    keys = ["mutator", "intensity"]
+    rows = (scored if "n" in scored.columns else scored.withColumn("n", F.lit(1))).withColumn("delta", F.col("after") - F.col("before"))
     detected = F.col("before") <= threshold
-    return scored.groupBy("mutator", "intensity").agg(F.count_if(detected).alias("detected"), F.count_if(detected & (F.col("after") > threshold)).alias("escaped"), F.median(F.col("after") - F.col("before")).alias("median_delta"), F.max(F.col("after") - F.col("before")).alias("max_delta")).withColumn("escape_rate", F.when(F.col("detected") > 0, F.col("escaped") / F.col("detected")).otherwise(0.0))
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
+    sums = rows.groupBy(*keys).agg(count(detected).alias("detected"), count(detected & (F.col("after") > threshold)).alias("escaped"), F.max("delta").alias("max_delta"))
+    rate = F.when(F.col("detected") > 0, F.col("escaped") / F.col("detected")).otherwise(0.0)
+    return sums.join(group_quantile(rows, keys, "delta", 0.5, "n", "median_delta"), keys).select(*keys, "detected", "escaped", "median_delta", "max_delta", rate.alias("escape_rate"))
 
 
 def floor_check(site: DataFrame, overall: DataFrame, rate: float = 0.05, delta: float = 0.10) -> DataFrame:
