@@ -124,3 +124,8 @@ def test_streams_give_the_batch_rows(spark, data, tmp_path):
     want = detect(batch)
     got = spark.read.schema(want.schema).json(str(tmp_path / "det"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_event_xml_is_parsed_once(spark):
+    rows = logs.parse_event_xml(spark.createDataFrame([("<Event/>",)], "value string"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1

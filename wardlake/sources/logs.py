@@ -146,7 +146,9 @@ def parse_event_xml(rows: DataFrame, block: str = "value") -> DataFrame:
     Services, tasks (path: the actions of the nested definition, joined), accounts, logons and privileges (user: the account they are about, which for privileges is the subject), and files that a policy would
     block or did (name: the policy, path: expanded). Blocks that can't be read or have no record number are left out; fields that hold nothing or a dash are null.
     """
-    e = rows.withColumn("__e", F.from_xml(block, EVENT)).where(F.col("__e.System.EventRecordID").try_cast("long").isNotNull())
+    # a generator's row, which the optimiser neither pushes a condition through nor repeats: each block is parsed once
+    read = F.filter(F.array(F.struct(F.from_xml(block, EVENT).alias("__e"))), lambda x: x["__e"]["System"]["EventRecordID"].try_cast("long").isNotNull())
+    e = rows.select("*", F.inline(read))
     field = lambda name: F.get(F.filter("__e.EventData.Data", lambda d: d["_Name"] == name), F.lit(0))["_VALUE"]
     blank = lambda c: F.when(~F.trim(c).isin("", "-"), F.trim(c))
     data = lambda name: blank(field(name))
