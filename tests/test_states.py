@@ -236,3 +236,19 @@ def test_shells_near_requests(spark):
     got = pairing.web_shells(table(spark, shells), table(spark, asked).select("event_id", "tenant_id", "agent_id", "ts_us"), 12).collect()
     assert {r["event_id"]: (r["request_id"], r["delta_us"]) for r in got} == want and want
     assert pairing.web_shells(table(spark, shells), table(spark, asked).where("false").select("event_id", "tenant_id", "agent_id", "ts_us")).count() == 0
+
+
+def test_components_read_the_events_once(spark, tmp_path):
+    from wardlake.operators import graph
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("t", f"a{i % 3}", "connect", "sh", "c:\\x", f"10.0.0.{i % 2}", "bash", 0, "/p", f"h{i}", "u", "success") for i in range(12)]
+    ev = spark.createDataFrame(rows, "tenant_id string, agent_id string, type string, comm string, image_path string, daddr string, parent_comm string, flags int, path string, sha256 string, target_user string, outcome string")
+    got = graph.entity_components(ev.mapInArrow(counted, ev.schema), str(tmp_path), 2).collect()
+    assert read.value == 12 and got == []

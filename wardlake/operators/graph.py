@@ -86,7 +86,10 @@ def components(pairs: DataFrame, folder: str, keys: list[str]) -> DataFrame:
 
 def entity_components(ev: DataFrame, folder: str, most_hosts: int | None = None) -> DataFrame:
     """tenant_id, node, component for every entity that has an edge to another."""
-    return components(across_hosts(edges(ev), most_hosts), folder, ["tenant_id"])
+    graph = edges(ev)
+    at = f"{folder.rstrip('/')}/edges-{uuid.uuid4().hex}"
+    graph.write.parquet(at)  # read by pairs and by what is common
+    return components(across_hosts(ev.sparkSession.read.schema(graph.schema).parquet(at), most_hosts), folder, ["tenant_id"])
 
 
 def spread_over_hosts(ev: DataFrame, folder: str, at_least: int = 2, most_hosts: int | None = None) -> DataFrame:
