@@ -355,6 +355,14 @@ def test_every_training_text_is_learnt_from(spark):
     assert model.learnt_bits == vocab.width[ids].sum()
 
 
+def test_every_context_of_two_tokens_is_learnt_from():
+    keys, coded = np.arange(7, 107, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.ones(100, bool)
+    coded[[20, 70]] = False
+    place, context = lm.contexts(keys, np.array([0, 50, 99]), coded)
+    assert place.tolist() == [i for i in range(100) if i not in (0, 1, 20, 50, 51, 70, 99)]
+    assert len(set(context.tolist())) == len(place)
+
+
 def removed_by_brute_force(bodies, n=35):
     places = {}
     for i, t in enumerate(bodies):
