@@ -164,3 +164,16 @@ def test_blocks_of_which_nothing_is_drawn(spark):
     drawn = learning.samples(df, "features", "id", 1, 2, 42).collect()
     assert 0 < len(drawn) < 20 and all(len(r["features"]) == 1 for r in drawn)
     assert learning.forest_fit(df, trees=1, sample=2).count() > 0
+
+
+def test_training_makes_the_vectors_once(spark):
+    _, df = vectors(spark, 300)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    learning.train_forest(df.select("features").mapInArrow(counted, "features array<double>"), trees=5, sample=32)
+    assert made.value == 300
