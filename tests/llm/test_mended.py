@@ -111,3 +111,25 @@ def test_boilerplate_grows_with_its_rows(spark):
         assert neardup.find(df, k=2).where("kept").count() == n
         took.append(time.time() - began)
     assert took[1] < 4 * took[0] + 20
+
+
+def test_near_copies_that_do_not_link_hardly_meet(spark, monkeypatch):
+    rng = random.Random(25)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(words, n):
+        words = list(words)
+        for i in rng.sample(range(len(words)), n):
+            words[i] = f"n{rng.random()}"
+        return words
+
+    far = [changed(base, 12) for _ in range(200)]  # some 0.7 alike
+    texts = [" ".join(w) for w in far] + [" ".join(changed(w, n)) for w in far[:40] for n in (3, 7)]
+    made = []
+    met = neardup.by_rare_shingles
+    monkeypatch.setattr(neardup, "by_rare_shingles", lambda *a: made.append(met(*a)) or made[-1])
+    for rounds in (neardup.ROUNDS, 1):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
+        assert [got[i] for i in range(len(texts))] == linked(texts)
+        assert made[-1].count() < 10 * len(texts)

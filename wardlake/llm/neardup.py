@@ -8,7 +8,7 @@ fail with a probability of 1e-5 a side.
 Copies (equal sets) collapse to one class first, named by a hash of its fingerprint. Every pair that is linked is confirmed on full sets, in rounds: a document
 is compared with the most frequent centre (another one each round) of its buckets that is not yet in its component; each round ends
 with the components so far. Rounds go on while they find links. What is then still apart within a bucket need not be compared pair by pair: sets that are similar enough share one of
-their n - ceil(0.8 n) + 1 rarest shingles, so they meet by those, unless sizes or parities rule the link out. None is lost however large a bucket is, a bucket whose members are joined
+their n - ceil(0.8 n) + 1 rarest shingles, so they meet by those, unless sizes, ranks or parities rule the link out. None is lost however large a bucket is, a bucket whose members are joined
 costs nothing more, and texts that share much of their wording but link with nothing (boilerplate) hardly meet.
 
 A hot group's rows spread over all SIDE * SIDE tables; joins on centres can be split by adaptive execution; the minimum in
@@ -34,7 +34,9 @@ THRESHOLD = 80
 #: Cells of the parity test.
 CELLS = 2048
 #: Words of 64 cells in a coarser test.
-COARSE = 4
+COARSE = 8
+#: Of what is left after the rounds, one in SHARE is met before the others.
+SHARE = 8
 #: Rounds, at most, in which each document is compared with one centre of its open buckets; they end where fewer than one pair in FEW is a link.
 ROUNDS, FEW = 8, 8
 
@@ -150,35 +152,48 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * inter >= threshold * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def by_rare_shingles(space: Workspace, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """Pairs a, b of members (id, comp) in different components whose sizes and parities allow the similarity and which share one of their rarest shingles, as similar sets must.
+def rarest_shingles(space: Workspace, members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """id, n, k, t: the rarest shingles t of each member (id) that any other holds too, with the number k of its rarer ones.
 
     Shingles are ordered by the number of members that hold them, then by themselves; a set of n that shares none of its first n - ceil(n * threshold / 100) + 1 with
     another's shares too few with it.
     """
-    held = members.join(sets.select("id", "s"), "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("t"))
-    held = space.keep(held)
+    held = space.keep(members.select("id").join(sets.select("id", "s"), "id").select("id", F.size("s").alias("n"), F.explode("s").alias("t")))
     count = space.keep(held.groupBy("t").agg(F.count(F.lit(1)).alias("f")))
     length = F.col("n") - F.ceil(F.col("n") * threshold / 100).cast("int") + 1
-    rarest = held.join(count, "t").groupBy("id", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("x"))
-    # parities of COARSE cells, each the sum of several
-    cells = [F.aggregate(F.array(*(F.get("p", F.lit(j)) for j in range(i, CELLS // 64, COARSE))), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)) for i in range(COARSE)]
-    rarest = rarest.join(sets.select("id", *(c.alias(f"q{i}") for i, c in enumerate(cells))), "id")
-    carried = ["id", "comp", "n", *(f"q{i}" for i in range(COARSE))]
-    rarest = rarest.select(*carried, F.explode(F.slice("x", F.lit(1), length)).alias("x")).where("x.f > 1").select(*carried, "x.t")
-    rarest = space.keep(rarest)
+    rarest = held.join(count, "t").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("x"))
+    rarest = space.keep(rarest.select("id", "n", F.posexplode(F.slice("x", F.lit(1), length)).alias("k", "x")).where("x.f > 1").select("id", "n", "k", "x.t"))
     space.drop(held)
+    space.drop(count)
+    return rarest
+
+
+def by_rare_shingles(space: Workspace, members: DataFrame, sets: DataFrame, threshold: int, rarest: DataFrame | None = None, share: int = 1) -> DataFrame:
+    """Pairs a, b of members (id, comp) in different components whose sizes, ranks and parities allow the similarity and which share one of their rarest shingles, as similar sets must.
+
+    The first shingle that two sets share has all others that they share behind it in both, so a pair meets only where enough are left behind.
+
+    share: one side of a pair is one in so many members, by hash.
+    """
+    rarest = (rarest_shingles(space, members, sets, threshold) if rarest is None else rarest).join(members.select("id", "comp"), "id")
     split = rarest.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("in_comp"))
     mains = split.groupBy("t").agg(F.max(F.struct("in_comp", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("t", "main")
-    open_ = space.keep(rarest.join(mains, "t"))
+    # parities of COARSE cells, each the sum of several
+    cells = [F.aggregate(F.array(*(F.get("p", F.lit(j)) for j in range(i, CELLS // 64, COARSE))), F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b)) for i in range(COARSE)]
+    carried = ["id", "comp", "n", "k", *(f"q{i}" for i in range(COARSE))]
+    open_ = space.keep(rarest.join(mains, "t").join(sets.select("id", *(c.alias(f"q{i}") for i, c in enumerate(cells))), "id").select("t", "main", *carried))
     sided = lambda rows, side: rows.select("t", *(F.col(c).alias(f"{side}_{c}") for c in carried))
+    both = F.col("x_n") + F.col("y_n")
     fits = (F.col("x_comp") != F.col("y_comp")) & (100 * F.least("x_n", "y_n") >= threshold * F.greatest("x_n", "y_n"))
+    fits = fits & ((100 + threshold) * F.least(F.col("x_n") - F.col("x_k"), F.col("y_n") - F.col("y_k")) >= threshold * both)
     # cells of odd parity that differ are no more than the shingles that only one of them has
     differ = sum((F.bit_count(F.col(f"x_q{i}").bitwiseXOR(F.col(f"y_q{i}"))) for i in range(COARSE)), F.lit(0))
-    fits = fits & ((100 + threshold) * differ <= (100 - threshold) * (F.col("x_n") + F.col("y_n")))
+    fits = fits & ((100 + threshold) * differ <= (100 - threshold) * both)
     # a pair is met once, whichever of its sides is outside the main component
     once = (F.col("y_comp") == F.col("main")) | (F.col("x_id") < F.col("y_id"))
     x, y = sided(open_.where("comp != main"), "x"), open_.select("t", "main", *(F.col(c).alias(f"y_{c}") for c in carried))
+    if share > 1:
+        y, once = y.where(F.pmod(F.xxhash64("y_id"), F.lit(share)) == 0), F.lit(True)
     return x.join(y, "t").where(fits & once).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
 
 
@@ -231,16 +246,19 @@ def find(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD, lower: bool =
         labels = components(space, nodes, links, labels)
         if links.count() * FEW < pairs.count() or pairs.isEmpty():
             break
-    # Whatever is still apart within a bucket meets by its rarest shingles.
-    apart = members.select(F.col("rep").alias("id")).distinct().join(labels, "id")
-    rest = by_rare_shingles(space, space.keep(apart), sets, threshold)
-    rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    # Whatever is still apart within a bucket meets by its rarest shingles: first with one in SHARE of the others, which joins most of what has many links, then with all.
+    apart = space.keep(members.select(F.col("rep").alias("id")).distinct())
+    rarest = rarest_shingles(space, apart, sets, threshold)
     # cells of odd parity that differ are no more than the shingles that only one of them has
     of = lambda side: sets.select(F.col("id").alias(side), F.col("p").alias(f"p{side}"), F.size("s").alias(f"n{side}"))
     differ = F.aggregate(F.zip_with("pa", "pb", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    rest = space.keep(rest.join(of("a"), "a").join(of("b"), "b").where((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).select("a", "b"))
-    if not rest.isEmpty():
-        labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
+    for share in (SHARE, 1):
+        rest = by_rare_shingles(space, space.keep(apart.join(labels, "id")), sets, threshold, rarest, share)
+        rest = space.keep(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+        rest = space.keep(rest.join(of("a"), "a").join(of("b"), "b").where((100 + threshold) * differ <= (100 - threshold) * (F.col("na") + F.col("nb"))).select("a", "b"))
+        if not rest.isEmpty():
+            labels = components(space, nodes, space.keep(confirm(rest, sets, threshold)), labels)
+            tried = rest if tried is None else tried.unionByName(rest)
     # the smallest id of each component
     joined = classes.select("rep", "least").join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     ends = space.keep(joined.groupBy("comp").agg(F.min("least").alias("component")))
