@@ -1,7 +1,9 @@
 """Cases that once went wrong: proportional and extreme vectors, words with U+0000, rows that repeat, boilerplate that links with nothing."""
 
 import functools
+import glob
 import operator
+import os
 import random
 import time
 
@@ -133,3 +135,48 @@ def test_near_copies_that_do_not_link_hardly_meet(spark, monkeypatch):
         got = {r["doc_id"]: r["component_id"] for r in neardup.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=2).collect()}
         assert [got[i] for i in range(len(texts))] == linked(texts)
         assert made[-1].count() < 10 * len(texts)
+
+
+def test_successors_take_few_bytes_a_token(spark):
+    rng = random.Random(31)
+    data = [(i, " ".join(f"w{rng.randint(0, 2_000)}" for _ in range(1_500))) for i in range(200)]
+    scores = lm.score(spark.createDataFrame(data, "doc_id long, text string"))
+    assert scores.count() == 200
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    newest = max(glob.glob(f"{top}/wardlake-*"), key=os.path.getctime)
+    kept = sum(os.path.getsize(f) for f in glob.glob(f"{newest}/**/*.parquet", recursive=True))
+    assert kept < 4 * 200 * 1_500  # a context, a successor and a cost for each token would be 20 bytes
+
+
+def test_blocks_are_told_what_the_table_of_successors_has(spark):
+    rng = random.Random(32)
+    data = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 60))) or None) for i in range(300)] + [(300, "x1 x2 a b x1 x2 c")]
+    rows = spark.createDataFrame(data, "doc_id long, text string").repartition(3).withColumn("held_out", F.col("doc_id") % 4 == 1)
+    train = rows.where("NOT held_out")
+    vocab = lm.vocabulary(lm.count_tokens(train), train.count())
+    shared = spark.sparkContext.broadcast(vocab)
+    blocks = lm.numbered(rows, shared).cache()
+    seen, asked = [], {}
+    for r in blocks.collect():
+        block = lm.Block(r.asDict())
+        every, first = lm.with_ends(block.number, block.lengths)
+        pairs = lm.Pairs(vocab, block, every, first)
+        asked[r["block"]] = list(zip(pairs.context.view(np.int64).tolist(), vocab.names()[pairs.follows].view(np.int64).tolist(), strict=True))
+        assert len(set(asked[r["block"]])) == len(asked[r["block"]])
+        for pair, times in zip(asked[r["block"]], pairs.taught.tolist(), strict=True):
+            seen += [pair] * times
+    # an end and each word but the first two of a text, less what training texts have once
+    inside = [[*(t or "").split(), None] for i, t in data if i % 4 != 1]
+    assert len(seen) == sum(w is None or w in "abcdefgh" or w in ("x1", "x2") for t in inside for w in t[2:])
+    table = lm.successors(spark.createDataFrame(seen, "ctx long, next long"))
+    best = {r["ctx"]: r for r in table.collect()}
+    replies = lm.foreseen(blocks, shared, 5).collect()
+    assert len({r["bucket"] for r in replies}) == 5
+    for name, pairs in asked.items():
+        got = np.concatenate([lm.unpacked(r["reply"], "u1") for r in sorted(replies, key=lambda r: r["bucket"]) if r["block"] == name]).tolist()
+        assert len(got) == len(pairs)
+        for reply, (context, follower) in zip(got, pairs, strict=True):
+            b = best.get(context)
+            assert reply == (min(b["m"], lm.SURE) * 2 + (b["m"] == b["n"]) + 10 * (follower == b["next"]) if b else 0)
+    told = spark.createDataFrame(replies).select(F.inline("seen"))
+    assert lm.trust(told) == lm.trust(table)
